@@ -87,7 +87,7 @@ def sketch_of(docs: DataFrame, n: int, id_type: str) -> np.ndarray:
     parts = docs.mapInArrow(count, "row long, counts binary")
     some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("row", "part").applyInPandas(add, "row long, counts binary")
     total = np.zeros((SKETCH // ROW, ROW), np.int64)
-    for r in some.groupBy("row").applyInPandas(add, "row long, counts binary").toLocalIterator():
+    for r in some.groupBy("row").applyInPandas(add, "row long, counts binary").collect():
         total[r["row"]] = np.frombuffer(r["counts"], "<i8")
     return total.ravel()
 
@@ -210,8 +210,9 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
 
     # postings of the shingles that more than one set has in its prefix
     rows = sets.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "token"))
-    mask = F.shiftrightunsigned(F.xxhash64("token"), 2)
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.col("id").bitwiseXOR(mask)).alias("m")).where("df > 1").select("token", F.col("m").bitwiseXOR(mask).alias("leader"))
+    # the leader is a set in which the shingle comes early: few rarer ones, so it is near the middle of its kind
+    central = F.col("pos") * 1048576 + F.pmod(F.xxhash64("id", "token"), F.lit(1048576))
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min_by("id", central).alias("leader")).where("df > 1").drop("df")
     postings = cut(rows.join(shared, "token"), "postings")
 
     # groups: links with a few leaders
