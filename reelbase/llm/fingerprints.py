@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLES = 16
+SAMPLES = 32
 
 
 MOST_SLOTS = 20_000  # ranges of ids; a row for each may be broadcast
@@ -47,7 +47,7 @@ def with_next(docs: DataFrame, slots: int, partitions: int) -> DataFrame:
     ids = docs.select("doc_id")
     slot = slot_of(ids, slots)
     tops = ids.withColumn("slot", slot).groupBy("slot").agg(F.max("doc_id").alias("doc_id"))  # one row for each range, MOST_SLOTS at most
-    above = tops.selectExpr("doc_id", "coalesce(lead(slot) OVER (ORDER BY slot), min(slot) OVER ()) AS slot")
+    above = tops.selectExpr("doc_id", "coalesce(lead(slot) OVER (ORDER BY slot), min(slot) OVER (), 0) AS slot")
     ghosts = docs.join(F.broadcast(above), "doc_id").groupBy("slot", "doc_id").agg(F.min("text").alias("text"))
     both = docs.select(slot.alias("slot"), "doc_id", "text", F.lit(0).alias("ghost")).unionByName(ghosts.withColumn("ghost", F.lit(1))).repartition(partitions, "slot")
     over = "OVER (PARTITION BY slot ORDER BY ghost, doc_id DESC, text)"

@@ -211,7 +211,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     # postings of the shingles that more than one set has in its prefix
     rows = sets.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "token"))
     # the leader is a set in which the shingle comes early: few rarer ones, so it is near the middle of its kind
-    central = F.col("pos") * 1048576 + F.pmod(F.xxhash64("id", "token"), F.lit(1048576))
+    central = F.col("pos").cast("long") * 1048576 + F.pmod(F.xxhash64("id", "token"), F.lit(1048576))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min_by("id", central).alias("leader")).where("df > 1").drop("df")
     postings = cut(rows.join(shared, "token"), "postings")
 
