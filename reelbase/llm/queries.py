@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelbase.llm import decontam, fingerprints, line_dedup, sentencepiece_codec, setjoin, token_counts, toxicity, url_filter, warc
+from reelbase.llm import decontam, fingerprints, line_dedup, pii, sentencepiece_codec, setjoin, token_counts, toxicity, url_filter, warc
 from reelbase.llm.common import table
 
 #: Where the vocabulary files are, if not beside the installed module.
@@ -59,6 +59,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.ngram_jaccard_components(table(spark, sf_dir, "documents"), n=4, threshold=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": op7_url_filters,
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
