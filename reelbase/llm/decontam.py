@@ -237,11 +237,26 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
     return out.withColumnRenamed("id", id_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **names) -> DataFrame:
-    """The documents that hold no window of the benchmark, with all their columns. Documents without words stay.
-    With repeated ids, a hit in one removes all rows of that id."""
-    hit = contamination(docs, benchmark, window, **names).where(F.size("spans") > 0)
-    return docs.join(hit.select(names.get("id_col", "doc_id")).distinct(), names.get("id_col", "doc_id"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+    """The documents that hold no window of the benchmark, with all their columns; each row is judged by its own text, where it is read.
+    Documents without words stay."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    names, out = docs.columns, docs.withColumn("__text", utf8(text_col))
+
+    def make_for(sent):
+        def make():
+            def run(b):
+                clean = [not s for s in scan(b.column("__text").to_pylist(), sent.value, shard_bytes)[1]]
+                return b.filter(pa.array(clean, pa.bool_()))
+
+            return run
+
+        return make
+
+    for items in blocks(benchmark, item_col, text_col, block_bytes):
+        out = map_batches(out, out.schema, make_for(spark.sparkContext.broadcast(Queries(items, window))))
+    return out.select(*names)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

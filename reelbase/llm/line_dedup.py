@@ -51,6 +51,15 @@ def line_dedup(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text
     return both.withColumn(text_col, text).select(*kept_names, F.coalesce(F.expr("size(filter(_lines, l -> trim(l) <> ''))"), F.lit(0)).cast("long").alias("lines_total"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
 
 
+def without_spread_lines(docs: DataFrame, min_sites: int = 3) -> DataFrame:
+    """``docs`` (with text, source, n_chars) without spread lines. Documents of which nothing is left go; those that had no line to begin with stay.
+    ``n_chars`` follows the text where that changed."""
+    out = line_dedup(docs, min_sites).where("NOT (lines_removed > 0 AND lines_removed >= lines_total)")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def digest(docs: DataFrame, min_sites: int = 3) -> DataFrame:
     """The columns of the query: doc_id, n_lines, n_removed, kept_sha256 (null for a null text)."""
     return line_dedup(docs.select("doc_id", "text", "source"), min_sites).select("doc_id", F.col("lines_total").alias("n_lines"), F.greatest("lines_removed", F.lit(0)).alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))

@@ -187,3 +187,13 @@ def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, f, schema
         return lambda b: pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(f(c, b.column(1).to_pylist()), types, strict=True))], ["id", *(s.split()[0] for s in schema)])
 
     return map_batches(chosen, f"id {chosen.schema['id'].dataType.simpleString()}, {', '.join(schema)}", make).withColumnRenamed("id", id_col)
+
+
+def encoded_and_checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``ids``, ``n_ids`` and ``round_trip`` (whether the ids decode to the text)."""
+
+    def run(c: Codec, texts: list[str]):
+        ids = c.encode(texts)
+        return [ids, [len(x) for x in ids], [c.decode(x) == t for x, t in zip(ids, texts, strict=True)]]
+
+    return _run(docs, model_path, id_col, text_col, run, ["ids array<int>", "n_ids long", "round_trip boolean"], [pa.list_(pa.int32()), pa.int64(), pa.bool_()])

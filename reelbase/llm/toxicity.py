@@ -275,7 +275,13 @@ def toxicity(docs: DataFrame, model: dict[str, np.ndarray], folds: int = 5, id_c
     return out.select(F.col("id").alias(id_col), F.coalesce(remainder("id", folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score below 0.5, with all their columns. Repeated ids go together, by their highest score."""
-    bad = toxicity(docs, model, id_col=id_col, text_col=text_col).where("predicted = 1").select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def without_toxic(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
+    """The documents that score below 0.5, with all their columns; each row is judged by its own text, where it is read."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def make():
+        return lambda b: b.filter(pa.array(score_texts(sent.value, b.column("__text").to_pylist()) < 0.5)).select(names)
+
+    return map_batches(docs.withColumn("__text", F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")), docs.schema, make)
