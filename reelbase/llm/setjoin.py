@@ -42,7 +42,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def shingler(n: int):
     """Text as bytes -> sorted distinct 64-bit hashes of its ``n``-word shingles; fewer words are one shingle; none: empty.
     Words are runs of non-space bytes, A-Z lower-cased."""
-    get = Memo(xxhash.xxh3_64_intdigest).__getitem__
+    get = Memo(xxhash.xxh3_64_intdigest, 200_000).__getitem__
 
     def run(text: bytes) -> np.ndarray:
         w = text.lower().split()
@@ -65,31 +65,32 @@ def bitmaps(tokens: np.ndarray) -> tuple[bytes, bytes]:
     return np.packbits(count & 1 == 1).tobytes(), np.packbits(count > 0).tobytes()
 
 
-def sketch_of(docs: DataFrame, n: int, id_type: str) -> np.ndarray:
-    """How many sets hold a shingle of each of ``SKETCH`` cells, over all documents. Tasks count on their own, Spark adds the rows up;
-    what comes to the driver has a fixed size."""
+def first_pass(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, n, sig) of every document, and how many sets hold a shingle of each of ``SKETCH`` cells, from one reading of the texts. Tasks
+    count on their own, Spark adds the rows up; what comes to the driver has a fixed size."""
 
     def count(batches):
-        shingles, total = shingler(n), np.zeros(SKETCH, np.int32)
+        shingles, total, names = shingler(n), np.zeros(SKETCH, np.int32), ["row", "id", "n", "data"]
         for b in batches:
             parts = [shingles(t) for t in b.column(1).to_pylist()]
             if parts:
                 total += np.bincount((np.concatenate(parts) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([xxhash.xxh3_128_digest(p.tobytes()) for p in parts], pa.binary())], names)
         rows = total.reshape(-1, ROW)
         used = np.nonzero(rows.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([rows[i].astype("<i4").tobytes() for i in used], pa.binary())], ["row", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array([rows[i].astype("<i8").tobytes() for i in used], pa.binary())], names)
 
     def add(frame):
         import pandas as pd
 
-        return pd.DataFrame({"row": frame["row"][:1], "counts": [np.sum([np.frombuffer(c, "<i8" if len(c) > 4 * ROW else "<i4") for c in frame["counts"]], axis=0, dtype=np.int64).tobytes()]})
+        return pd.DataFrame({"row": frame["row"][:1], "data": [np.sum([np.frombuffer(c, "<i8") for c in frame["data"]], axis=0, dtype=np.int64).tobytes()]})
 
-    parts = docs.mapInArrow(count, "row long, counts binary")
-    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("row", "part").applyInPandas(add, "row long, counts binary")
+    both = cut(docs.mapInArrow(count, "row long, id long, n long, data binary"), "first-pass")
+    some = both.where("row IS NOT NULL").select("row", "data").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("row", "part").applyInPandas(add, "row long, data binary")
     total = np.zeros((SKETCH // ROW, ROW), np.int64)
-    for r in some.groupBy("row").applyInPandas(add, "row long, counts binary").collect():
-        total[r["row"]] = np.frombuffer(r["counts"], "<i8")
-    return total.ravel()
+    for r in some.groupBy("row").applyInPandas(add, "row long, data binary").collect():
+        total[r["row"]] = np.frombuffer(r["data"], "<i8")
+    return both.where("row IS NULL").select("id", "n", F.col("data").alias("sig")), total.ravel()
 
 
 def signatures(docs: DataFrame, n: int, t: int, sketch: np.ndarray) -> DataFrame:
@@ -139,36 +140,42 @@ def bounded(t: int, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id may be among ``wanted``, so that a join need not move the other texts. The filter is a bit array of
-    fixed size; what it lets through in error, the join removes."""
+def filter_cells(values: pa.Array) -> np.ndarray:
+    return (mixed(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)
 
-    def cell(ids: pa.Array) -> np.ndarray:
-        return (mixed(ids.to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)
+
+def filter_of(values: DataFrame):
+    """A broadcast bit array of fixed size that holds the values (longs) of a one-column table, for :func:`maybe_in`."""
 
     def cells(batches):
         for b in batches:
-            c = cell(b.column(0))
+            c = filter_cells(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(c >> 6), pa.array(np.left_shift(np.int64(1), c & 63))], ["word", "bit"])
 
     array = np.zeros(FILTER >> 6, np.int64)
-    for b in wanted.mapInArrow(cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+    for b in values.mapInArrow(cells, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         array[b.column(0).to_numpy()] = b.column(1).to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(array)
+    return values.sparkSession.sparkContext.broadcast(array)
+
+
+def maybe_in(rows: DataFrame, column: str, sent) -> DataFrame:
+    """The rows whose ``column`` may be among the filter's values, so that a join need not move the others. What passes in error, the
+    join removes."""
+    at = rows.columns.index(column)
 
     def keep(batches):
         for b in batches:
-            c = cell(b.column(0))
+            c = filter_cells(b.column(at))
             yield b.filter(pa.array((sent.value[c >> 6] >> (c & 63)) & 1 == 1))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def linked(t: int, n: int, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets, which are rebuilt from the texts of just these documents."""
     pairs = pairs.distinct()
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    docs = likely(docs, wanted)
+    docs = maybe_in(docs, "id", filter_of(wanted))
     kind = docs.schema["id"].dataType.simpleString()
 
     def make():
@@ -201,19 +208,22 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     each of its texts and takes its smallest component. Ids are integers and not null.
     """
     spark, t = docs.sparkSession, threshold
-    small_batches(spark)
+    small_batches(spark, 1000)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    seen = cut(signatures(texts, n, t, sketch_of(texts, n, "long")), "signatures")
+    seen, sketch = first_pass(texts, n)
     reps = seen.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    sets = cut(seen.join(reps.select(F.col("rep").alias("id"), "sig"), ["id", "sig"], "left_semi").dropDuplicates(["id"]).select("id", "n", "bits", "some", "prefix"), "sets")
+    sets = cut(signatures(texts, n, t, sketch).join(reps.groupBy("rep").agg(F.min("sig").alias("sig")).withColumnRenamed("rep", "id"), ["id", "sig"], "left_semi").select("id", "n", "bits", "some", "prefix"), "sets")
     info = sets.select("id", "n", "bits")
 
-    # postings of the shingles that more than one set has in its prefix
-    rows = sets.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "token"))
+    # postings of the shingles that more than one set has in its prefix; the others are counted, and stay where they are
+    tokens = sets.select(F.explode("prefix").alias("token"))
+    shared = filter_of(tokens.groupBy("token").count().where("count > 1").select("token"))
+    rows = maybe_in(sets.select("id", F.col("n").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token")), "token", shared)
     # the leader is a set in which the shingle comes early: few rarer ones, so it is near the middle of its kind
     central = F.col("pos").cast("long") * 1048576 + F.pmod(F.xxhash64("id", "token"), F.lit(1048576))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min_by("id", central).alias("leader")).where("df > 1").drop("df")
-    postings = cut(rows.join(shared, "token"), "postings")
+    rows = cut(rows, "rows")
+    leading = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min_by("id", central).alias("leader")).where("df > 1").drop("df")
+    postings = cut(rows.join(leading, "token"), "postings")
 
     # groups: links with a few leaders
     few = postings.groupBy("id", "size").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("token", "leader").alias("h"), "leader"))), 1, leaders).alias("s"))
@@ -222,30 +232,27 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     groups = connected_components(star_links)
     placed = cut(postings.drop("leader").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"), "placed")
 
-    # the matrix: groups that share a shingle with another group
+    # the matrix: groups (sets of one size within what the leaders joined) that share a shingle with another group
     g_size = sets.select("id").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("group")).agg(F.count(F.lit(1)).alias("members"))
-    matrix = placed.groupBy("token", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.col("size") - F.col("pos")).alias("rest"))
+    matrix = placed.groupBy("token", "group", F.col("size").alias("other")).agg(F.max(F.col("size") - F.col("pos")).alias("rest"))
     mixed_tokens = matrix.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("token")
     matrix = matrix.join(mixed_tokens, "token", "left_semi").join(g_size, "group")
     queries = placed.join(mixed_tokens, "token", "left_semi").join(g_size.select("group", F.col("members").alias("own_members")), "group").withColumnRenamed("group", "own")
-    q, low, high, rest, left = (F.col(c) for c in ("size", "low", "high", "rest", "left"))
-    least = F.greatest(low.cast("double"), F.ceil(q * t / 100.0 - 1e-9))
     hits = (
-        queries.withColumn("left", q - F.col("pos"))
-        .join(matrix, "token")
+        queries.join(matrix, "token")
         .where("own <> group")
         .where(F.struct("own_members", "own") < F.struct("members", "group"))
-        .where((high * 100 >= q * t) & (low * t <= q * 100))
-        .where(F.least(left, rest) >= needed(t, q, least))
-        .select("id", "size", "group")
+        .where((F.col("other") * 100 >= F.col("size") * t) & (F.col("other") * t <= F.col("size") * 100))
+        .where(F.least(F.col("size") - F.col("pos"), "rest") >= needed(t, F.col("size"), F.col("other")))
+        .select("id", "size", "group", "other")
         .distinct()
     )
     hits = cut(hits, "hits")
-    asked = hits.select("group").distinct()
-    members = sets.select("id", "n", "bits", "some").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component").join(asked, "group", "left_semi")
+    asked = hits.select("group", "other").distinct()
+    members = sets.select("id", F.col("n").alias("other"), "bits", "some").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component").join(asked, ["group", "other"], "left_semi")
     # what a group's union of bitmaps lacks of a set's bitmap, no member has
-    opened = qualified(t, hits.join(sets.select("id", "bits", "some"), "id").join(unions(members), "group"))
-    pairs = opened.join(members.select("group", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "group").where((F.col("na") * 100 >= F.col("nb") * t) & (F.col("na") * t <= F.col("nb") * 100))
+    opened = qualified(t, hits.join(sets.select("id", "bits", "some"), "id").join(unions(members), ["group", "other"]))
+    pairs = opened.join(members.select("group", F.col("other").alias("nb"), F.col("id").alias("b"), F.col("bits").alias("bits_b")), ["group", "nb"])
     cross = linked(t, n, bounded(t, pairs), texts)
     links = cut(star_links.union(cross), "links")
     comp = connected_components(links)
@@ -264,23 +271,23 @@ def with_info(pairs: DataFrame, info: DataFrame, t: int) -> DataFrame:
 def unions(members: DataFrame) -> DataFrame:
     """The OR of the bitmaps of each group, by 64-bit words, added up map-side."""
     words = [F.bit_or(F.expr(f"cast(conv(hex(substring(some, {8 * k + 1}, 8)), 16, -10) as bigint)")).alias(f"w{k}") for k in range(BITS // 64)]
-    return members.groupBy("group").agg(*words)
+    return members.groupBy("group", "other").agg(*words)
 
 
 def qualified(t: int, hits: DataFrame) -> DataFrame:
-    """(group, a, na, bits_a) of the queries that can share enough tokens with the group's union."""
+    """(group, nb, a, na, bits_a) of the queries that can share enough tokens with the union of the group's sets of size nb."""
     words = [f"w{k}" for k in range(BITS // 64)]
 
     def run(batches):
         for b in batches:
             own = np.frombuffer(b"".join(b.column("some").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            union = np.stack([b.column(w).to_numpy(zero_copy_only=False).astype(">i8") for w in words], axis=1).view(np.uint8).reshape(-1, BITS // 8)
-            size = b.column("size").to_numpy(zero_copy_only=False)
-            lacking = np.bitwise_count(own & ~union).sum(axis=1, dtype=np.int64)
-            keep = 100 * (size - lacking) >= t * size
-            yield pa.RecordBatch.from_arrays([b.column("group"), b.column("id"), b.column("size"), b.column("bits")], ["group", "a", "na", "bits_a"]).filter(pa.array(keep))
+            union = np.stack([b.column(w).to_numpy(zero_copy_only=False) for w in words], axis=1).astype(">i8").view(np.uint8).reshape(-1, BITS // 8)
+            size, other = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "other"))
+            most = size - np.bitwise_count(own & ~union).sum(axis=1, dtype=np.int64)
+            keep = (100 + t) * most >= t * (size + other)
+            yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(other), b.column("id"), pa.array(size), b.column("bits")], ["group", "nb", "a", "na", "bits_a"]).filter(pa.array(keep))
 
-    return hits.mapInArrow(run, "group long, a long, na long, bits_a binary")
+    return hits.mapInArrow(run, "group long, nb long, a long, na long, bits_a binary")
 
 
 def deduplicated(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
