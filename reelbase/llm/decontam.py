@@ -184,9 +184,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 def united(parts: DataFrame) -> DataFrame:
     """The hits of several blocks as one row per document; overlapping intervals grow together. Repeated ids count as one document."""
-    pairs = "flatten(collect_list(transform(sequence(0, greatest(size(spans) div 2 - 1, 0)), i -> named_struct('s', spans[2*i], 'e', spans[2*i+1]))))"
+    pairs = "flatten(collect_list(transform(sequence(0, greatest(size(spans) div 2 - 1, 0)), i -> named_struct('s', get(spans, 2*i), 'e', get(spans, 2*i+1)))))"
     out = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), F.expr(f"array_sort(filter({pairs}, x -> x.s is not null))").alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    grown = "aggregate(p, cast(array() as array<int>), (a, x) -> case when size(a) > 0 and a[size(a) - 1] >= x.s then concat(slice(a, 1, size(a) - 1), array(greatest(a[size(a) - 1], x.e))) else concat(a, array(x.s, x.e)) end)"
+    grown = "aggregate(p, cast(array() as array<int>), (a, x) -> case when size(a) > 0 and get(a, size(a) - 1) >= x.s then concat(slice(a, 1, size(a) - 1), array(greatest(get(a, size(a) - 1), x.e))) else concat(a, array(x.s, x.e)) end)"
     return out.select("id", "n_words", F.expr(grown).alias("spans"), "items")
 
 

@@ -28,6 +28,7 @@ from reelbase.llm.components import connected_components
 SKETCH = 1 << 19  # counters of the sketch: fixed, 4 MB when it is broadcast
 ROW = 1 << 13  # counters in one row of it
 BITS = 1024  # of a set's bitmaps
+MOST_BITS = 1 << 16  # of a long set's odd map
 FILTER = 1 << 24  # bits of the id filter: fixed, 2 MB
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -58,11 +59,28 @@ def shingler(n: int):
     return run
 
 
+def odd_bits(n: int) -> int:
+    """Bits of the odd map of a set of ``n`` tokens: about twice as many as tokens, in powers of two."""
+    return min(MOST_BITS, max(BITS, 1 << (2 * n - 1).bit_length()))
+
+
 def bitmaps(tokens: np.ndarray) -> tuple[bytes, bytes]:
     """Odd: bit i tells whether an odd number of tokens fall on i; two such bitmaps differ in at most as many bits as their sets
     differ in tokens. Any: whether some token falls on i; a bit of one set that another lacks is a token it lacks."""
-    count = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (BITS - 1), minlength=BITS)
-    return np.packbits(count & 1 == 1).tobytes(), np.packbits(count > 0).tobytes()
+    at = (tokens >> np.uint64(40)).astype(np.int64)
+    size = odd_bits(len(tokens))
+    odd = np.bincount(at & (size - 1), minlength=size) & 1 == 1
+    return np.packbits(odd).tobytes(), np.packbits(np.bincount(at & (BITS - 1), minlength=BITS) > 0).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many bits two odd maps differ, at the smaller one's size: a larger one folds onto it."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    elif len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def first_pass(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
@@ -129,9 +147,8 @@ def bounded(t: int, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bits_a", "bits_b"))
             na, nb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            diff = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.abs(na - nb))
+            diff = np.maximum(np.fromiter(map(differing, b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist()), np.int64, b.num_rows), np.abs(na - nb))
             shared = (na + nb - diff) // 2
             keep = 100 * shared >= t * (na + nb - shared)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
