@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(str([None if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, float) else str(v) for v in r]) for r in frame.values.tolist())
+    return sorted(str([None if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r]) for r in frame.values.tolist())
 
 
 @pytest.fixture(scope="module")
