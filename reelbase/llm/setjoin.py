@@ -8,7 +8,7 @@
 4. *Matrix.* The union of each group's prefix shingles is stored as rows (shingle, group) with the group's range of sizes and best
    remaining overlap, and the union of its bitmaps. A set queries the groups that hold one of its prefix shingles; from the sizes, the
    positions and the bitmap follows an upper bound of what it can share with any member. Only groups that reach the threshold
-   are opened; their members pass the same bounds, then are compared in full.
+   are opened; the members that share an early shingle with the query pass the same bounds, then are compared in full.
 5. Links join groups into components.
 
 Every bound is rigorous, so no link is lost; the leaders of step 3 only save work. No step emits the pairs inside a group.
@@ -266,11 +266,10 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     )
     hits = cut(hits, "hits")
     asked = hits.select("group", "other").distinct()
-    members = sets.select("id", F.col("n").alias("other"), "bits", "some").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component").join(asked, ["group", "other"], "left_semi")
+    members = sets.select("id", F.col("n").alias("other"), "some").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component").join(asked, ["group", "other"], "left_semi")
     # what a group's union of bitmaps lacks of a set's bitmap, no member has
-    opened = qualified(t, hits.join(sets.select("id", "bits", "some"), "id").join(unions(members), ["group", "other"]))
-    pairs = opened.join(members.select("group", F.col("other").alias("nb"), F.col("id").alias("b"), F.col("bits").alias("bits_b")), ["group", "nb"])
-    cross = linked(t, n, bounded(t, pairs), texts)
+    opened = cut(qualified(t, hits.join(sets.select("id", "some"), "id").join(unions(members), ["group", "other"])), "opened")
+    cross = linked(t, n, bounded(t, with_info(met(t, opened, placed), info, t)), texts)
     links = cut(star_links.union(cross), "links")
     comp = connected_components(links)
     count = links.select("a").union(links.select(F.col("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
@@ -292,7 +291,7 @@ def unions(members: DataFrame) -> DataFrame:
 
 
 def qualified(t: int, hits: DataFrame) -> DataFrame:
-    """(group, nb, a, na, bits_a) of the queries that can share enough tokens with the union of the group's sets of size nb."""
+    """(group, nb, a, na) of the queries that can share enough tokens with the union of the group's sets of size nb."""
     words = [f"w{k}" for k in range(BITS // 64)]
 
     def run(batches):
@@ -302,9 +301,19 @@ def qualified(t: int, hits: DataFrame) -> DataFrame:
             size, other = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "other"))
             most = size - np.bitwise_count(own & ~union).sum(axis=1, dtype=np.int64)
             keep = (100 + t) * most >= t * (size + other)
-            yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(other), b.column("id"), pa.array(size), b.column("bits")], ["group", "nb", "a", "na", "bits_a"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(other), b.column("id"), pa.array(size)], ["group", "nb", "a", "na"]).filter(pa.array(keep))
 
-    return hits.mapInArrow(run, "group long, nb long, a long, na long, bits_a binary")
+    return hits.mapInArrow(run, "group long, nb long, a long, na long")
+
+
+def met(t: int, opened: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a query and a member of a group it opens that have a prefix shingle in common, early enough in both to link.
+    A query in the midst of a large group meets few of its members so: what its own edits and theirs changed comes first."""
+    early = F.col("size") - F.col("pos")
+    asking = opened.join(placed.select(F.col("id").alias("a"), "token", "size", "pos"), "a").where(early >= needed(t, F.col("na"), F.col("nb"))).select("a", "na", "group", "nb", "token")
+    held = placed.select("group", F.col("size").cast("long").alias("nb"), "token", F.col("id").alias("b"), early.alias("rest")).join(opened.select("group", "nb").distinct(), ["group", "nb"], "left_semi")
+    both = asking.join(held, ["group", "nb", "token"])
+    return both.where(F.col("rest") >= needed(t, F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
 
 def deduplicated(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
