@@ -111,8 +111,9 @@ def first_pass(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("row IS NULL").select("id", "n", F.col("data").alias("sig")), total.ravel()
 
 
-def signatures(docs: DataFrame, n: int, t: int, sketch: np.ndarray) -> DataFrame:
-    """Per document: ``n`` (set size), ``sig`` (of the whole set), ``bits`` and ``some`` (:func:`bitmaps`) and ``prefix`` (first shingles, rarest first)."""
+def signatures(docs: DataFrame, n: int, t: int, sketch: np.ndarray, sent) -> DataFrame:
+    """Per document: ``n`` (set size), ``sig`` (of the whole set), ``bits`` and ``some`` (:func:`bitmaps`), ``prefix`` (first shingles, rarest first)
+    and ``sure``: the filter ``sent`` does not hold its id."""
     rarity = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**32 - 1).astype(np.uint32))
 
     def make():
@@ -130,11 +131,12 @@ def signatures(docs: DataFrame, n: int, t: int, sketch: np.ndarray) -> DataFrame
                 some.append(any_)
                 keep = m - -(-t * m // 100) + 1 if m else 0
                 prefix.append(s[np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:keep]].view(np.int64))
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.array(some, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "sig", "bits", "some", "prefix"])
+            sure = pa.array(~in_filter(b.column(0), sent.value))
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.array(some, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), sure], ["id", "n", "sig", "bits", "some", "prefix", "sure"])
 
         return run
 
-    return map_batches(docs, f"id {docs.schema['id'].dataType.simpleString()}, n long, sig binary, bits binary, some binary, prefix array<long>", make)
+    return map_batches(docs, f"id {docs.schema['id'].dataType.simpleString()}, n long, sig binary, bits binary, some binary, prefix array<long>, sure boolean", make)
 
 
 def needed(t: int, a: Column, b: Column) -> Column:
@@ -161,6 +163,11 @@ def filter_cells(values: pa.Array) -> np.ndarray:
     return (mixed(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)
 
 
+def in_filter(values: pa.Array, bits: np.ndarray) -> np.ndarray:
+    c = filter_cells(values)
+    return (bits[c >> 6] >> (c & 63)) & 1 == 1
+
+
 def filter_of(values: DataFrame):
     """A broadcast bit array of fixed size that holds the values (longs) of a one-column table, for :func:`maybe_in`."""
 
@@ -182,15 +189,14 @@ def maybe_in(rows: DataFrame, column: str, sent) -> DataFrame:
 
     def keep(batches):
         for b in batches:
-            c = filter_cells(b.column(at))
-            yield b.filter(pa.array((sent.value[c >> 6] >> (c & 63)) & 1 == 1))
+            yield b.filter(pa.array(in_filter(b.column(at), sent.value)))
 
     return rows.mapInArrow(keep, rows.schema)
 
 
 def linked(t: int, n: int, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets, which are rebuilt from the texts of just these documents."""
-    pairs = pairs.distinct()
+    pairs = cut(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     docs = maybe_in(docs, "id", filter_of(wanted))
     kind = docs.schema["id"].dataType.simpleString()
@@ -229,7 +235,12 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     seen, sketch = first_pass(texts, n)
     reps = seen.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    sets = cut(signatures(texts, n, t, sketch).join(reps.groupBy("rep").agg(F.min("sig").alias("sig")).withColumnRenamed("rep", "id"), ["id", "sig"], "left_semi").select("id", "n", "bits", "some", "prefix"), "sets")
+    chosen = reps.groupBy(F.col("rep").alias("id")).agg(F.min("sig").alias("sig"))
+    # sets whose id no other row can have are taken as they are; only the others move to be held against the representatives
+    others = filter_of(seen.where("n > 0").join(chosen, ["id", "sig"], "left_anti").select("id"))
+    every = cut(signatures(texts, n, t, sketch, others).where("n > 0"), "signatures")
+    doubtful = cut(every.where("NOT sure").join(chosen, ["id", "sig"], "left_semi").select(every.columns), "sets")
+    sets = every.where("sure").union(doubtful).drop("sig", "sure")
     info = sets.select("id", "n", "bits")
 
     # postings of the shingles that more than one set has in its prefix; the others are counted, and stay where they are
@@ -245,7 +256,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     # groups: links with a few leaders
     few = postings.groupBy("id", "size").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("token", "leader").alias("h"), "leader"))), 1, leaders).alias("s"))
     stars = few.select("id", F.explode(F.array_distinct(F.transform("s", lambda x: x["leader"]))).alias("b")).where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    star_links = cut(linked(t, n, bounded(t, with_info(stars, info, t)), texts), "links")
+    star_links = cut(linked(t, n, bounded(t, with_info(cut(stars, "stars"), info, t)), texts), "links")
     groups = connected_components(star_links)
     placed = cut(postings.drop("leader").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"), "placed")
 
@@ -269,7 +280,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     members = sets.select("id", F.col("n").alias("other"), "some").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component").join(asked, ["group", "other"], "left_semi")
     # what a group's union of bitmaps lacks of a set's bitmap, no member has
     opened = cut(qualified(t, hits.join(sets.select("id", "some"), "id").join(unions(members), ["group", "other"])), "opened")
-    cross = linked(t, n, bounded(t, with_info(met(t, opened, placed), info, t)), texts)
+    cross = linked(t, n, bounded(t, with_info(cut(met(t, opened, placed), "met"), info, t)), texts)
     links = cut(star_links.union(cross), "links")
     comp = connected_components(links)
     count = links.select("a").union(links.select(F.col("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
@@ -279,6 +290,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
 
 
 def with_info(pairs: DataFrame, info: DataFrame, t: int) -> DataFrame:
+    info = maybe_in(info, "id", filter_of(pairs.select("a").union(pairs.select("b"))))
     a = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     b = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     return pairs.join(a, "a").join(b, "b").where((F.col("na") * 100 >= F.col("nb") * t) & (F.col("na") * t <= F.col("nb") * 100))
