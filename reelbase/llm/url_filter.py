@@ -70,7 +70,7 @@ def host_and_path(url_col: str) -> tuple[Column, Column]:
 def rule_columns(rules: list[tuple[str, str, str]], host: Column, path: Column) -> tuple[Column, Column]:
     """The longest rule that fits (as host + path) and its verdict; null when none does. Rules of one length: the first listed."""
     name = verdict = F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for h, p, v in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(v)).otherwise(verdict)
     return name, verdict
