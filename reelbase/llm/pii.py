@@ -1,7 +1,7 @@
 """Personal data in texts, in DataFrame functions only: fixed patterns with checks, and candidates judged by boosted trees.
 
-Base spans come from one pattern and one check per kind. Beyond them, high-recall generators propose spans that may overlap (numbers
-without a plus, obfuscated addresses, cards with other separators); gradient-boosted trees over features of format and context, fitted on
+Base spans come from one pattern and one check per kind. Beyond them, high-recall generators propose spans that may overlap (every run of
+digit groups that holds 7 to 15 digits, obfuscated addresses, cards with other separators); gradient-boosted trees over features of format and context, fitted on
 a bounded sample and turned into SQL expressions, give each a calibrated probability, and those above the threshold are added.
 
 Places of matches: ``split`` gives the text between matches and ``regexp_extract_all`` the matches, so the lengths add up to offsets.
@@ -31,13 +31,14 @@ GENERATORS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++){1,6}+",
     "ip": r"(?:\G|(?<![0-9]))[0-9]{1,3}+(?:\[\.\]|,|\x20?\.\x20?)[0-9]{1,3}+(?:\[\.\]|,|\x20?\.\x20?)[0-9]{1,3}+(?:\[\.\]|,|\x20?\.\x20?)[0-9]{1,3}+",
     "card": r"(?:\G|(?<![0-9]))[0-9]{4}+[\x20._/-]{0,2}+[0-9]{4,6}+[\x20._/-]{0,2}+[0-9]{4,5}+[\x20._/-]{0,2}+[0-9]{1,7}+",
-    "phone": r"(?:\+|\(|00)?[0-9][0-9]{0,3}+\)?[\x20./-]{0,2}+\(?[0-9]{2,4}+\)?[\x20./-]{0,2}+[0-9]{3,4}+[\x20./-]{0,2}+[0-9]{3,4}+",
+    # whole runs of digit groups; :func:`grouped` proposes their parts. Digits and separators are disjoint, so the possessive quantifiers lose nothing.
+    "phone": r"[+(]{0,2}+[0-9]++(?:[\x20()./-]{1,4}+[0-9]++)*+",
 }
 
 #: A text without these cannot match.
 HINTS = {"email": r"[@\[(]", "ip": r"[0-9][., \[]", "card": r"[0-9][0-9 -][0-9 -]*[0-9]", "phone": r"[0-9]"}
 
-FEATURES = ("digits", "length", "groups", "plus", "paren", "luhn", "dots", "alnum_before", "alnum_after", "longest", "octets", "at", "marker", "cue", "is_email", "is_ip", "is_card")
+FEATURES = ("digits", "length", "groups", "plus", "paren", "luhn", "dots", "alnum_before", "alnum_after", "longest", "octets", "at", "marker", "cue", "run_before", "run_after", "is_email", "is_ip", "is_card")
 
 
 def digits_of(m: str) -> str:
@@ -77,6 +78,22 @@ def places(text: str, pattern: str, hint: str) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
 
 
+def grouped(x: str, least: int = 7, most: int = 15) -> str:
+    """array<struct<s, e, m>>: every part of the run ``x`` that starts and ends with a whole digit group and holds ``least`` to ``most`` digits,
+    with a plus or bracket right before its first group. A group starts at most ``most`` parts."""
+    none = "cast(array() as array<struct<s: int, e: int, d: int, t: int>>)"
+    group = "regexp_extract(p, '[0-9]+$', 0)"
+    add = f"(a, p) -> named_struct('at', a.at + char_length(p), 't', a.t + char_length({group}), 'out', concat(a.out, array(named_struct('s', a.at + char_length(p) - char_length(regexp_extract(p, '[+(]*[0-9]+$', 0)), 'e', a.at + char_length(p), 'd', char_length({group}), 't', a.t + char_length({group})))))"
+    parts = f"flatten(transform(a.out, (g, i) -> transform(filter(slice(a.out, i + 1, {most}), h -> h.t - g.t + g.d between {least} and {most}), h -> named_struct('s', {x}.s + g.s, 'e', {x}.s + h.e, 'm', substring({x}.m, g.s + 1, h.e - g.s)))))"
+    return f"aggregate(regexp_extract_all({x}.m, '[^0-9]*[0-9]+', 0), named_struct('at', 0, 't', 0, 'out', {none}), {add}, a -> {parts})"
+
+
+def proposed(docs: DataFrame, name: str, kind: str, text: str = "text") -> DataFrame:
+    """Adds the column ``name``: the spans that the kind's generator proposes; those of phones may overlap one another."""
+    out = docs.withColumn(name, places(text, GENERATORS[kind], HINTS[kind]))
+    return out.withColumn(name, F.expr(f"flatten(transform(filter({name}, x -> char_length(x.m) >= 7), x -> {grouped('x')}))")) if kind == "phone" else out
+
+
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds an array column ``base_<kind>`` for each kind."""
     out = docs
@@ -102,6 +119,8 @@ def feature_columns(kind: str, m: str, before: str, after: str) -> dict[str, str
         "at": f"int(contains({m}, '@'))",
         "marker": f"int(regexp_like({m}, '[\\\\[(](at|dot)[\\\\])]'))",
         "cue": f"int(regexp_like(lower({before}), '(tel|phone|call|fax|mail|card|visa|ip|addr|host)[^a-z]*$'))",
+        "run_before": f"int(regexp_like({before}, '[0-9][ ()./-]{{1,4}}[+(]*$'))",
+        "run_after": f"int(regexp_like({after}, '^[ ()./-]{{1,4}}[0-9]'))",
         "is_email": str(int(kind == "email")),
         "is_ip": str(int(kind == "ip")),
         "is_card": str(int(kind == "card")),
@@ -109,13 +128,16 @@ def feature_columns(kind: str, m: str, before: str, after: str) -> dict[str, str
 
 
 def candidates(based: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``cand``: array of proposed spans (kind, s, e, features ..., base: whether it lies on a base span), which may overlap one another."""
+    """Adds ``cand``: array of proposed spans (kind, s, e, features ..., base: whether it lies on a base span of its kind, of a phone exactly;
+    part: it is a mere part of a base phone, tail: one that ends with it), which may overlap one another."""
     out, parts = based, []
     for k in KINDS:
-        out = out.withColumn(f"gen_{k}", places(text, GENERATORS[k], HINTS[k]))
-        f = feature_columns(k, "x.m", f"substring({text}, greatest(x.s - 15, 1), least(x.s, 16))", f"substring({text}, x.e + 1, 1)")
+        out = proposed(out, f"gen_{k}", k, text)
+        f = feature_columns(k, "x.m", f"substring({text}, greatest(x.s - 15, 1), least(x.s, 16))", f"substring({text}, x.e + 1, 5)")
         named = ", ".join(f"'{n}', double({e})" for n, e in f.items())
-        parts.append(f"transform(gen_{k}, x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e, {named}, 'base', exists(base_{k}, b -> b.s < x.e and x.s < b.e), 'taken', exists(concat({', '.join(f'base_{j}' for j in KINDS)}), b -> b.s < x.e and x.s < b.e)))")
+        over = f"exists(base_{k}, b -> b.s < x.e and x.s < b.e)"
+        same, tail = ("exists(base_phone, b -> b.s = x.s and b.e = x.e)", "exists(base_phone, b -> b.s < x.s and b.e = x.e)") if k == "phone" else (over, "false")
+        parts.append(f"transform(gen_{k}, x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e, {named}, 'base', {same}, 'part', {over} and not {same}, 'tail', {tail}, 'taken', exists(concat({', '.join(f'base_{j}' for j in KINDS)}), b -> b.s < x.e and x.s < b.e)))")
     return out.select(*based.columns, F.expr(f"concat({', '.join(parts)})").alias("cand"))
 
 
@@ -192,27 +214,30 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate: fl
 def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_rows: int = 4000, sample_bytes: int = 10_000, sample_candidates: int = 8000) -> Trees | None:
     """Fit on the candidates of at most ``sample_rows`` documents of at most ``sample_bytes`` bytes (by a hash of the id), ``sample_candidates`` of
     them at most. A candidate on a base span is personal data, another is not; positives are also shown as people disguise them: a phone number
-    without its plus, an address with [at]."""
+    without its plus or its country or area code, an address with [at]. Other parts of a base phone are neither."""
     some = docs.where(F.octet_length(text) <= sample_bytes).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(id_col, text)
-    rows = candidates(base_spans(some, text), text).select(F.explode("cand").alias("c")).select("c.*").select("kind", "base", *FEATURES).limit(sample_candidates).collect()
+    rows = candidates(base_spans(some, text), text).select(F.explode("cand").alias("c")).select("c.*").where("tail OR NOT part").select("kind", "base", "tail", *FEATURES).limit(sample_candidates).collect()
     if not rows:
         return None
     x = np.array([[r[f] or 0.0 for f in FEATURES] for r in rows])
-    y = np.array([bool(r["base"]) for r in rows])
+    y, tail = (np.array([bool(r[c]) for r in rows]) for c in ("base", "tail"))
+    short = x[tail].copy()
+    short[:, [FEATURES.index("run_before"), FEATURES.index("plus")]] = 0
+    x, y = x[~tail], y[~tail]
     more = x[y].copy()
     plus, at, marker = (FEATURES.index(f) for f in ("plus", "at", "marker"))
     hidden = (more[:, plus] > 0) | (more[:, at] > 0)
     more = more[hidden]
     more[:, marker] = np.maximum(more[:, marker], more[:, at])
     more[:, plus] = more[:, at] = 0
-    return fit(np.vstack([x, more]), np.concatenate([y, np.ones(len(more), bool)]))
+    return fit(np.vstack([x, more, short]), np.concatenate([y, np.ones(len(more) + len(short), bool)]))
 
 
 def personal_data(docs: DataFrame, model: Trees | None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``base`` and ``spans``: array<struct<k, s, e>> with k the kind's number in KINDS, sorted by kind, start and end.
 
     ``spans`` holds all of ``base`` and those candidates off every base span whose probability reaches the model's threshold; of
-    candidates that overlap, the most probable stays (of equals the first kind and start). Null and empty texts have no spans; repeated rows get equal ones. Offsets are in code
+    candidates that overlap, the most probable stays (of equals the first kind and start, then the longest); one that is dropped drops no other. Null and empty texts have no spans; repeated rows get equal ones. Offsets are in code
     points, ends exclusive. Columns named base, spans, cand, base_* or gen_* are replaced.
     """
     names = [c for c in docs.columns if c not in ("base", "spans", "cand") and not c.startswith(("base_", "gen_"))]
@@ -224,7 +249,8 @@ def personal_data(docs: DataFrame, model: Trees | None, text_col: str = "text")
     number = "array_position(array('email', 'ip', 'card', 'phone'), x.kind) - 1"
     free = candidates(based, "_text").select(*names, F.expr(flat).alias("base"), F.expr("filter(cand, x -> not x.taken)").alias("cand"))
     judged = free.withColumn("cand", F.expr(f"filter(transform(cand, x -> struct({model.sql('x')} as p, int({number}) as k, x.s as s, x.e as e)), x -> x.p >= {model.threshold!r}D)"))
-    best = judged.withColumn("cand", F.expr("filter(cand, x -> not exists(cand, y -> y.s < x.e and x.s < y.e and (y.p > x.p or (y.p = x.p and struct(y.k, y.s) < struct(x.k, x.s)))))"))
+    ranked = "array_sort(transform(cand, x -> struct(-x.p as o, x.k as k, x.s as s, -x.e as f, x.e as e)))"
+    best = judged.withColumn("cand", F.expr(f"aggregate({ranked}, cast(array() as array<struct<o: double, k: int, s: int, f: int, e: int>>), (a, x) -> if(exists(a, y -> y.s < x.e and x.s < y.e), a, concat(a, array(x))))"))
     return best.select(*names, "base", F.expr("array_sort(concat(base, transform(cand, x -> struct(x.k as k, x.s as s, x.e as e))))").alias("spans"))
 
 

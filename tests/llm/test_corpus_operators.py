@@ -167,6 +167,24 @@ def test_personal_data(spark, empty):
     assert shown == "mail [email] now"
 
 
+def test_phone_generator_proposes_the_common_forms(spark):
+    phones = ["(212) 555-1234", "212-555-1234", "0612345678", "06 12 34 56 78", "030 1234567", "030/12345678", "004930123456", "91 234 56 78", "1-800-555-1234", "+49 (0)30 123-456"]
+    texts = [*(f"é😀 call {p}, then" for p in phones), "12 0612345678 5", "123456 x 1234567890123456", "1 " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {(x.m, x.s) for x in r.gen} for r in pii.proposed(docs, "gen", "phone").collect()}
+    assert all((p, texts[i].index(p)) in got[i] for i, p in enumerate(phones))
+    assert ("0612345678", 3) in got[10] and got[11] == set()
+    assert {len(m) for m, _ in got[12]} == {2 * k - 1 for k in range(7, 16)}
+
+
+def test_dropped_candidates_drop_no_other(spark):
+    # nine digits beat eight, which beat seven; the middle part meets both others and goes, and the last one stays
+    digits = pii.FEATURES.index("digits")
+    model = pii.Trees([(digits, 7.5, 0.5, (digits, 8.5, 1.0, (digits, 9.5, 2.0, -5.0)))], 0.0, 1.0, 0.0, 0.5)
+    r = pii.personal_data(spark.createDataFrame([(0, "1111 22222 333 4444")], "doc_id long, text string"), model).first()
+    assert [(pii.KINDS[x.k], x.s, x.e) for x in r.spans] == [("phone", 0, 10), ("phone", 11, 19)]
+
+
 def test_extra_columns_do_not_clash(docs):
     odd = docs.withColumn("id", F.lit(1)).withColumn("n", F.lit("x")).withColumn("spans", F.lit(0)).withColumn("score", F.lit(None).cast("string"))
     assert token_counts.token_counts(odd, tokenizer("byte_bpe_50k.json")).count() == len(TEXTS)
