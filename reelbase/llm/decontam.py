@@ -7,12 +7,14 @@ and binary-searches every suffix of the benchmark in them. A hit's longest verba
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelbase.llm.common import map_batches, small_batches, utf8
+from reelbase.llm.common import cut, map_batches, small_batches, utf8
 
 #: Bytes that are not in words become spaces, A-Z are lower-cased.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -126,19 +128,19 @@ def scan(texts: list[bytes], q: Queries, most: int) -> tuple[list[int], list[lis
         for d, k in zip(*pairs.tolist(), strict=True):
             hit.setdefault(d, set()).update(q.items[k].tolist())
         for d, own in hit.items():
-            items[a + d] = [q.ids[i] for i in sorted(own)]
+            items[a + d] = sorted({q.ids[i] for i in own})
     return n_words, spans, items
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[object, bytes]]]:
-    """The benchmark's items in blocks whose size is checked before they come to the driver."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[object, bytes]]]]:
+    """How many blocks the benchmark's items fill, by their checked size, and the blocks, which come to the driver one at a time."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), utf8(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     n = -(-size // block_bytes) or 1
     if n == 1:
-        return [[tuple(r) for r in items.collect()]]
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)))
-    return [[tuple(r) for r in dealt.where(F.col("block") == k).select("item", "text").collect()] for k in range(n)]
+        return 1, iter([[tuple(r) for r in items.collect()]])
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return n, ([tuple(r) for r in dealt.where(F.col("block") == k).select("item", "text").collect()] for k in range(n))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
@@ -147,18 +149,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. Null, empty and wordless texts
     have no words and no hits; an empty benchmark hits nothing. Repeated documents are each reported; a null item id
-    reads as the string "null". Nothing is shuffled: the benchmark is sent to the tasks in blocks of at most about
-    ``block_bytes`` (checked; there is one pass over the documents per block, and their hits are united per document), the
-    documents stay where they are read.
+    reads as the string "null"; an item id that repeats is listed once. A benchmark of at most ``block_bytes`` (checked) is sent to
+    the tasks whole: nothing is shuffled, the documents stay where they are read. A larger one goes in blocks of about that size:
+    the texts are written once with a number for each row, there is one pass over them per block, and the hits are united per row.
     """
     spark = docs.sparkSession
     small_batches(spark)
     chosen = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, spans array<int>, items array<string>"
-    parts = blocks(benchmark, item_col, text_col, block_bytes)
-    if len(parts) > 1:
-        chosen = chosen.withColumn("row", F.xxhash64(F.col("id"), F.col("text")))
+    n_blocks, parts = blocks(benchmark, item_col, text_col, block_bytes)
+    if n_blocks > 1:
+        schema = f"row long, {schema}"
+        chosen = cut(chosen.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
+    keys = chosen.columns[:-1]
 
     def one(items):
         q = spark.sparkContext.broadcast(Queries([(i if i is not None else "null", t) for i, t in items], window))
@@ -167,25 +171,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
             own = q.value
 
             def run(b):
-                n, spans, hit = scan(b.column(1).to_pylist(), own, shard_bytes)
-                return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in hit], pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+                n, spans, hit = scan(b.column("text").to_pylist(), own, shard_bytes)
+                return pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(hit, pa.list_(pa.string()))], [*keys, "n_words", "spans", "items"])
 
             return run
 
-        return map_batches(chosen.select("id", "text"), schema, make)
+        return map_batches(chosen, schema, make)
 
-    out = one(parts[0])
-    if len(parts) > 1:
-        for items in parts[1:]:
-            out = out.unionByName(one(items))
+    out = one(next(parts))
+    if n_blocks > 1:
+        for items in parts:
+            # the first block reports every row, the others add what they hit
+            out = out.unionByName(one(items).where(F.size("spans") > 0))
         out = united(out)
     return out.withColumnRenamed("id", id_col)
 
 
 def united(parts: DataFrame) -> DataFrame:
-    """The hits of several blocks as one row per document; overlapping intervals grow together. Repeated ids count as one document."""
+    """The hits of several blocks as one row per ``row``; overlapping intervals grow together."""
     pairs = "flatten(collect_list(transform(sequence(0, greatest(size(spans) div 2 - 1, 0)), i -> named_struct('s', get(spans, 2*i), 'e', get(spans, 2*i+1)))))"
-    out = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), F.expr(f"array_sort(filter({pairs}, x -> x.s is not null))").alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = parts.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.expr(f"array_sort(filter({pairs}, x -> x.s is not null))").alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     grown = "aggregate(p, cast(array() as array<int>), (a, x) -> case when size(a) > 0 and get(a, size(a) - 1) >= x.s then concat(slice(a, 1, size(a) - 1), array(greatest(get(a, size(a) - 1), x.e))) else concat(a, array(x.s, x.e)) end)"
     return out.select("id", "n_words", F.expr(grown).alias("spans"), "items")
 
@@ -232,7 +237,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
         return map_batches(chosen, schema, make)
 
     out = None
-    for items in blocks(benchmark, item_col, text_col, block_bytes):
+    for items in blocks(benchmark, item_col, text_col, block_bytes)[1]:
         out = one(items) if out is None else out.unionByName(one(items))
     return out.withColumnRenamed("id", id_col)
 
@@ -254,7 +259,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
 
         return make
 
-    for items in blocks(benchmark, item_col, text_col, block_bytes):
+    for items in blocks(benchmark, item_col, text_col, block_bytes)[1]:
         out = map_batches(out, out.schema, make_for(spark.sparkContext.broadcast(Queries(items, window))))
     return out.select(*names)
 
