@@ -11,7 +11,7 @@
    are opened; the members that share an early shingle with the query pass the same bounds, then are compared in full.
 5. Links join groups into components.
 
-Every bound is rigorous, so no link is lost; the leaders of step 3 only save work. No step emits the pairs inside a group.
+Every bound is rigorous, so no component is lost; the leaders of step 3 only save work. No step emits the pairs inside a group, unless links are to be counted.
 """
 
 from __future__ import annotations
@@ -223,8 +223,10 @@ def linked(t: int, n: int, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, leaders: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, ``n_shingles``, ``component_id`` (smallest id that links reach), ``links`` (distinct sets it links with among those compared).
+def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, leaders: int = 6, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """Per document: id, ``n_shingles``, ``component_id`` (smallest id that links reach); with ``count_links`` also ``links``, how many other distinct
+    sets its set links with. Components do not need the pairs inside a group, of which there are as many as the square of its size; the count
+    does, and compares them all in full.
 
     Two documents link when 100 * intersection >= ``threshold`` * union of their sets of ``n``-word shingles. Null, empty and
     space-only texts have no shingles and link with nothing. Equal sets share a component; a repeated id counts as one document for
@@ -283,10 +285,15 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     cross = linked(t, n, bounded(t, with_info(cut(met(t, opened, placed), "met"), info, t)), texts)
     links = cut(star_links.union(cross), "links")
     comp = connected_components(links)
-    count = links.select("a").union(links.select(F.col("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    by_sig = reps.join(comp, reps.rep == comp.id, "left").join(count, F.col("rep") == F.col("a"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    by_sig = reps.join(comp, reps.rep == comp.id, "left").select("sig", "rep", F.coalesce("component", "rep").alias("component_id"))
+    counted = []
+    if count_links:
+        inner = linked(t, n, bounded(t, with_info(cut(within(t, placed), "within"), info, t)), texts)
+        pairs = links.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        count = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
+        by_sig, counted = by_sig.join(count, "rep", "left"), [F.coalesce("links", F.lit(0)).cast("long").alias("links")]
     out = seen.select("id", "n", "sig").join(by_sig, "sig", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *counted)
 
 
 def with_info(pairs: DataFrame, info: DataFrame, t: int) -> DataFrame:
@@ -328,6 +335,15 @@ def met(t: int, opened: DataFrame, placed: DataFrame) -> DataFrame:
     return both.where(F.col("rest") >= needed(t, F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
 
+def within(t: int, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one group that have a prefix shingle in common, early enough in both to link."""
+    early = (F.col("size") - F.col("pos")).alias("rest")
+    one = placed.select("group", "token", F.col("id").alias("a"), F.col("size").cast("long").alias("na"), early.alias("ra"))
+    other = placed.select("group", "token", F.col("id").alias("b"), F.col("size").cast("long").alias("nb"), early.alias("rb"))
+    both = one.join(other, ["group", "token"]).where("a < b").where((F.col("na") * 100 >= F.col("nb") * t) & (F.col("na") * t <= F.col("nb") * 100))
+    return both.where(F.least("ra", "rb") >= needed(t, F.col("na"), F.col("nb"))).select("a", "b").distinct()
+
+
 def deduplicated(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, that with the smallest id, with all its columns. Documents without shingles stay."""
     c = ngram_jaccard_components(docs, n, threshold, id_col=id_col, text_col=text_col)
