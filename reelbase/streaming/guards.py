@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def guarded(values: pd.Series, bias: float, alpha: float, most: float, last: float | None = None) -> tuple[list[float], float | None]:
@@ -19,13 +21,27 @@ def guarded(values: pd.Series, bias: float, alpha: float, most: float, last: flo
 
 
 def action_guard(ticks: DataFrame, bias: float = 2.0, alpha: float = 0.5, most: float = 5.0) -> DataFrame:
-    """Batch: (rollout, step, value) -> (rollout, step, sent). A rollout is bounded by its time limit, so it fits a task."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("step")
-        return pd.DataFrame({"rollout": frame["rollout"], "step": frame["step"], "sent": guarded(frame["value"], bias, alpha, most)[0]})
-
-    return ticks.groupBy("rollout").applyInPandas(run, "rollout long, step long, sent double")
+    """Batch: (rollout, step, value) -> (rollout, step, sent). Rollouts come sorted in batches, and only the last output is carried over, so a rollout of any
+    length takes the memory of one batch. A null value counts as NaN, as pandas reads it."""
+
+    def run(batches):
+        own, last = object(), None
+        for b in batches:
+            rollouts, sent, start = b.column(0).to_pylist(), [], 0
+            values = b.column(2).fill_null(float("nan")).to_pylist()
+            for i in range(1, len(rollouts) + 1):
+                if i < len(rollouts) and rollouts[i] == rollouts[start]:
+                    continue
+                if rollouts[start] != own:
+                    own, last = rollouts[start], None
+                out, last = guarded(values[start:i], bias, alpha, most, last)
+                sent += out
+                start = i
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sent, pa.float64(), from_pandas=True)], ["rollout", "step", "sent"])
+
+    typed = ticks.select(F.col("rollout").cast("long"), F.col("step").cast("long"), F.col("value").cast("double"))
+    dealt = typed.repartition("rollout").sortWithinPartitions("rollout", F.asc_nulls_last("step"))
+    return dealt.mapInArrow(run, "rollout long, step long, sent double")
 
 
 def action_guard_stream(ticks: DataFrame, bias: float = 2.0, alpha: float = 0.5, most: float = 5.0) -> DataFrame:
