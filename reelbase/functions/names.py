@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,10 +57,21 @@ def denormalised(y: Column, low: Column, high: Column) -> Column:
     return (y + 1) / 2 * (high - low) + low
 
 
+def edges(bins: int = 256) -> list[float]:
+    return np.linspace(-1, 1, bins).tolist()
+
+
 def binned(x: Column, bins: int = 256) -> Column:
-    """Which of ``bins`` - 1 steps of [-1, 1] a clipped value reaches, from 1 on."""
+    """How many of ``bins`` even edges of [-1, 1] a clipped value reaches, by the exact edges."""
     c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
-    return F.least(F.floor((c + 1) / 2 * (bins - 1)) + 1, F.lit(bins)).cast("int")
+    return F.size(F.filter(F.array(*map(F.lit, edges(bins))), lambda e: e <= c))
+
+
+def unbinned(index: Column, bins: int = 256) -> Column:
+    """The centre of a bin of :func:`binned`; indexes outside take the nearest bin."""
+    e = edges(bins)
+    centres = F.array(*[F.lit((a + b) / 2) for a, b in zip(e[:-1], e[1:], strict=True)])
+    return F.element_at(centres, F.greatest(F.lit(1), F.least(F.lit(bins - 1), index.cast("int"))))
 
 
 def color_factor(saturation: Column) -> Column:
@@ -71,6 +83,11 @@ def ramp_down(x: Column, fail: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - x / fail))
 
 
+def ramp_up(x: Column, target: float) -> Column:
+    """x / target held to [0, 1]; 0 where the target is not positive."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / target)) if target > 0 else F.lit(0.0)
+
+
 def three_way(x: Column, threshold: float = 12.0) -> Column:
     return F.when(x > threshold, "left").when(x < -threshold, "right").otherwise("middle")
 

@@ -99,6 +99,13 @@ def fractional_windows(df: DataFrame, column: str, fps: int, keys=EPISODE) -> Da
     return d.groupBy(*keys).agg(F.max(F.when(F.col("frame_index") < F.greatest(F.lit(1), F.floor(F.col("n") * 0.25)), F.col(column))).alias("early_max"), F.percentile(F.when(F.col("frame_index") >= F.floor(F.col("n") * 0.75), F.col(column)), F.lit(0.5)).alias("late_median"), (F.min(F.when(F.col(column) >= 20, F.col("frame_index"))) / fps).alias("first_cross_s"))
 
 
+def late_windows(df: DataFrame, column: str, extended: str, fps: int, keys=EPISODE) -> DataFrame:
+    """q90 and q99 of the last quarter, mean of the last second, and the maximum of ``extended`` over its mean in the first second."""
+    late = F.when(F.col("frame_index") >= F.floor(F.col("n") * 0.75), F.col(column))
+    start = F.avg(F.when(F.col("frame_index") < fps, F.col(extended)))
+    return with_length(df, keys).groupBy(*keys).agg(F.percentile(late, F.lit(0.9)).alias("late_q90"), F.percentile(late, F.lit(0.99)).alias("late_q99"), F.avg(F.when(F.col("n") - F.col("frame_index") <= fps, F.col(column))).alias("last_second_mean"), (F.max(extended) - start).alias("extension"))
+
+
 def grasp_event(df: DataFrame, delta: float = 10.0, keys=EPISODE) -> DataFrame:
     """Adds ``grasp``: first frame whose gripper differs from the first frame's by more than ``delta``, else 35 % of the length, held to
     15 % .. 50 %; and ``pregrasp``: whether a frame comes no later."""

@@ -23,6 +23,14 @@ def calibration(peaks_df: DataFrame) -> DataFrame:
     return peaks_df.groupBy("position").agg(F.percentile("peak", F.lit(0.5)).alias("centroid"), F.count(F.lit(1)).alias("episodes"))
 
 
+def boundaries(centroids: DataFrame, least_gap: float = 5.0) -> DataFrame:
+    """Between centroids next to each other: lower and upper position, midpoint, gap, and whether the smallest gap separates them all."""
+    # one row per position
+    step = centroids.withColumns({c: F.expr(f"lead({v}) OVER (ORDER BY centroid, position)") for c, v in (("upper", "position"), ("_next", "centroid"))})
+    gaps = step.where("upper IS NOT NULL").select(F.col("position").alias("lower"), "upper", ((F.col("centroid") + F.col("_next")) / 2).alias("midpoint"), (F.col("_next") - F.col("centroid")).alias("gap"))
+    return gaps.withColumn("separable", F.expr(f"min(gap) OVER () >= {least_gap}"))
+
+
 def placement_share(frames: DataFrame, pass_at: float = 0.8) -> DataFrame:
     """Per dataset: episodes, those whose peak is nearest the centroid of their own position (ties: left, right, middle), share and verdict."""
     p = peaks(frames)

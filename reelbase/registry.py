@@ -104,6 +104,12 @@ def ts_12(s, d):
     return r6(T.fractional_windows(frames_of(s, d), "gripper", FPS), "late_median", "first_cross_s")
 
 
+@query("ts_12_late_windows", f"""WITH {LEN} SELECT f.repo_no, f.episode_index, round(quantile_cont(gripper, 0.9) FILTER (WHERE frame_index >= floor(n * 0.75)), 6) AS late_q90, round(quantile_cont(gripper, 0.99) FILTER (WHERE frame_index >= floor(n * 0.75)), 6) AS late_q99,
+ round(avg(gripper) FILTER (WHERE n - frame_index <= 30), 6) AS last_second_mean, round(max(lift) - avg(lift) FILTER (WHERE frame_index < 30), 6) AS extension FROM frames f JOIN length_ USING (repo_no, episode_index) GROUP BY 1, 2""")
+def ts_12_late(s, d):
+    return r6(T.late_windows(frames_of(s, d), "gripper", "lift", FPS), "late_q90", "late_q99", "last_second_mean", "extension")
+
+
 @query("ts_13_grasp_event", f"""WITH {LEN}, g AS (SELECT repo_no, episode_index, gripper AS g0 FROM frames WHERE frame_index = 0),
  h AS (SELECT repo_no, episode_index, n, min(frame_index) FILTER (WHERE abs(gripper - g0) > 10) AS hit FROM frames JOIN g USING (repo_no, episode_index) JOIN length_ USING (repo_no, episode_index) GROUP BY 1, 2, 3)
  SELECT repo_no, episode_index, CAST(greatest(floor(n * 0.15), least(floor(n * 0.5), coalesce(hit, floor(n * 0.35)))) AS BIGINT) AS grasp, CAST(greatest(floor(n * 0.15), least(floor(n * 0.5), coalesce(hit, floor(n * 0.35)))) AS BIGINT) + 1 AS pre_frames FROM h""")
@@ -157,6 +163,14 @@ def agg_11(s, d):
     return r6(audit.calibration(audit.peaks(frames_of(s, d))), "centroid")
 
 
+@query("agg_11_boundaries", """WITH p AS (SELECT repo_no, episode_index, CASE WHEN abs(max(pan)) >= abs(min(pan)) THEN max(pan) ELSE min(pan) END AS peak FROM frames GROUP BY 1, 2),
+ c AS (SELECT ['left', 'middle', 'right'][CAST(repo_no % 3 AS INT) + 1] AS position, quantile_cont(peak, 0.5) AS centroid FROM p GROUP BY 1),
+ g AS (SELECT position AS lower, lead(position) OVER w AS upper, (centroid + lead(centroid) OVER w) / 2 AS midpoint, lead(centroid) OVER w - centroid AS gap FROM c WINDOW w AS (ORDER BY centroid, position))
+ SELECT lower, upper, round(midpoint, 6) AS midpoint, round(gap, 6) AS gap, min(gap) OVER () >= 5 AS separable FROM g WHERE upper IS NOT NULL""")
+def agg_11_boundaries(s, d):
+    return r6(audit.boundaries(audit.calibration(audit.peaks(frames_of(s, d)))), "midpoint", "gap")
+
+
 @query("agg_18_rollup", f"WITH {TRUNC.format(end='l + 1')} SELECT repo_no, min(kept) AS kept_min, round(avg(kept), 6) AS kept_mean, max(kept) AS kept_max, count(*) AS episodes FROM t GROUP BY GROUPING SETS ((repo_no), ())")
 def agg_18(s, d):
     return T.truncation(frames_of(s, d), "last", 5, 40).rollup("repo_no").agg(F.min("kept").alias("kept_min"), F.round(F.avg("kept"), 6).alias("kept_mean"), F.max("kept").alias("kept_max"), F.count(F.lit(1)).alias("episodes"))
@@ -246,6 +260,19 @@ def mth_08(s, d):
     return read(s, d, "embeddings").select("vec_id", F.round(F.sqrt(F.expr("aggregate(embedding, 0D, (a, x) -> a + double(x) * double(x))")), 5).alias("l2"))
 
 
+@query("mth_08_l1_and_pairs", """SELECT a.vec_id, round(list_sum(list_transform(a.embedding, lambda x: abs(CAST(x AS DOUBLE)))) / len(a.embedding), 5) AS l1_mean,
+ round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))), 5) AS l2_next FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def mth_08_pairs(s, d):
+    e = read(s, d, "embeddings").select("vec_id", "embedding")
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id", "left")
+    return j.select("vec_id", F.round(F.expr("aggregate(embedding, 0D, (a, x) -> a + abs(double(x))) / size(embedding)"), 5).alias("l1_mean"), F.round(F.sqrt(F.expr("aggregate(zip_with(embedding, other, (x, y) -> double(x) - double(y)), 0D, (a, x) -> a + x * x)")), 5).alias("l2_next"))
+
+
+@query("mth_09_ramps", "SELECT p_partkey, round(greatest(0, least(1, 1 - p_size / 40.0)), 6) AS down, round(greatest(0, least(1, p_retailprice / 1000.0)), 6) AS up FROM part")
+def mth_09(s, d):
+    return read(s, d, "part").select("p_partkey", F.round(N.ramp_down(F.col("p_size"), 40.0), 6).alias("down"), F.round(N.ramp_up(F.col("p_retailprice"), 1000.0), 6).alias("up"))
+
+
 @query("mth_12_cosine_decay", "SELECT o_orderkey, round(1 + 9 * 0.5 * (1 + cos(greatest(0, least(1, o_orderkey / 10000.0)) * pi())), 6) AS sigma FROM orders")
 def mth_12(s, d):
     return read(s, d, "orders").select("o_orderkey", F.round(N.cosine_decay(F.col("o_orderkey"), 10000.0, 10.0, 1.0), 6).alias("sigma"))
