@@ -69,10 +69,14 @@ def records(f: BinaryIO, wants=lambda headers: True, payload: bool = True) -> It
         z = zlib.decompressobj(-15)
         head = z.decompress(first, 1 << 16)
         read = len(first)
-        while b"\r\n\r\n" not in head and read < packed:
-            more = f.read(min(packed - read, 4096))
+        while b"\r\n\r\n" not in head and not z.eof:
+            tail = z.unconsumed_tail
+            more = b"" if tail else f.read(min(packed - read, 4096))
             read += len(more)
-            head += z.decompress(z.unconsumed_tail + more, 1 << 16)
+            got = z.decompress(tail + more, 1 << 16)
+            if not (got or tail or more):
+                raise ValueError("a record ends in its headers")
+            head += got
         block, _, rest = head.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in block.decode("utf-8", "replace").split("\r\n")[1:])
         if not wants(headers):
