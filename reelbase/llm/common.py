@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where a session
-    has none (tests), a fresh temporary folder is set for it."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A session without it gets a temporary folder if driver and executors
+    are one process; on a cluster, where each machine would write to a disk of its own, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_reelbase_shared", None) or tempfile.mkdtemp(prefix="spark-")
         spark._reelbase_shared = base
     return base.rstrip("/")
@@ -38,8 +40,17 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until ``df`` has no such column: a helper column never replaces a user's."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch of texts holds."""
+    """Bound what one Arrow batch of texts holds. These are settings of the session and hold for what it runs later, too: the operators set them before
+    each plan, and none needs larger batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -49,6 +60,17 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, most_hot: int = 10_000) -> DataFrame:
+    """``rows.join(table, key)`` where a key may hold a large part of all rows. ``table`` is a written one with one row per key and ``weight``, how many
+    rows have that key. Keys with at least a ``most_hot``-th of the whole weight, of which there are ``most_hot`` at most, are broadcast, so their rows
+    stay where they are; the others are shuffled, none of them being large. The weight is left out of the result."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    least = max(1000.0, total / most_hot)
+    hot = F.broadcast(table.where(F.col(weight) >= least).drop(weight))
+    cold = table.where(F.col(weight) < least).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """``make`` runs once in each task and returns what maps its batches."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from reelbase.llm import decontam, fingerprints, line_dedup, pii, sentencepiece_codec, setjoin, token_counts, toxicity, url_filter, warc
 from reelbase.llm.common import table
 
-#: Where the vocabulary files are, if not beside the installed module.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR")
-
 
 def tokenizer(name: str) -> str:
-    if TOKENIZERS:
-        return os.path.join(TOKENIZERS, name)
     import public_tokenizers
 
     return public_tokenizers.path(name)
