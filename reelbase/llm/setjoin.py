@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelbase.llm.common import Memo, cut, map_batches, small_batches, utf8
+from reelbase.llm.common import Memo, cut, free_name, lookup, map_batches, small_batches, utf8
 from reelbase.llm.components import connected_components
 
 SKETCH = 1 << 19  # counters of the sketch: fixed, 4 MB when it is broadcast
@@ -43,7 +43,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def shingler(n: int):
     """Text as bytes -> sorted distinct 64-bit hashes of its ``n``-word shingles; fewer words are one shingle; none: empty.
     Words are runs of non-space bytes, A-Z lower-cased."""
-    get = Memo(xxhash.xxh3_64_intdigest, 200_000).__getitem__
+    get = Memo(xxhash.xxh3_64_intdigest, 100_000).__getitem__
 
     def run(text: bytes) -> np.ndarray:
         w = text.lower().split()
@@ -84,35 +84,37 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def first_pass(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, sig) of every document, and how many sets hold a shingle of each of ``SKETCH`` cells, from one reading of the texts. Tasks
+    """(id, n, sig, h) of every document, and how many sets hold a shingle of each of ``SKETCH`` cells, from one reading of the texts. Tasks
     count on their own, Spark adds the rows up; what comes to the driver has a fixed size."""
 
     def count(batches):
-        shingles, total, names = shingler(n), np.zeros(SKETCH, np.int32), ["row", "id", "n", "data"]
+        shingles, total, names = shingler(n), np.zeros(SKETCH, np.int32), ["row", "id", "n", "data", "h"]
         for b in batches:
             parts = [shingles(t) for t in b.column(1).to_pylist()]
             if parts:
                 total += np.bincount((np.concatenate(parts) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([xxhash.xxh3_128_digest(p.tobytes()) for p in parts], pa.binary())], names)
+                sig = pa.array([xxhash.xxh3_128_digest(p.tobytes()) for p in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), b.column(0), pa.array([len(p) for p in parts], pa.int64()), sig, b.column(2)], names)
         rows = total.reshape(-1, ROW)
         used = np.nonzero(rows.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array([rows[i].astype("<i8").tobytes() for i in used], pa.binary())], names)
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), none, none, pa.array([rows[i].astype("<i8").tobytes() for i in used], pa.binary()), none], names)
 
     def add(frame):
         import pandas as pd
 
         return pd.DataFrame({"row": frame["row"][:1], "data": [np.sum([np.frombuffer(c, "<i8") for c in frame["data"]], axis=0, dtype=np.int64).tobytes()]})
 
-    both = cut(docs.mapInArrow(count, "row long, id long, n long, data binary"), "first-pass")
+    both = cut(docs.mapInArrow(count, "row long, id long, n long, data binary, h long"), "first-pass")
     some = both.where("row IS NOT NULL").select("row", "data").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("row", "part").applyInPandas(add, "row long, data binary")
     total = np.zeros((SKETCH // ROW, ROW), np.int64)
     for r in some.groupBy("row").applyInPandas(add, "row long, data binary").collect():
         total[r["row"]] = np.frombuffer(r["data"], "<i8")
-    return both.where("row IS NULL").select("id", "n", F.col("data").alias("sig")), total.ravel()
+    return both.where("row IS NULL").select("id", "n", F.col("data").alias("sig"), "h"), total.ravel()
 
 
 def signatures(docs: DataFrame, n: int, t: int, sketch: np.ndarray, sent) -> DataFrame:
-    """Per document: ``n`` (set size), ``sig`` (of the whole set), ``bits`` and ``some`` (:func:`bitmaps`), ``prefix`` (first shingles, rarest first)
+    """Per document: ``h`` (hash of its text), ``n`` (set size), ``sig`` (of the whole set), ``bits`` and ``some`` (:func:`bitmaps`), ``prefix`` (first shingles, rarest first)
     and ``sure``: the filter ``sent`` does not hold its id."""
     rarity = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**32 - 1).astype(np.uint32))
 
@@ -132,11 +134,12 @@ def signatures(docs: DataFrame, n: int, t: int, sketch: np.ndarray, sent) -> Dat
                 keep = m - -(-t * m // 100) + 1 if m else 0
                 prefix.append(s[np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:keep]].view(np.int64))
             sure = pa.array(~in_filter(b.column(0), sent.value))
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.array(some, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), sure], ["id", "n", "sig", "bits", "some", "prefix", "sure"])
+            columns = [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.array(some, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), sure]
+            return pa.RecordBatch.from_arrays(columns, ["id", "h", "n", "sig", "bits", "some", "prefix", "sure"])
 
         return run
 
-    return map_batches(docs, f"id {docs.schema['id'].dataType.simpleString()}, n long, sig binary, bits binary, some binary, prefix array<long>, sure boolean", make)
+    return map_batches(docs, "id long, h long, n long, sig binary, bits binary, some binary, prefix array<long>, sure boolean", make)
 
 
 def needed(t: int, a: Column, b: Column) -> Column:
@@ -144,8 +147,13 @@ def needed(t: int, a: Column, b: Column) -> Column:
     return F.ceil(F.lit(t) * (a + b) / F.lit(100.0 + t) - F.lit(1e-9))
 
 
+#: A pair's sets by their keys, and the document (id, hash of its text) in which each set stands.
+PAIR = "a long, b long, id_a long, h_a long, id_b long, h_b long"
+PAIR_COLUMNS = ["a", "b", "id_a", "h_a", "id_b", "h_b"]
+
+
 def bounded(t: int, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b with na, nb, bits_a, bits_b) that their sizes and bitmaps let link."""
+    """Pairs (PAIR with na, nb, bits_a, bits_b) that their sizes and bitmaps let link."""
 
     def run(batches):
         for b in batches:
@@ -153,10 +161,9 @@ def bounded(t: int, pairs: DataFrame) -> DataFrame:
             diff = np.maximum(np.fromiter(map(differing, b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist()), np.int64, b.num_rows), np.abs(na - nb))
             shared = (na + nb - diff) // 2
             keep = 100 * shared >= t * (na + nb - shared)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
+            yield b.select(PAIR_COLUMNS).filter(pa.array(keep))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select(*PAIR_COLUMNS, "na", "nb", "bits_a", "bits_b").mapInArrow(run, PAIR)
 
 
 def filter_cells(values: pa.Array) -> np.ndarray:
@@ -195,18 +202,18 @@ def maybe_in(rows: DataFrame, column: str, sent) -> DataFrame:
 
 
 def linked(t: int, n: int, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets, which are rebuilt from the texts of just these documents."""
+    """The pairs (a, b) of PAIR that link, by their whole sets, which are rebuilt from just these documents."""
     pairs = cut(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    docs = maybe_in(docs, "id", filter_of(wanted))
-    kind = docs.schema["id"].dataType.simpleString()
+    wanted = pairs.selectExpr("a AS key", "id_a AS id", "h_a AS h").union(pairs.selectExpr("b", "id_b", "h_b")).distinct()
+    docs = maybe_in(docs, "id", filter_of(wanted.select("id")))
 
     def make():
         shingles = shingler(n)
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["id", "tokens"])
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["key", "tokens"])
 
-    sets = cut(map_batches(docs.join(wanted, "id", "left_semi"), f"id {kind}, tokens binary", make).dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    texts = docs.join(wanted, ["id", "h"]).select("key", "text")
+    sets = cut(map_batches(texts, "key long, tokens binary", make).dropDuplicates(["key"]), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
 
     def compare(batches):
         for b in batches:
@@ -220,7 +227,20 @@ def linked(t: int, n: int, pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= t * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {kind}, b {kind}")
+    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+
+
+def set_keys(seen: DataFrame) -> tuple[DataFrame, bool]:
+    """(sig, rep, key, rows) of every distinct set: the smallest id that has it, a number of its own, and how many rows have it. The number is that id, unless
+    documents of one id have several sets; all but one of them get numbers above every id. And whether there are such numbers."""
+    reps = cut(seen.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "reps")
+    first = reps.groupBy("rep").agg(F.min("sig").alias("least"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("rep", "least")
+    several = cut(reps.join(first, "rep").where("sig <> least").select("sig"), "several")
+    if several.isEmpty():
+        return reps.withColumn("key", F.col("rep")), False
+    top = seen.agg(F.max("id")).first()[0]
+    extra = cut(several.withColumn("own", F.monotonically_increasing_id() + F.lit(top + 1)), "keys")
+    return reps.join(extra, "sig", "left").select("sig", "rep", "rows", F.coalesce("own", "rep").alias("key")), True
 
 
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, leaders: int = 6, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
@@ -229,21 +249,41 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     does, and compares them all in full.
 
     Two documents link when 100 * intersection >= ``threshold`` * union of their sets of ``n``-word shingles. Null, empty and
-    space-only texts have no shingles and link with nothing. Equal sets share a component; a repeated id counts as one document for
-    each of its texts and takes its smallest component. Ids are integers and not null.
+    space-only texts have no shingles and link with nothing. Equal sets share a component. Rows of one id with different texts are documents of their own
+    that happen to have one id: each gets the component of its own text. Ids are integers; a row without one links with nothing and has a null
+    component.
     """
-    spark, t = docs.sparkSession, threshold
-    small_batches(spark, 1000)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    small_batches(docs.sparkSession, 1000)
+    seen, by_sig = set_components(texts.where("id IS NOT NULL"), n, threshold, leaders, count_links)
+    counted = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] if count_links else []
+    placed = lookup(seen.where("n > 0"), by_sig, "sig", "rows").select("id", "n", "component_id", *counted)
+    bare = seen.where("n = 0").select("id", "n", F.col("id").alias("component_id"), *[F.lit(0).cast("long").alias("links")][: len(counted)])
+    out = placed.unionByName(bare).withColumnsRenamed({"id": id_col, "n": "n_shingles"})
+
+    def make():
+        shingles = shingler(n)
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([len(shingles(x)) for x in b.column(1).to_pylist()], pa.int64())], ["id", "n"])
+
+    alone = map_batches(texts.where("id IS NULL"), "id long, n long", make).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(alone.withColumn("links", F.lit(0).cast("long")) if count_links else alone)
+
+
+def set_components(texts: DataFrame, n: int, t: int, leaders: int, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """Of (id, text, h): (id, n, sig, h) of every row, and a written table (sig, rows, component, component_id) of every distinct
+    set, with ``links`` if they are to be counted. ``component`` tells components apart that share their smallest id."""
     seen, sketch = first_pass(texts, n)
-    reps = seen.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    chosen = reps.groupBy(F.col("rep").alias("id")).agg(F.min("sig").alias("sig"))
+    reps, numbered = set_keys(seen)
     # sets whose id no other row can have are taken as they are; only the others move to be held against the representatives
-    others = filter_of(seen.where("n > 0").join(chosen, ["id", "sig"], "left_anti").select("id"))
+    plain = reps.where("rep = key AND rows = 1").select(F.col("rep").alias("id"), "sig")
+    others = filter_of(seen.where("n > 0").join(plain, ["id", "sig"], "left_anti").select("id"))
     every = cut(signatures(texts, n, t, sketch, others).where("n > 0"), "signatures")
-    doubtful = cut(every.where("NOT sure").join(chosen, ["id", "sig"], "left_semi").select(every.columns), "sets")
-    sets = every.where("sure").union(doubtful).drop("sig", "sure")
-    info = sets.select("id", "n", "bits")
+    doubtful = every.where("NOT sure").join(reps.select(F.col("rep").alias("id"), "sig", "key"), ["id", "sig"])
+    columns = ["key AS id", "id AS at", "h", "n", "bits", "some", "prefix"]
+    doubtful = cut(doubtful.selectExpr(*columns).dropDuplicates(["id"]), "sets")
+    # a filter never misses an id that it holds, so a set that is sure is the only one of its id
+    sets = every.where("sure").selectExpr("id AS key", "*").selectExpr(*columns).union(doubtful)
+    info = sets.select("id", "at", "h", "n", "bits")
 
     # postings of the shingles that more than one set has in its prefix; the others are counted, and stay where they are
     tokens = sets.select(F.explode("prefix").alias("token"))
@@ -263,11 +303,13 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     placed = cut(postings.drop("leader").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"), "placed")
 
     # the matrix: groups (sets of one size within what the leaders joined) that share a shingle with another group
-    g_size = sets.select("id").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("group")).agg(F.count(F.lit(1)).alias("members"))
+    sizes = sets.select("id").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("group")).agg(F.count(F.lit(1)).alias("members"))
+    # how many rows have a group follows its members
+    g_size = cut(sizes.withColumn("weight", F.col("members")), "group-sizes")
     matrix = placed.groupBy("token", "group", F.col("size").alias("other")).agg(F.max(F.col("size") - F.col("pos")).alias("rest"))
     mixed_tokens = matrix.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("token")
-    matrix = matrix.join(mixed_tokens, "token", "left_semi").join(g_size, "group")
-    queries = placed.join(mixed_tokens, "token", "left_semi").join(g_size.select("group", F.col("members").alias("own_members")), "group").withColumnRenamed("group", "own")
+    matrix = lookup(cut(matrix.join(mixed_tokens, "token", "left_semi"), "matrix"), g_size, "group", "weight")
+    queries = lookup(cut(placed.join(mixed_tokens, "token", "left_semi"), "mixed"), g_size.withColumnRenamed("members", "own_members"), "group", "weight").withColumnRenamed("group", "own")
     hits = (
         queries.join(matrix, "token")
         .where("own <> group")
@@ -278,28 +320,32 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
         .distinct()
     )
     hits = cut(hits, "hits")
-    asked = hits.select("group", "other").distinct()
-    members = sets.select("id", F.col("n").alias("other"), "some").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component").join(asked, ["group", "other"], "left_semi")
+    asked = hits.select("group", F.struct("group", "other").alias("part")).distinct().join(g_size.select("group", "weight"), "group").select("part", "weight")
+    members = sets.select("id", F.col("n").cast("int").alias("other"), "some").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    members = lookup(members.select("group", "other", "some", F.struct("group", "other").alias("part")), cut(asked, "asked"), "part", "weight")
     # what a group's union of bitmaps lacks of a set's bitmap, no member has
     opened = cut(qualified(t, hits.join(sets.select("id", "some"), "id").join(unions(members), ["group", "other"])), "opened")
     cross = linked(t, n, bounded(t, with_info(cut(met(t, opened, placed), "met"), info, t)), texts)
     links = cut(star_links.union(cross), "links")
     comp = connected_components(links)
-    by_sig = reps.join(comp, reps.rep == comp.id, "left").select("sig", "rep", F.coalesce("component", "rep").alias("component_id"))
-    counted = []
+    by_sig = reps.join(comp, reps.key == comp.id, "left").select("sig", "rep", "rows", "key", F.coalesce("component", "key").alias("component"))
+    if numbered:  # the smallest id of a component, whose sets may have numbers of their own
+        by_sig = cut(by_sig, "found")
+        least = by_sig.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("weight"))
+        by_sig = lookup(by_sig, cut(least, "components"), "component", "weight")
+    else:
+        by_sig = by_sig.withColumn("component_id", F.col("component"))
     if count_links:
         inner = linked(t, n, bounded(t, with_info(cut(within(t, placed), "within"), info, t)), texts)
         pairs = links.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        count = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
-        by_sig, counted = by_sig.join(count, "rep", "left"), [F.coalesce("links", F.lit(0)).cast("long").alias("links")]
-    out = seen.select("id", "n", "sig").join(by_sig, "sig", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *counted)
+        count = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("links"))
+        by_sig = by_sig.join(count, "key", "left")
+    return seen, cut(by_sig.drop("key", "rep"), "components")
 
 
 def with_info(pairs: DataFrame, info: DataFrame, t: int) -> DataFrame:
     info = maybe_in(info, "id", filter_of(pairs.select("a").union(pairs.select("b"))))
-    a = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    b = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    a, b = (info.select(F.col("id").alias(x), F.col("at").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").where((F.col("na") * 100 >= F.col("nb") * t) & (F.col("na") * t <= F.col("nb") * 100))
 
 
@@ -345,7 +391,20 @@ def within(t: int, placed: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, that with the smallest id, with all its columns. Documents without shingles stay."""
-    c = ngram_jaccard_components(docs, n, threshold, id_col=id_col, text_col=text_col)
-    gone = c.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each component stays, with all its columns: that with the smallest id, of several with that id one by a hash of their texts, of
+    rows with one id and text any one. Rows without shingles or without an id stay."""
+    small_batches(docs.sparkSession, 1000)
+    row, own = free_name(docs, "_h"), free_name(docs, "_at")
+    keyed = docs.withColumn(row, F.xxhash64(utf8(text_col))).withColumn(own, F.col(id_col).cast("long"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    seen, by_sig = set_components(texts.where("id IS NOT NULL"), n, threshold, 6, False)
+    placed = cut(lookup(seen.where("n > 0"), by_sig, "sig", "rows").groupBy("id", "h", "component").agg(F.count(F.lit(1)).alias("rows")), "placed")
+    stays = placed.groupBy("component").agg(F.min(F.struct("id", "h")).alias("kept"), F.count(F.lit(1)).alias("texts"), F.max("rows").alias("rows")).where("texts > 1 OR rows > 1")
+    stays = cut(stays.selectExpr("component", "kept.id AS id", "kept.h AS h", "texts AS weight"), "kept")
+    kept = stays.selectExpr("component", "id AS kept_id", "h AS kept_h", "weight")
+    gone = lookup(placed, kept, "component", "weight").where("id <> kept_id OR h <> kept_h").selectExpr(f"id AS {own}", f"h AS {row}")
+    many = cut(placed.where("rows > 1").join(stays.select("id", "h"), ["id", "h"], "left_semi").selectExpr(f"id AS {own}", f"h AS {row}"), "repeated")
+    left = keyed.join(cut(gone, "gone"), [own, row], "left_anti")
+    if not many.isEmpty():
+        left = left.join(many, [own, row], "left_anti").unionByName(left.join(many, [own, row], "left_semi").dropDuplicates([own, row]))
+    return left.select(*docs.columns)
