@@ -9,27 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelbase.llm.common import cut
+from reelbase.llm.common import cut, free_name, lookup
 
 LG_K = 12  # 4,096 registers: a relative error of 1.6 %
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """id, row (hash of the text), pos, h (hash of the trimmed line), site (hash). Blank lines are left out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.xxhash64(F.coalesce(F.col(site_col), F.lit(""))).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return rows.select("id", "row", "pos", F.trim("line").alias("line"), "site").where("line <> ''").select("id", "row", "pos", F.xxhash64("line").alias("h"), "site")
+def line_table(docs: DataFrame, row: str, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """id, row (hash of the text), pos, h (128-bit hash of the trimmed line), site (hash). Blank lines are left out."""
+    site = F.xxhash64(F.coalesce(F.col(site_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(row).alias("row"), site.alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    line = rows.select("id", "row", "pos", F.trim("line").alias("line"), "site").where("line <> ''")
+    return line.select("id", "row", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("h"), "site")
 
 
 def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """h and ``first`` (smallest id that holds it) of the lines on at least ``min_sites`` distinct sites."""
-    several = lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("id").alias("first")).where("a <> b").select("h", "first")
-    held = lines.select("h", "site").join(several.select("h"), "h", "left_semi")
+    """h, ``first`` (smallest id that holds it) and n (how many rows do) of the lines on at least ``min_sites`` distinct sites."""
+    several = cut(
+        lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "first", "n"),
+        "several",
+    )
+    held = lookup(lines.select("h", "site"), several.select("h", "n"), "h", "n")
     sketches = held.groupBy("h", F.pmod(F.xxhash64("site", "h"), F.lit(8)).alias("part")).agg(F.hll_sketch_agg("site", LG_K).alias("s")).groupBy("h").agg(F.hll_union_agg("s").alias("s"))
     margin = max(1.0, min_sites * 3 * 1.04 / 2 ** (LG_K / 2))
     judged = cut(sketches.select("h", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= min_sites - margin), "judged")
     sure = judged.where(F.col("sites") > min_sites + margin).select("h")
-    near = judged.where(F.col("sites") <= min_sites + margin).select("h")
-    exact = held.join(near, "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") >= min_sites).select("h")
+    near = judged.where(F.col("sites") <= min_sites + margin).join(several, "h").select("h", "n")
+    exact = lookup(lines.select("h", "site"), cut(near, "near"), "h", "n").distinct().groupBy("h").count().where(F.col("count") >= min_sites).select("h")
     return several.join(sure.union(exact), "h", "left_semi")
 
 
@@ -38,17 +43,22 @@ def line_dedup(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text
 
     A line is spread when at least ``min_sites`` distinct sites hold it (trimmed; a null site counts as one site). It stays in the document
     with the smallest id, so that its text is not lost, and goes from all others. Blank lines stay. Null texts stay null, with no lines; a
-    null id never is the first. Repeated rows are treated alike. Clashing column names: ``lines_total`` and ``lines_removed`` are replaced.
+    null id never is the first. Repeated rows are treated alike. Clashing column names: ``lines_total`` and ``lines_removed`` are replaced, no
+    others. A line's identity is a hash of 128 bits.
     """
     kept_names = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
     docs = docs.select(*kept_names)
-    lines = cut(line_table(docs, id_col, text_col, site_col), "lines")
-    spread = spread_lines(lines, min_sites)
-    gone = lines.join(spread, "h").where("id <> first OR first IS NULL OR id IS NULL").groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))
-    keyed = docs.withColumn("_row", F.xxhash64(text_col))
-    both = keyed.join(gone.withColumnRenamed("_row", "_r"), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_row"] == F.col("_r")), "left").withColumn("_lines", F.split(text_col, "\n"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.expr("transform(filter(transform(_lines, (x, i) -> struct(x AS l, i AS i)), y -> NOT array_contains(_gone, y.i)), y -> y.l)"), "\n"))
-    return both.withColumn(text_col, text).select(*kept_names, F.coalesce(F.expr("size(filter(_lines, l -> trim(l) <> ''))"), F.lit(0)).cast("long").alias("lines_total"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    row, parts, gone_at, gone_id, gone_row = (free_name(docs, c) for c in ("_row", "_lines", "_gone", "_id", "_of_row"))
+    keyed = docs.withColumn(row, F.xxhash64(text_col))
+    lines = cut(line_table(keyed, row, id_col, text_col, site_col), "lines")
+    spread = cut(spread_lines(lines, min_sites), "spread")
+    held = lookup(lines.select("id", "row", "pos", "h"), spread, "h", "n").where("id <> first OR first IS NULL OR id IS NULL")
+    gone = held.groupBy(F.col("id").alias(gone_id), F.col("row").alias(gone_row)).agg(F.collect_set("pos").alias(gone_at))
+    both = keyed.join(gone, keyed[id_col].eqNullSafe(F.col(gone_id)) & (keyed[row] == F.col(gone_row)), "left").withColumn(parts, F.split(text_col, "\n"))
+    left = f"transform(filter(transform({parts}, (x, i) -> struct(x AS l, i AS i)), y -> NOT array_contains({gone_at}, y.i)), y -> y.l)"
+    text = F.when(F.col(gone_at).isNull(), F.col(text_col)).otherwise(F.array_join(F.expr(left), "\n"))
+    total = F.coalesce(F.expr(f"size(filter({parts}, l -> trim(l) <> ''))"), F.lit(0)).cast("long")
+    return both.withColumn(text_col, text).select(*kept_names, total.alias("lines_total"), F.coalesce(F.greatest(F.size(gone_at), F.lit(0)), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def without_spread_lines(docs: DataFrame, min_sites: int = 3) -> DataFrame:
