@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SAMPLES = 32
 
 
-MOST_SLOTS = 20_000  # ranges of ids; a row for each may be broadcast
+MOST_SENT = 500_000  # of the ranges' first rows that are broadcast (8 MB); beyond it they are joined by a shuffle
 CUTS = 64
 
 
@@ -46,9 +46,9 @@ def with_next(docs: DataFrame, slots: int, partitions: int) -> DataFrame:
     the range below: that one row per range is dealt to both, as a ghost."""
     ids = docs.select("doc_id")
     slot = slot_of(ids, slots)
-    tops = ids.withColumn("slot", slot).groupBy("slot").agg(F.max("doc_id").alias("doc_id"))  # one row for each range, MOST_SLOTS at most
+    tops = ids.withColumn("slot", slot).groupBy("slot").agg(F.max("doc_id").alias("doc_id"))  # one row for each range
     above = tops.selectExpr("doc_id", "coalesce(lead(slot) OVER (ORDER BY slot), min(slot) OVER (), 0) AS slot")
-    ghosts = docs.join(F.broadcast(above), "doc_id").groupBy("slot", "doc_id").agg(F.min("text").alias("text"))
+    ghosts = docs.join(F.broadcast(above) if slots <= MOST_SENT else above, "doc_id").groupBy("slot", "doc_id").agg(F.min("text").alias("text"))
     both = docs.select(slot.alias("slot"), "doc_id", "text", F.lit(0).alias("ghost")).unionByName(ghosts.withColumn("ghost", F.lit(1))).repartition(partitions, "slot")
     over = "OVER (PARTITION BY slot ORDER BY ghost, doc_id DESC, text)"
     return both.selectExpr("slot", f"row_number() {over} AS rn", "ghost", "doc_id", "text", f"lead(text) {over} AS next_text")
@@ -85,12 +85,14 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, slot_bytes: int
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document, by descending
     doc_id (after the last: the first; a single document is its own next; of rows with one id, by their text). Null texts are empty; a text
-    without words has the empty fingerprint. Equal texts have equal fingerprints. doc_id is an integer and not null; repeated rows are each
-    reported. Other columns are left out. Texts move once, dealt by ranges of doc_id; their words are counted and drawn where they are.
+    without words has the empty fingerprint. Equal texts have equal fingerprints. doc_id is an integer; a null one comes after all others. Repeated rows
+    are each reported. Other columns are left out. Texts move once, dealt by ranges of doc_id; their words are counted and drawn where they are.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    least = docs.agg(F.min(F.col("doc_id").cast("long"))).first()[0]
+    lowest = max((least or 0) - 1, -(1 << 63) + 1)  # stands for a null id on the way
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    base = with_next(own, min(MOST_SLOTS, size // slot_bytes + 1), size // partition_bytes + 1)
+    base = with_next(own, size // slot_bytes + 1, size // partition_bytes + 1)
     half = "cast(char_length(text) div 2 as int)"
     texts = base.selectExpr("slot", "rn", "ghost", "doc_id", "text", f"concat(substring(text, 1, char_length(text) - {half}), substring(next_text, 1, {half})) AS edited")
     kinds = texts.selectExpr("slot", "rn", "explode(if(ghost = 1, array(struct(0 AS kind, text AS t)), array(struct(0 AS kind, text AS t), struct(1 AS kind, edited AS t)))) AS x").selectExpr("slot", "rn", "x.kind AS kind", "x.t AS t")
@@ -98,4 +100,4 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, slot_bytes: int
     meta = texts.selectExpr("slot", "rn", "ghost", "doc_id", "cast(char_length(text) as long) AS n_chars", "sha2(edited, 256) AS edited_sha256")
     both = meta.join(prints, ["slot", "rn"], "left").selectExpr("slot", "rn", "ghost", "doc_id", "n_chars", "edited_sha256", "coalesce(p0, '') AS fingerprint", "coalesce(p1, '') AS edited_fingerprint")
     ahead = both.selectExpr("*", "lead(fingerprint) OVER (PARTITION BY slot ORDER BY rn) AS next_fingerprint").where("ghost = 0")
-    return ahead.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"))
+    return ahead.select(F.nullif("doc_id", F.lit(lowest)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"))
