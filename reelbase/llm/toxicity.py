@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelbase.llm.common import map_batches, small_batches
+from reelbase.llm.common import free_name, map_batches, small_batches
 from reelbase.llm.decontam import words
 
 CELLS = 1 << 17  # of each table of log odds
@@ -279,9 +279,9 @@ def without_toxic(docs: DataFrame, model: dict[str, np.ndarray], text_col: str =
     """The documents that score below 0.5, with all their columns; each row is judged by its own text, where it is read."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names, helper = docs.columns, free_name(docs, "__text")
 
     def make():
-        return lambda b: b.filter(pa.array(score_texts(sent.value, b.column("__text").to_pylist()) < 0.5)).select(names)
+        return lambda b: b.filter(pa.array(score_texts(sent.value, b.column(helper).to_pylist()) < 0.5)).select(names)
 
-    return map_batches(docs.withColumn("__text", F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")), docs.schema, make)
+    return map_batches(docs.withColumn(helper, F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")), docs.schema, make)
