@@ -48,11 +48,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of texts holds. These are settings of the session and hold for what it runs later, too: the operators set them before
     each plan, and none needs larger batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def utf8(column: str) -> Column:
@@ -71,6 +71,18 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, most_hot: i
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of texts of about ``most`` bytes, so that what is derived from them stays small; a longer text is a run of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """``make`` runs once in each task and returns what maps its batches."""
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelbase.llm.common import cut, free_name, map_batches, small_batches, utf8
+from reelbase.llm.common import parts as runs_of
 
 #: Bytes that are not in words become spaces, A-Z are lower-cased.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -137,18 +138,6 @@ def longest(query: np.ndarray, place: np.ndarray, q: Queries) -> tuple[np.ndarra
     return place, q.lengths[query] + best[:split] - 1, own[match[:split] - split]
 
 
-def shards(texts: list[bytes], most: int):
-    """Runs of texts of about ``most`` bytes; a longer text is a shard of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def numbered(texts: list[bytes], q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of a shard (a zero after each text), first place and number of words of each text."""
     get, parts, zero = q.vocabulary.__getitem__, [], np.zeros(1, np.int64)
@@ -176,7 +165,7 @@ class Scanned:
 
 def scan(texts: list[bytes], q: Queries, most: int) -> Scanned:
     out = Scanned([], [[] for _ in texts], [[] for _ in texts], [0] * len(texts), [-1] * len(texts), [])
-    for a, b in shards(texts, most):
+    for a, b in runs_of(texts, most):
         ids, first, counts = numbered(texts[a:b], q)
         out.n_words += counts.tolist()
         query, place = found(ids, q)

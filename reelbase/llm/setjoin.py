@@ -205,14 +205,19 @@ def linked(t: int, n: int, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of PAIR that link, by their whole sets, which are rebuilt from just these documents."""
     pairs = cut(pairs.distinct(), "pairs")
     wanted = pairs.selectExpr("a AS key", "id_a AS id", "h_a AS h").union(pairs.selectExpr("b", "id_b", "h_b")).distinct()
-    docs = maybe_in(docs, "id", filter_of(wanted.select("id")))
+    sent = filter_of(wanted.select("id"))
 
     def make():
         shingles = shingler(n)
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["key", "tokens"])
 
-    texts = docs.join(wanted, ["id", "h"]).select("key", "text")
-    sets = cut(map_batches(texts, "key long, tokens binary", make).dropDuplicates(["key"]), "sets")
+        def run(b):
+            b = b.filter(pa.array(in_filter(b.column(0), sent.value)))
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["id", "h", "tokens"])
+
+        return run
+
+    sets = map_batches(docs.select("id", "text", "h"), "id long, h long, tokens binary", make).join(wanted, ["id", "h"]).select("key", "tokens")
+    sets = cut(sets.dropDuplicates(["key"]), "sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
 
     def compare(batches):
@@ -254,7 +259,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, l
     component.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     seen, by_sig = set_components(texts.where("id IS NOT NULL"), n, threshold, leaders, count_links)
     counted = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] if count_links else []
     placed = lookup(seen.where("n > 0"), by_sig, "sig", "rows").select("id", "n", "component_id", *counted)
@@ -393,7 +398,7 @@ def within(t: int, placed: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, n: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays, with all its columns: that with the smallest id, of several with that id one by a hash of their texts, of
     rows with one id and text any one. Rows without shingles or without an id stay."""
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     row, own = free_name(docs, "_h"), free_name(docs, "_at")
     keyed = docs.withColumn(row, F.xxhash64(utf8(text_col))).withColumn(own, F.col(id_col).cast("long"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).withColumn("h", F.xxhash64("text"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelbase.llm.common import free_name, map_batches, small_batches
+from reelbase.llm.common import free_name, map_batches, parts, small_batches
 from reelbase.llm.decontam import words
 
 CELLS = 1 << 17  # of each table of log odds
@@ -239,9 +239,15 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 16, seed: int = 7)
 
 
 def score_texts(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
-    vocab, ids, counts = numbered(texts)
-    out, first = logits(model, features(vocab, model["word_odds"], model["gram_odds"], model["seen"]), ids, counts)
-    return sigmoid(np.maximum.reduceat(out, first).astype(np.float64))
+    """The highest window's score of each text. Texts go through by about a million bytes and their words by slices, which bounds the arrays."""
+    scores = []
+    for lo, hi in parts(texts):
+        vocab, ids, counts = numbered(texts[lo:hi])
+        slices = [vocab[k : k + 16384] for k in range(0, max(1, len(vocab)), 16384)]
+        table = np.vstack([features(v, model["word_odds"], model["gram_odds"], model["seen"]) for v in slices])
+        out, first = logits(model, table, ids, counts)
+        scores.append(sigmoid(np.maximum.reduceat(out, first).astype(np.float64)))
+    return np.concatenate(scores) if scores else np.empty(0)
 
 
 def remainder(id_col: str, folds: int):
