@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUANTILES = (0.01, 0.1, 0.5, 0.9, 0.99)
 
 
-def unpivoted(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, dim, value): one row per joint."""
-    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(*keys, "x.dim", "x.value")
-
-
 def dimension_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """min, max, mean, population std, count and linear quantiles of each dimension in each group. Null values are skipped."""
-    q = F.percentile("value", F.array(*map(F.lit, QUANTILES)))
-    s = unpivoted(df, keys, columns).groupBy(*keys, "dim").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("count"), q.alias("q"))
-    return s.select(*keys, "dim", "min", "max", "mean", "std", "count", *[F.col("q")[i].alias(f"q{int(p * 100):02d}") for i, p in enumerate(QUANTILES)])
+    """min, max, mean, population std, count and linear quantiles of each dimension in each group, one row per dimension. All dimensions are aggregated in one
+    pass, and only the results become rows. Null values are skipped. The quantiles are exact; a group's distinct values are held by one task, so groups are
+    episodes or other bounded ones; for whole repos see :func:`exact_quantiles`."""
+    q = F.array(*map(F.lit, QUANTILES))
+    one = lambda c: F.struct(
+        F.lit(c).alias("dim"),
+        F.min(F.col(c).cast("double")).alias("min"),
+        F.max(F.col(c).cast("double")).alias("max"),
+        F.avg(c).alias("mean"),
+        F.stddev_pop(c).alias("std"),
+        F.count(c).alias("count"),
+        F.percentile(F.col(c).cast("double"), q).alias("q"),
+    )
+    rows = df.groupBy(*keys).agg(F.array(*map(one, columns)).alias("x")).select(*keys, F.explode("x").alias("x"))
+    quantiles = [F.col("x.q")[i].alias(f"q{int(p * 100):02d}") for i, p in enumerate(QUANTILES)]
+    return rows.select(*keys, "x.dim", "x.min", "x.max", "x.mean", "x.std", "x.count", *quantiles)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], column: str, shares: tuple[float, ...]) -> DataFrame:
+    """Linear quantiles of large groups, as columns q0, q1 ...: equal values are counted map-side, and a running sum over the sorted distinct values of a group
+    finds the two neighbours of each quantile. Nothing is held in memory. Null values are skipped."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    placed = counted.withColumn("_upto", F.sum("_n").over(whole.orderBy("_v"))).withColumn("_all", F.sum("_n").over(whole))
+    at = [F.lit(p) * (F.col("_all") - 1) for p in shares]
+    ends = [F.struct(*[F.min(F.when(F.col("_upto") > f(x), F.col("_v"))).alias(k) for k, f in (("lo", F.floor), ("hi", F.ceil))]).alias(f"_e{i}") for i, x in enumerate(at)]
+    found = placed.groupBy(*keys).agg(F.first("_all").alias("_all"), *ends)
+    between = [(F.col(f"_e{i}.lo") + (F.col(f"_e{i}.hi") - F.col(f"_e{i}.lo")) * (x - F.floor(x))).alias(f"q{i}") for i, x in enumerate(at)]
+    return found.select(*keys, *between)
 
 
 def merged_stats(stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,4 +51,9 @@ def merged_stats(stats: DataFrame, keys: list[str]) -> DataFrame:
 def scalar_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """min, max, mean, std, q50, q90, q95, q99; zeros for a group without values."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return df.groupBy(*keys).agg(z(F.min(column)).alias("min"), z(F.max(column)).alias("max"), z(F.avg(column)).alias("mean"), z(F.stddev_pop(column)).alias("std"), *[z(F.percentile(column, F.lit(p))).alias(f"q{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)])
+    c = F.col(column)
+    moments = df.groupBy(*keys).agg(z(F.min(c)).alias("min"), z(F.max(c)).alias("max"), z(F.avg(c)).alias("mean"), z(F.stddev_pop(c)).alias("std"))
+    shares = (0.5, 0.9, 0.95, 0.99)
+    quantiles = exact_quantiles(df, keys, column, shares)
+    both = moments.join(quantiles, keys, "left") if keys else moments.crossJoin(quantiles)  # one row each
+    return both.select(*keys, "min", "max", "mean", "std", *[z(F.col(f"q{i}")).alias(f"q{int(p * 100)}") for i, p in enumerate(shares)])

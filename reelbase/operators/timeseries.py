@@ -122,13 +122,43 @@ def action_chunks(df: DataFrame, column: str, size: int, keys=EPISODE) -> DataFr
     return df.withColumn("_a", ahead).withColumn("n_valid", F.size("_a")).withColumn("chunk", F.concat("_a", F.array_repeat(F.element_at("_a", -1), F.lit(size) - F.col("n_valid")))).drop("_a")
 
 
-def renumbered(df: DataFrame, episode_keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """(frames with new episode_no, frame_no, index; episodes with length, from_index, to_index). The running index is two-level: a prefix sum over
-    episodes, by ranges of the first key, then an offset inside the episode."""
+def range_number(rows: DataFrame, keys: list[str], ranges: int = 64) -> Column:
+    """Which of at most ``ranges`` + 1 ranges of the keys a row falls in, rising with the keys. The bounds are rows drawn by hash."""
+    kinds = {k: rows.schema[k].dataType for k in keys}
+    drawn = rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(ranges).collect()
+    if not drawn:
+        return F.lit(0)
+    bounds = F.array(*[F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys]) for r in drawn])
+    own = F.struct(*[F.col(k).alias(k) for k in keys])
+    return F.size(F.filter(bounds, lambda b: b <= own))
+
+
+def renumbered(df: DataFrame, episode_keys: list[str], order: str, within: list[str] | None = None, fps: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(frames with new episode_no, frame_no, index, timestamp; episodes with episode_no, length, from_index, to_index, from_time, to_time), numbered in the
+    order of the keys, the first key first, whatever their types; with ``within`` each group of those keys starts at 0.
+
+    The running index is two-level: episodes are dealt by ranges of their keys, numbered inside a range, and a prefix sum over the few ranges gives what
+    comes before. No task sees all episodes. Keys are not null."""
+    within = within or []
     lengths = df.groupBy(*episode_keys).agg(F.count(F.lit(1)).alias("length"))
-    bucketed = lengths.withColumn("_b", F.expr(f"{episode_keys[-1]} div 1000"))
-    totals = bucketed.groupBy("_b").agg(F.sum("length").alias("_f"), F.count(F.lit(1)).alias("_e")).select("_b", F.expr("coalesce(sum(_f) OVER (ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_f0"), F.expr("coalesce(sum(_e) OVER (ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_e0"))
-    w = Window.partitionBy("_b").orderBy(*reversed(episode_keys))
-    episodes = bucketed.join(totals, "_b").select(*episode_keys, "length", (F.col("_e0") + F.row_number().over(w) - 1).alias("episode_no"), (F.col("_f0") + F.sum("length").over(w) - F.col("length")).alias("from_index")).withColumn("to_index", F.col("from_index") + F.col("length"))
-    frames = df.join(episodes.select(*episode_keys, "episode_no", "from_index"), episode_keys).withColumn("frame_no", (F.row_number().over(Window.partitionBy(*episode_keys).orderBy(order)) - 1).cast("long")).withColumn("index", F.col("from_index") + F.col("frame_no"))
-    return frames, episodes
+    if within:  # each group is numbered by itself; its episodes, not its frames, come together
+        numbered, part = lengths.withColumns({"_f0": F.lit(0), "_e0": F.lit(0)}), within
+    else:
+        dealt = lengths.withColumn("_p", range_number(lengths, episode_keys))
+        before = "OVER (ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        totals = dealt.groupBy("_p").agg(F.sum("length").alias("_f"), F.count(F.lit(1)).alias("_e"))
+        # one row per range
+        totals = totals.selectExpr("_p", f"coalesce(sum(_f) {before}, 0) AS _f0", f"coalesce(sum(_e) {before}, 0) AS _e0")
+        numbered, part = dealt.join(F.broadcast(totals), "_p"), ["_p"]
+    w = Window.partitionBy(*part).orderBy(*episode_keys)
+    episodes = numbered.select(
+        *episode_keys,
+        "length",
+        (F.col("_e0") + F.row_number().over(w) - 1).alias("episode_no"),
+        (F.col("_f0") + F.sum("length").over(w) - F.col("length")).alias("from_index"),
+    )
+    episodes = episodes.withColumn("to_index", F.col("from_index") + F.col("length"))
+    episodes = episodes.withColumns({"from_time": F.col("from_index") / fps, "to_time": F.col("to_index") / fps})
+    frame = (F.row_number().over(Window.partitionBy(*episode_keys).orderBy(order)) - 1).cast("long")
+    frames = df.withColumn("frame_no", frame).join(episodes.select(*episode_keys, "episode_no", "from_index"), episode_keys)
+    return frames.withColumns({"index": F.col("from_index") + F.col("frame_no"), "timestamp": F.col("frame_no") / fps}), episodes

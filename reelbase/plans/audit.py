@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelbase.operators.stats import exact_quantiles
 from reelbase.operators.timeseries import signed_peak
 
 POSITIONS = ("left", "middle", "right")
@@ -20,7 +21,8 @@ def peaks(frames: DataFrame) -> DataFrame:
 
 def calibration(peaks_df: DataFrame) -> DataFrame:
     """The median signed peak of each position."""
-    return peaks_df.groupBy("position").agg(F.percentile("peak", F.lit(0.5)).alias("centroid"), F.count(F.lit(1)).alias("episodes"))
+    median = exact_quantiles(peaks_df, ["position"], "peak", (0.5,)).withColumnRenamed("q0", "centroid")
+    return median.join(peaks_df.groupBy("position").agg(F.count(F.lit(1)).alias("episodes")), "position")
 
 
 def boundaries(centroids: DataFrame, least_gap: float = 5.0) -> DataFrame:

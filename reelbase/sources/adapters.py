@@ -23,12 +23,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(events: DataFrame) -> DataFrame:
-    """One row per frame: repo_no, episode_index, frame_index, event_id and the six joints. One shuffle, on the episode."""
+    """One row per frame: repo_no, episode_index, frame_index, event_id and the six joints. One shuffle, on the episode and its repo, which later windows
+    and groups of episodes reuse."""
     joint = lambda k, m, off: ((F.col("event_id") * k) % m).cast("double") - off
-    return events.select(
-        F.col("user_id").alias("episode_index"),
-        (F.col("user_id") % 9).alias("repo_no"),
-        (F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts)") - 1).cast("long").alias("frame_index"),
+    keyed = events.select(F.col("user_id").alias("episode_index"), (F.col("user_id") % 9).alias("repo_no"), "event_id", "ts", "value")
+    return keyed.select(
+        "episode_index",
+        "repo_no",
+        (F.expr("row_number() OVER (PARTITION BY repo_no, episode_index ORDER BY ts)") - 1).cast("long").alias("frame_index"),
         "event_id",
         joint(37, 181, 90).alias("pan"),
         joint(53, 121, 110).alias("lift"),
