@@ -249,8 +249,8 @@ def mth_12(s, d):
     return read(s, d, "orders").select("o_orderkey", F.round(N.cosine_decay(F.col("o_orderkey"), 10000.0, 10.0, 1.0), 6).alias("sigma"))
 
 
-@query("str_10_slugs", "SELECT p_partkey, lower(trim(regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_')) AS slug FROM part")
-def str_10(s, d):
+@query("str_01_plain_slugs", "SELECT p_partkey, lower(trim(regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_')) AS slug FROM part")
+def str_01_plain(s, d):
     return read(s, d, "part").select("p_partkey", N.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
 
 
