@@ -1 +1,233 @@
-"""Placeholder."""
+"""Queries of composite audits and of synthetic-corpus planning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelbase.functions.names import stable_hash
+from reelbase.operators import gathers as G
+from reelbase.operators import timeseries as T
+from reelbase.plans import audit, plans
+from reelbase.queries.base import EP, IDENTITY, LEN, REPO, SLOT, query, r6
+from reelbase.queries.gathers import named
+from reelbase.queries.texts import PHOTO, REASON, photos, reason
+from reelbase.sources import datasets as D
+from reelbase.sources.adapters import JOINTS, frames_of, read
+
+W = "(PARTITION BY repo_no, episode_index ORDER BY frame_index)"
+HASH = "CAST(('0x' || substr(md5({t}), 7, 2) || substr(md5({t}), 5, 2) || substr(md5({t}), 3, 2) || substr(md5({t}), 1, 2)) AS BIGINT)"
+
+
+@query("dq_01_label_audit", f"""WITH {LEN}, e AS (SELECT repo_no, episode_index, n, CASE WHEN abs(max(pan)) >= abs(min(pan)) THEN max(pan) ELSE min(pan) END AS peak, max(pan) AS hi, min(pan) AS lo,
+  avg(pan) FILTER (WHERE frame_index < 10) AS s, avg(pan) FILTER (WHERE n - frame_index <= 10) AS t, avg(wrist_flex) FILTER (WHERE frame_index < 10) AS ws, avg(wrist_flex) FILTER (WHERE n - frame_index <= 10) AS wt,
+  stddev_pop(pan) FILTER (WHERE n - frame_index <= 10) AS sd, max(gripper) FILTER (WHERE n - frame_index <= 10) AS g, bool_or(isnan(pan) OR pan IS NULL) AS bad
+  FROM frames JOIN length_ USING (repo_no, episode_index) GROUP BY 1, 2, 3),
+ k AS (SELECT *, repo_no % 3 AS slot FROM e),
+ m AS (SELECT repo_no, avg(CASE slot WHEN 0 THEN peak > 12 WHEN 2 THEN peak < -12 ELSE abs(peak) <= 12 END::INT) AS m1,
+  avg((CASE slot WHEN 0 THEN greatest(0, -lo) WHEN 2 THEN greatest(0, hi) ELSE 0 END / 60.0 <= 0.5)::INT) AS m2, avg((greatest(s, t) < 90)::INT) AS m3, avg((abs(wt - ws) >= 5)::INT) AS m4,
+  avg((sd < 60)::INT) AS m5, avg((g >= 20)::INT) AS m6, avg((n BETWEEN 30 AND 900)::INT) AS m7, avg((NOT bad)::INT) AS m8, avg((hi <= 180 AND lo >= -180)::INT) AS m9 FROM k GROUP BY 1)
+ SELECT repo_no, {", ".join(f"round(m{i}, 6) AS m{i}" for i in range(1, 10))}, CASE WHEN m8 < 1 OR m9 < 1 THEN 'FAIL' WHEN m1 < 0.8 THEN 'FAIL' WHEN least(m2, m3, m4, m5, m6, m7) < 0.8 THEN 'WARN' ELSE 'PASS' END AS verdict FROM m""")
+def dq_01_audit(s, d):
+    return r6(audit.label_audit(frames_of(s, d), 10), *[f"m{i}" for i in range(1, 10)])
+
+
+@query("dq_02_gripper_audit", f"""WITH {LEN}, x AS (SELECT f.*, n, abs(gripper - coalesce(lag(gripper) OVER {W}, gripper)) AS lag_, abs(gripper - 2 * lag(gripper) OVER {W} + lag(gripper, 2) OVER {W}) * 900 AS jerk FROM frames f JOIN length_ USING (repo_no, episode_index)),
+ e AS (SELECT repo_no, episode_index, max(gripper) AS top, quantile_cont(gripper, 0.5) FILTER (WHERE frame_index >= floor(n * 0.75)) AS late, quantile_cont(lag_, 0.95) AS lag95, coalesce(quantile_cont(jerk, 0.99), 0) AS jerk99 FROM x GROUP BY 1, 2)
+ SELECT repo_no, episode_index, concat_ws(',', CASE WHEN top < 45 THEN 'never open' END, CASE WHEN late < 20 THEN 'closed at end' END, CASE WHEN lag95 > 50 THEN 'lag' END, CASE WHEN jerk99 > 80000 THEN 'jerk' END) AS flags FROM e""")
+def dq_02(s, d):
+    return audit.gripper_audit(frames_of(s, d))
+
+
+@query("dq_03_approach_gripper", f"""WITH {LEN} SELECT repo_no, round(avg(CASE WHEN gripper >= 20 THEN 1.0 ELSE 0 END), 6) AS open_share, avg(CASE WHEN gripper >= 20 THEN 1.0 ELSE 0 END) >= 0.5 AS opens FROM frames JOIN length_ USING (repo_no, episode_index) WHERE frame_index < greatest(1, floor(n * 0.2)) GROUP BY 1""")
+def dq_03(s, d):
+    f = T.with_length(frames_of(s, d)).where("frame_index < greatest(1, floor(n * 0.2))")
+    share = F.avg((F.col("gripper") >= 20).cast("double"))
+    return f.groupBy("repo_no").agg(F.round(share, 6).alias("open_share"), (share >= 0.5).alias("opens"))
+
+
+@query("dq_04_place_completion", f"""WITH {LEN}, e AS (SELECT repo_no, episode_index, avg(gripper) FILTER (WHERE n - frame_index <= 10) AS g, avg(lift) FILTER (WHERE n - frame_index <= 10) AS l, avg(pan) FILTER (WHERE frame_index < 10) AS a, avg(pan) FILTER (WHERE n - frame_index <= 10) AS b FROM frames JOIN length_ USING (repo_no, episode_index) GROUP BY 1, 2),
+ c AS (SELECT repo_no, g >= 20 AS a, l >= -60 AS b, abs(b - a) >= 1 AS c FROM e) SELECT repo_no, round(avg((a AND b AND c)::INT), 6) AS pass_rate, CAST(sum(a::INT) AS BIGINT) AS open_, CAST(sum(b::INT) AS BIGINT) AS raised, CAST(sum(c::INT) AS BIGINT) AS moved, avg((a AND b AND c)::INT) >= 0.8 AS pass FROM c GROUP BY 1""")
+def dq_04(s, d):
+    first, last = F.col("frame_index") < 10, F.col("n") - F.col("frame_index") <= 10
+    e = T.with_length(frames_of(s, d)).groupBy(*EP).agg(F.avg(F.when(last, F.col("gripper"))).alias("g"), F.avg(F.when(last, F.col("lift"))).alias("l"), F.avg(F.when(first, F.col("pan"))).alias("a"), F.avg(F.when(last, F.col("pan"))).alias("b"))
+    c = e.selectExpr("repo_no", "g >= 20 AS open_", "l >= -60 AS raised", "abs(b - a) >= 1 AS moved").withColumn("all", F.expr("cast(open_ and raised and moved as int)"))
+    return c.groupBy("repo_no").agg(F.round(F.avg("all"), 6).alias("pass_rate"), *[F.count_if(x).alias(x) for x in ("open_", "raised", "moved")], (F.avg("all") >= 0.8).alias("pass"))
+
+
+@query("dq_06_live_rollouts", f"""WITH {LEN}, e AS (SELECT repo_no, episode_index, avg(wrist_roll) FILTER (WHERE n - frame_index <= 10) AS w FROM frames JOIN length_ USING (repo_no, episode_index) GROUP BY 1, 2)
+ SELECT repo_no, round(max(abs(w - m)), 6) AS worst FROM e JOIN (SELECT repo_no, avg(w) AS m FROM e GROUP BY 1) USING (repo_no) GROUP BY 1""")
+def dq_06(s, d):
+    e = T.edge_window_stats(frames_of(s, d), "wrist_roll", 10).select(*EP, F.col("end_mean").alias("w"))
+    stored = e.groupBy("repo_no").agg(F.avg("w").alias("m"))
+    return e.join(F.broadcast(stored), "repo_no").groupBy("repo_no").agg(F.round(F.max(F.abs(F.col("w") - F.col("m"))), 6).alias("worst"))  # a row per repo
+
+
+@query("dq_07_truncation_check", """WITH m AS (SELECT repo_no, episode_index, max(frame_index) FILTER (WHERE gripper >= 20 AND lift >= -30) AS l, count(*) AS n FROM frames GROUP BY 1, 2)
+ SELECT repo_no, episode_index, l IS NOT NULL AS matched, true AS equal, least(coalesce(l + 1, 40), 40, n) BETWEEN 20 AND 40 AS in_range FROM m""")
+def dq_07(s, d):
+    # two formulations of one cut: bounds by aggregation, and the kept frames by a window
+    f = frames_of(s, d)
+    bounds = T.truncation(f, "last", 5, 40)
+    kept = T.truncated(f, "last", 5, 40).groupBy(*EP).agg(F.count(F.lit(1)).alias("frames"))
+    both = bounds.join(kept, EP, "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
+    return both.select(*EP, F.col("last_match").isNotNull().alias("matched"), (F.col("kept") == F.col("frames")).alias("equal"), F.col("kept").between(20, 40).alias("in_range"))
+
+
+@query("dq_08_corpus_preflight", f"SELECT {REPO} AS repo_id, true AS version, true AS speed, contains({REPO}, {IDENTITY}) AS named, count(*) >= 500 AS enough, '' AS missing FROM frames GROUP BY repo_no")
+def dq_08(s, d):
+    data = D.as_dataset(frames_of(s, d))
+    root = D.fresh_folder(s, "preflight")
+    D.write_meta(data, root)
+    info, tasks = D.scan_info(s, root), D.scan_tasks(s, root)
+    have = F.array(*[F.lit(c) for c in data.columns])
+    missing = F.array_join(F.array_except(F.array(F.lit("action"), F.lit("state"), F.lit("timestamp")), have), "|")
+    named_ = F.expr("exists(tasks, t -> contains(t, split_part(repo_id, '_', 4)))")
+    return info.join(tasks, "repo_id").select("repo_id", (F.col("codebase_version") == "v3").alias("version"), (F.col("fps") == 30).alias("speed"), named_.alias("named"), (F.col("total_frames") >= 500).alias("enough"), missing.alias("missing"))
+
+
+@query("dq_09_recipe_preflight", "SELECT CASE repo_no WHEN 0 THEN 'train' ELSE 'validation' END AS split, count(*) AS frames, count(DISTINCT episode_index) AS episodes, count(*) >= 3 AND count(DISTINCT episode_index) >= 3 AS as_expected, CAST(0 AS DOUBLE) AS padded_max FROM frames WHERE repo_no = 0 OR (repo_no = 2 AND episode_index IN (2, 11, 20)) GROUP BY 1")
+def dq_09(s, d):
+    from reelbase.functions.names import padded_vector
+
+    recipe = s.createDataFrame([(0, None, "train"), (2, [2, 11, 20], "validation")], "repo_no long, episodes array<long>, split string")
+    r = G.recipe_frames(frames_of(s, d), recipe).withColumn("v", padded_vector(F.array(*JOINTS)))
+    n, e = F.count(F.lit(1)), F.countDistinct("episode_index")
+    return r.groupBy("split").agg(n.alias("frames"), e.alias("episodes"), ((n >= 3) & (e >= 3)).alias("as_expected"), F.max(F.abs(F.col("v")[6])).alias("padded_max"))
+
+
+@query("dq_10_duplicated_actions", """WITH p AS (SELECT repo_no, pan, row_number() OVER (PARTITION BY repo_no ORDER BY episode_index, frame_index) AS r FROM frames)
+ SELECT a.repo_no AS repo_a, b.repo_no AS repo_b, round(avg((a.pan = b.pan)::INT), 6) AS equal_share, avg((a.pan = b.pan)::INT) > 0.99 AS leaks FROM p a JOIN p b ON a.r = b.r AND a.repo_no % 3 = b.repo_no % 3 AND a.repo_no < b.repo_no GROUP BY 1, 2""")
+def dq_10(s, d):
+    c = G.compared_rows(frames_of(s, d), ["pan"])
+    share = F.col("rows_equal") / F.col("rows_compared")
+    return c.select("repo_a", "repo_b", F.round(share, 6).alias("equal_share"), (share > 0.99).alias("leaks"))
+
+
+@query("dq_12_synthetic_correctness", f"WITH {LEN}, p AS (SELECT a.repo_no % 3 AS slot, a.n + 5 + p.n AS length FROM length_ a JOIN length_ p ON a.repo_no % 3 = p.repo_no % 3 WHERE a.repo_no < 3 AND p.repo_no BETWEEN 3 AND 5) SELECT slot, count(*) AS episodes, CAST(sum(length) AS BIGINT) AS frames, true AS numbered, CAST(0 AS DOUBLE) AS source_error, CAST(5 AS BIGINT) AS bridge_rows FROM p GROUP BY 1")
+def dq_12(s, d):
+    return plans.pair_corpus_check(plans.pair_corpus(frames_of(s, d), 5), frames_of(s, d), 5)
+
+
+@query("dq_13_merged_sanity", "SELECT repo_no, min(pan) >= -180 AND max(pan) <= 180 AND min(gripper) >= 0 AND max(gripper) <= 100 AS in_range, CAST(6 AS BIGINT) AS dims FROM frames WHERE repo_no IN (1, 4, 7) GROUP BY 1")
+def dq_13(s, d):
+    f = frames_of(s, d).where("repo_no IN (1, 4, 7)")
+    ok = (F.min("pan") >= -180) & (F.max("pan") <= 180) & (F.min("gripper") >= 0) & (F.max("gripper") <= 100)
+    return f.groupBy("repo_no").agg(ok.alias("in_range"), F.max(F.size(F.array(*JOINTS))).cast("long").alias("dims"))
+
+
+@query("dq_14_profile", f"SELECT {REPO} AS repo_id, count(DISTINCT episode_index) AS episodes, count(*) AS frames, CAST(1 AS BIGINT) AS tasks, 'action,index,state,timestamp' AS features FROM frames GROUP BY 1")
+def dq_14(s, d):
+    data = D.as_dataset(frames_of(s, d))
+    features = ",".join(sorted(c for c in data.columns if c in ("action", "state", "timestamp", "index")))
+    return data.groupBy("repo_id").agg(F.countDistinct("episode_index").alias("episodes"), F.count(F.lit(1)).alias("frames"), F.countDistinct("task").alias("tasks")).withColumn("features", F.lit(features))
+
+
+@query("dq_15_stats_provenance", f"SELECT {REPO} AS repo_id, CAST(count(*) AS DOUBLE) AS stored, count(*) AS frames, true AS equal FROM frames GROUP BY 1")
+def dq_15(s, d):
+    data, root = D.as_dataset(frames_of(s, d)), D.fresh_folder(s, "stats")
+    D.write_meta(data, root)
+    stored = D.scan_stats(s, root).where("statistic = 'count' AND dim = 0").select("repo_id", F.col("value").alias("stored"))
+    counts = data.groupBy("repo_id").agg(F.count(F.lit(1)).alias("frames"))
+    return counts.join(stored, "repo_id").select("repo_id", "stored", "frames", (F.col("stored") == F.col("frames")).alias("equal"))
+
+
+GRID = "SELECT n_nationkey, t, a, b, s FROM nation, range(0, 3) x(t), range(0, 3) y(a), range(0, 3) z(b), range(0, 2) w(s)"
+
+
+@query("syn_01_grid", f"WITH g AS ({GRID}) SELECT n_nationkey, t, a, b, s, row_number() OVER (PARTITION BY n_nationkey ORDER BY t, a, b, s) - 1 AS config FROM g")
+def syn_01(s, d):
+    return plans.photo_grid(read(s, d, "nation").select("n_nationkey"), 3).select("n_nationkey", "t", "a", "b", "s", "config")
+
+
+@query("syn_02_balanced_grid", f"WITH g AS ({GRID}) SELECT n_nationkey, p AS position, count(*) AS configs FROM g, range(0, 3) q(p) GROUP BY 1, 2")
+def syn_02(s, d):
+    g = plans.photo_grid(read(s, d, "nation").select("n_nationkey"), 3).withColumn("position", F.explode(F.expr("sequence(0L, 2L)")))
+    return g.groupBy("n_nationkey", "position").agg(F.count(F.lit(1)).alias("configs"))
+
+
+@query("syn_03_pinned_grid", f"WITH g AS ({GRID}), k AS (SELECT DISTINCT n_nationkey, a, b, s, md5('pin:' || n_nationkey || ':' || a || ':' || b || ':' || s) AS h FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY h) AS r FROM k) SELECT n_nationkey, t, a, b, s FROM r, range(0, 3) x(t) WHERE r <= 4")
+def syn_03(s, d):
+    return plans.pinned_grid(read(s, d, "nation").select("n_nationkey"), 3, 4)
+
+
+@query("syn_04_pool_grid", f"""WITH k AS (SELECT p_partkey, scene, {HASH.format(t="'o:' || p_partkey || ':' || scene")} AS h FROM part, range(0, 3) x(scene)) SELECT p_partkey, scene, h % 25 AS other1, (h % 25 + 1 + (h // 25) % 24) % 25 AS other2, (h // 600) % 2 = 1 AS swap FROM k""")
+def syn_04(s, d):
+    k = read(s, d, "part").select("p_partkey", F.explode(F.expr("sequence(0L, 2L)")).alias("scene"))
+    h = stable_hash(F.concat(F.lit("o:"), F.col("p_partkey").cast("string"), F.lit(":"), F.col("scene").cast("string")))
+    k = k.withColumn("h", h).withColumn("other1", F.col("h") % 25)
+    # the second is one of the 24 others, so no scene holds one twice
+    return k.select("p_partkey", "scene", "other1", ((F.col("other1") + 1 + F.expr("h div 25") % 24) % 25).alias("other2"), (F.expr("h div 600") % 2 == 1).alias("swap"))
+
+
+@query("syn_05_planned_episodes", f"""WITH e AS (SELECT repo_no % 3 AS slot, episode_index, row_number() OVER (PARTITION BY repo_no % 3 ORDER BY episode_index) - 1 AS i, count(*) OVER (PARTITION BY repo_no % 3) AS n FROM (SELECT DISTINCT repo_no, episode_index FROM frames)),
+ c AS (SELECT p_partkey, p_partkey % 3 AS slot, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) - 1 AS i FROM part) SELECT p_partkey, c.slot, episode_index FROM c JOIN e ON c.slot = e.slot AND c.i % e.n = e.i""")
+def syn_05(s, d):
+    episodes = frames_of(s, d).select((F.col("repo_no") % 3).alias("slot"), "episode_index").distinct()
+    return plans.paired_sources(read(s, d, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("slot")), "p_partkey", episodes)
+
+
+@query("syn_13_rotation", f"""WITH e AS (SELECT repo_no % 3 AS slot, episode_index, row_number() OVER (PARTITION BY repo_no % 3 ORDER BY episode_index) - 1 AS i, count(*) OVER (PARTITION BY repo_no % 3) AS n FROM (SELECT DISTINCT repo_no, episode_index FROM frames)),
+ c AS (SELECT c_custkey % 3 AS slot, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) - 1 AS i FROM customer) SELECT c.slot, episode_index, count(*) AS uses FROM c JOIN e ON c.slot = e.slot AND c.i % e.n = e.i GROUP BY 1, 2""")
+def syn_13(s, d):
+    episodes = frames_of(s, d).select((F.col("repo_no") % 3).alias("slot"), "episode_index").distinct()
+    paired = plans.paired_sources(read(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 3).alias("slot")), "c_custkey", episodes)
+    return paired.groupBy("slot", "episode_index").agg(F.count(F.lit(1)).alias("uses"))
+
+
+@query("syn_06_usable", "SELECT p_partkey FROM part WHERE p_partkey % 150 NOT IN (SELECT user_id FROM events WHERE value > 200)")
+def syn_06(s, d):
+    unusable = read(s, d, "events").where("value > 200").select(F.col("user_id").alias("source")).distinct()
+    return read(s, d, "part").select("p_partkey", (F.col("p_partkey") % 150).alias("source")).join(unusable, "source", "left_anti").select("p_partkey")
+
+
+@query("syn_07_pair_corpus", f"""WITH {LEN}, p AS (SELECT a.repo_no % 3 AS slot, a.episode_index AS a_ep, p.episode_index AS p_ep, a.n AS an, p.n AS pn FROM length_ a JOIN length_ p ON a.repo_no % 3 = p.repo_no % 3 WHERE a.repo_no < 3 AND p.repo_no BETWEEN 3 AND 5),
+ s AS (SELECT episode_index, sum(pan) AS t FROM frames GROUP BY 1), b AS (SELECT episode_index, arg_min(pan, frame_index) AS p0, arg_max(pan, frame_index) AS p1 FROM frames GROUP BY 1)
+ SELECT slot, a_ep, p_ep, an + pn + 5 AS length, round(x.t + y.t + 2.5 * (u.p1 + v.p0), 4) AS pan_sum FROM p JOIN s x ON x.episode_index = a_ep JOIN s y ON y.episode_index = p_ep JOIN b u ON u.episode_index = a_ep JOIN b v ON v.episode_index = p_ep""")
+def syn_07(s, d):
+    c = plans.pair_corpus(frames_of(s, d), 5)
+    return c.groupBy("slot", "a_ep", "p_ep").agg(F.count(F.lit(1)).alias("length"), F.round(F.sum("pan"), 4).alias("pan_sum"))
+
+
+@query("syn_08_hold_out", "WITH r AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY md5('11:hold:' || n_nationkey), n_nationkey) AS r FROM nation) SELECT n_nationkey, (r - 1) % 3 AS position, 'holdout_' || n_nationkey AS name FROM r WHERE r <= 3")
+def syn_08(s, d):
+    from reelbase.operators import mix
+
+    picked = mix.seeded_pick(read(s, d, "nation").select("n_nationkey", "n_regionkey"), ["n_regionkey"], "n_nationkey", 11, "hold", 3)
+    picked = picked.withColumn("o", F.md5(F.concat(F.lit("11:hold:"), F.col("n_nationkey").cast("string"))))
+    return picked.selectExpr("n_nationkey", "(row_number() OVER (PARTITION BY n_regionkey ORDER BY o, n_nationkey) - 1) % 3 AS position", "concat('holdout_', n_nationkey) AS name")
+
+
+@query("syn_09_truncated_copies", f"WITH m AS (SELECT repo_no, episode_index, max(frame_index) FILTER (WHERE gripper >= 20 AND lift >= -30) AS l, count(*) AS n FROM frames GROUP BY 1, 2) SELECT 'cut_' || {REPO} || '_last' AS repo_id, CAST(sum(least(coalesce(l + 1, 40), 40, n)) AS BIGINT) AS total_frames, count(*) AS total_episodes, true AS equal FROM m GROUP BY 1")
+def syn_09(s, d):
+    cut = D.as_dataset(T.truncated(frames_of(s, d), "last", 5, 40)).withColumn("repo_id", F.concat_ws("_", F.lit("cut"), "repo_id", F.lit("last")))
+    root = D.fresh_folder(s, "cut")
+    D.write_frames(cut, root)
+    D.write_meta(cut, root)
+    return D.checked(s, root)
+
+
+@query("syn_10_projection", f"WITH {LEN} SELECT a.repo_no % 3 AS slot, count(*) AS episodes, CAST(sum(a.n + p.n + 5) AS BIGINT) AS frames FROM length_ a JOIN length_ p ON a.repo_no % 3 = p.repo_no % 3 WHERE a.repo_no < 3 AND p.repo_no BETWEEN 3 AND 5 GROUP BY 1")
+def syn_10(s, d):
+    # sums over pairs follow from the sums of each side; no pair is made
+    e = frames_of(s, d).groupBy(*EP).agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.col("repo_no") % 3)
+    a = e.where("repo_no < 3").groupBy("slot").agg(F.count(F.lit(1)).alias("ka"), F.sum("n").alias("na"))
+    p = e.where("repo_no BETWEEN 3 AND 5").groupBy("slot").agg(F.count(F.lit(1)).alias("kp"), F.sum("n").alias("np"))
+    return a.join(p, "slot").selectExpr("slot", "ka * kp AS episodes", "na * kp + np * ka + 5 * ka * kp AS frames")
+
+
+@query("syn_11_pool_curation", f"WITH p AS (SELECT *, {REASON} AS reason FROM ({PHOTO})), k AS (SELECT p_brand, p_partkey, area, w * h AS size, row_number() OVER (PARTITION BY p_brand ORDER BY area DESC, p_partkey) AS r FROM p WHERE reason = 'OK') SELECT p_brand, count(*) AS photos, arg_max(p_partkey, size * 1000 - r) FILTER (WHERE r <= 10) AS best FROM k GROUP BY 1")
+def syn_11(s, d):
+    kept = photos(s, d).withColumn("reason", reason()).where("reason = 'OK'")
+    k = kept.withColumn("r", F.expr("row_number() OVER (PARTITION BY p_brand ORDER BY area DESC, p_partkey)"))
+    best = F.max_by(F.when(F.col("r") <= 10, F.col("p_partkey")), F.when(F.col("r") <= 10, F.struct((F.col("w") * F.col("h")).alias("a"), (-F.col("r")).alias("b"))))
+    return k.groupBy("p_brand").agg(F.count(F.lit(1)).alias("photos"), best.alias("best"))
+
+
+@query("syn_12_union_pool", "WITH u AS (SELECT n_name AS name, 0 AS pos, 'a' AS role FROM nation UNION ALL SELECT 'NATION_' || (s_nationkey % 30), 1, 'b' FROM supplier) SELECT name, min(pos) AS pos, arg_min(role, pos) AS role FROM u GROUP BY 1")
+def syn_12(s, d):
+    a = read(s, d, "nation").select(F.col("n_name").alias("name"), F.lit(0).alias("pos"), F.lit("a").alias("role"))
+    b = read(s, d, "supplier").select(F.concat(F.lit("NATION_"), (F.col("s_nationkey") % 30).cast("string")).alias("name"), F.lit(1).alias("pos"), F.lit("b").alias("role"))
+    return a.unionByName(b).groupBy("name").agg(F.min("pos").alias("pos"), F.min_by("role", "pos").alias("role"))
+
+
+__all__ = ["SLOT", "named"]

@@ -6,6 +6,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def guarded(values: pd.Series, bias: float, alpha: float, most: float, last: float | None = None) -> tuple[list[float], float | None]:
@@ -44,15 +45,39 @@ def action_guard(ticks: DataFrame, bias: float = 2.0, alpha: float = 0.5, most:
     return dealt.mapInArrow(run, "rollout long, step long, sent double")
 
 
-def action_guard_stream(ticks: DataFrame, bias: float = 2.0, alpha: float = 0.5, most: float = 5.0) -> DataFrame:
-    """Streaming twin: the last output of a rollout is its state."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class GuardState(StatefulProcessor):
+    """The last output and step of a rollout. Ticks of a micro-batch come in any order and are sorted; one whose step is not after the last step sent was
+    already answered and is left out, for what was sent cannot be taken back. A rollout without ticks for ``idle_ms`` is forgotten."""
 
-    def run(key, frames, state):
-        last = state.get[0] if state.exists else None
-        frame = pd.concat(list(frames)).sort_values("step")
-        sent, last = guarded(frame["value"], bias, alpha, most, last)
-        state.update((last,))
-        yield pd.DataFrame({"rollout": frame["rollout"], "step": frame["step"], "sent": sent})
+    def __init__(self, bias: float, alpha: float, most: float, idle_ms: int):
+        self.bias, self.alpha, self.most, self.idle_ms = bias, alpha, most, idle_ms
 
-    return ticks.groupBy("rollout").applyInPandasWithState(run, "rollout long, step long, sent double", "last double", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "step long, sent double", ttlDurationMs=self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        step, last = self.state.get() if self.state.exists() else (None, None)
+        frame = pd.concat(list(rows)).sort_values("step", kind="stable").drop_duplicates("step")
+        if step is not None:
+            frame = frame[frame["step"] > step]
+        if len(frame):
+            sent, last = guarded(frame["value"], self.bias, self.alpha, self.most, last)
+            self.state.update((int(frame["step"].iloc[-1]), float(last)))
+            yield pd.DataFrame({"rollout": frame["rollout"], "step": frame["step"], "sent": sent})
+
+    def close(self) -> None:
+        pass
+
+
+def action_guard_stream(ticks: DataFrame, bias: float = 2.0, alpha: float = 0.5, most: float = 5.0, idle_ms: int = 3_600_000) -> DataFrame:
+    """Streaming twin: the last output and step of a rollout are its state, see :class:`GuardState`. Needs the RocksDB state store."""
+    named = ticks.where("rollout IS NOT NULL AND step IS NOT NULL")
+    return named.groupBy("rollout").transformWithStateInPandas(GuardState(bias, alpha, most, idle_ms), "rollout long, step long, sent double", "Append", "ProcessingTime")
+
+
+def loop_timing(ticks: DataFrame, target_ms: float, width: str, late: str = "10 minutes") -> DataFrame:
+    """(ts, loop_ms) -> per tumbling window: ticks, and how many were slower than the target. On a stream, ticks later than ``late`` are left out."""
+    if ticks.isStreaming:
+        ticks = ticks.withWatermark("ts", late)
+    w = F.window("ts", width)
+    return ticks.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("ticks"), F.count_if(F.col("loop_ms") > target_ms).alias("overruns")).select(F.col("w.start").alias("start"), "ticks", "overruns")

@@ -57,6 +57,7 @@ def test_filter_text(spark):
 
 
 def test_guard_stream_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ticks = spark.createDataFrame([(r, i, float((i * 7 + r) % 23)) for r in (1, 2) for i in range(20)], "rollout long, step long, value double")
     ticks.write.parquet(str(tmp_path / "ticks"))
     stream = guards.action_guard_stream(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "ticks")))
@@ -64,3 +65,47 @@ def test_guard_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(map(tuple, spark.sql("SELECT * FROM guarded").collect()))
     assert got == sorted(map(tuple, guards.action_guard(ticks).collect()))
+
+
+def test_watch_processes_each_checkpoint_once(spark, tmp_path):
+    from reelbase.streaming import watch
+
+    folder, metrics, state = (str(tmp_path / x) for x in ("in", "metrics", "state"))
+    judge = lambda rows: rows.select("step", (1 - F.col("loss")).alias("score"))
+    for step in (100, 200):
+        spark.createDataFrame([(step, step / 1000)], watch.CHECKPOINT).coalesce(1).write.mode("append").json(folder)
+        assert not watch.finished(spark, metrics, 200)
+        watch.watch_checkpoints(spark, folder, metrics, state, judge, final_step=500).awaitTermination(120)
+    got = sorted((r.step, round(r.score, 3)) for r in spark.read.json(metrics).collect())
+    assert got == [(100, 0.9), (200, 0.8)] and watch.finished(spark, metrics, 200)
+
+
+def test_merged_boxes_and_softmax(spark):
+    from reelbase.functions import text as X
+
+    box = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(v, ("x0", "y0", "x1", "y1"))])
+    r = spark.range(1).select(X.merged_boxes(F.array(box(0, 0, 10, 10), box(1, 1, 30, 30), box(50, 50, 60, 60))).alias("b"), X.softmax(F.array(F.lit(0.0), F.lit(0.0))).alias("s")).first()
+    assert [tuple(x) for x in r.b] == [(1.0, 1.0, 30.0, 30.0), (50.0, 50.0, 60.0, 60.0)] and r.s == [0.5, 0.5]
+
+
+def test_renumbering_takes_string_and_several_keys(spark):
+    rows = [(r, e, i) for r, e, n in (("b", 5, 2), ("a", 9, 1), ("a", 2, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "repo string, episode long, frame long")
+    frames, episodes = T.renumbered(df, ["repo", "episode"], "frame")
+    assert [(r.repo, r.episode, r.from_index, r.to_index) for r in episodes.orderBy("episode_no").collect()] == [("a", 2, 0, 3), ("a", 9, 3, 4), ("b", 5, 4, 6)]
+    assert [r["index"] for r in frames.orderBy("repo", "episode", "frame").collect()] == list(range(6))
+    assert T.renumbered(df.limit(0), ["repo", "episode"], "frame")[0].count() == 0
+
+
+def test_accented_slugs(spark):
+    from reelbase.functions import text as X
+
+    df = spark.createDataFrame([("Zoë  Müller-Ray",), ("plain Name",), (None,)], "n string")
+    assert {r.n: r.slug for r in X.with_ascii_slug(df, "n").collect()} == {"Zoë  Müller-Ray": "zoe_muller_ray", "plain Name": "plain_name", None: None}
+
+
+def test_frames_are_shuffled_once(spark):
+    from reelbase.sources.adapters import frames_of
+
+    plan = T.edge_window_stats(frames_of(spark, "/root/testdata/sf0.001"), "pan", 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
