@@ -7,14 +7,15 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reelbase.functions.names import slug
 
-#: The first code points that can change under compatibility decomposition.
+#: Texts that compatibility decomposition leaves as they are.
 PLAIN = "^[\\x00-\\x7F]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
