@@ -123,14 +123,25 @@ def action_chunks(df: DataFrame, column: str, size: int, keys=EPISODE) -> DataFr
 
 
 def range_number(rows: DataFrame, keys: list[str], ranges: int = 64) -> Column:
-    """Which of at most ``ranges`` + 1 ranges of the keys a row falls in, rising with the keys. The bounds are rows drawn by hash."""
+    """Which of at most ``ranges`` + 1 ranges of the keys a row falls in, rising with the keys. The bounds are rows drawn by hash, and a row finds its range by
+    halving, in expressions that compile."""
     kinds = {k: rows.schema[k].dataType for k in keys}
-    drawn = rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(ranges).collect()
-    if not drawn:
-        return F.lit(0)
-    bounds = F.array(*[F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys]) for r in drawn])
-    own = F.struct(*[F.col(k).alias(k) for k in keys])
-    return F.size(F.filter(bounds, lambda b: b <= own))
+    bounds = sorted({tuple(r) for r in rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(ranges).collect()})
+
+    def before(bound: tuple) -> Column:
+        out = F.lit(False)
+        for k, v in reversed(list(zip(keys, bound, strict=True))):
+            value = F.lit(v).cast(kinds[k])
+            out = (F.col(k) < value) | ((F.col(k) == value) & out)
+        return out
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(before(bounds[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return place(0, len(bounds))
 
 
 def renumbered(df: DataFrame, episode_keys: list[str], order: str, within: list[str] | None = None, fps: int = 30) -> tuple[DataFrame, DataFrame]:

@@ -177,3 +177,32 @@ def set_07(s, d):
 def set_08(s, d):
     f = D.repo_names(frames_of(s, d)).withColumn("evaluation", F.col("repo_id").rlike("_person_c_"))
     return f.agg(F.count_if(F.expr("evaluation AND repo_id LIKE '%\\\\_left\\\\_%'")).alias("shared"), F.countDistinct(F.when(F.col("evaluation"), F.col("repo_no"))).alias("held_out"), (F.countDistinct("repo_no") == 9).alias("lossless"))
+
+
+@query("snk_01_storage_types", "SELECT CAST('action:array<float>,episode_index:bigint,frame_index:bigint,index:bigint,repo_id:string,state:array<float>,task_index:bigint,timestamp:float' AS VARCHAR) AS types, count(*) AS frames FROM frames")
+def snk_01(s, d):
+    f = D.scan_frames(s, written(s, d, meta=False), ["*"])
+    types = ",".join(sorted(f"{x.name}:{x.dataType.simpleString()}" for x in f.schema))
+    return f.agg(F.count(F.lit(1)).alias("frames")).withColumn("types", F.lit(types))
+
+
+@query("snk_02_episode_statistics", f"SELECT {REPO} AS repo_id, episode_index, round(avg(pan), 6) AS pan_mean, round(stddev_pop(pan), 6) AS pan_std, round(quantile_cont(pan, 0.9), 6) AS pan_q90, CAST(count(*) AS DOUBLE) AS n FROM frames GROUP BY 1, 2")
+def snk_02(s, d):
+    at = lambda k: F.round(F.col("stats")[k][0], 6)
+    columns = ["repo_id", "episode_index", at("mean").alias("pan_mean"), at("std").alias("pan_std"), at("q90").alias("pan_q90"), F.col("stats")["count"][0].alias("n")]
+    return D.scan_episodes(s, written(s, d, frames=False), columns)
+
+
+@query("snk_03_meta_tables", f"SELECT {REPO} AS repo_id, CAST(0 AS BIGINT) AS task_index, {TASK} AS task, '0:' || count(DISTINCT episode_index) AS train, CAST(60 AS BIGINT) AS statistics FROM frames GROUP BY repo_no")
+def snk_03(s, d):
+    root = written(s, d, frames=False)
+    counts = D.scan_stats(s, root).groupBy("repo_id").agg(F.count(F.lit(1)).alias("statistics"))
+    info = D.scan_info(s, root).select("repo_id", F.col("splits")["train"].alias("train"))
+    return s.read.parquet(f"{root}/meta/tasks").join(info, "repo_id").join(counts, "repo_id").select("repo_id", "task_index", "task", "train", "statistics")
+
+
+@query("snk_09_ranked_table", f"WITH r AS (SELECT {REPO} AS repo_id, count(*) AS frames, round(avg(gripper), 4) AS gripper FROM frames GROUP BY 1) SELECT row_number() OVER (ORDER BY gripper DESC, repo_id) AS place, repo_id, frames, gripper FROM r")
+def snk_09(s, d):
+    r = D.repo_names(frames_of(s, d)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("gripper"), 4).alias("gripper"))
+    # one row per repo
+    return r.selectExpr("row_number() OVER (ORDER BY gripper DESC, repo_id) AS place", "repo_id", "frames", "gripper")

@@ -363,3 +363,55 @@ def flt_10(s, d):
 def flt_11(s, d):
     names = [x.strip() for x in "NATION_1, NATION_4".split(",")]
     return G.curated(read(s, d, "nation"), names, "n_name", F.lit(False)).select("n_name", "n_regionkey")
+
+
+@query("jn_09_nearest_centroid", "SELECT event_id, CASE WHEN abs(pan - 60) <= abs(pan) AND abs(pan - 60) <= abs(pan + 60) THEN 'left' WHEN abs(pan + 60) <= abs(pan) THEN 'right' ELSE 'middle' END AS slot FROM frames")
+def jn_09(s, d):
+    from reelbase.functions.names import nearest
+
+    # ties: left, right, middle
+    return frames_of(s, d).select("event_id", nearest(F.col("pan"), {"left": 60.0, "right": -60.0, "middle": 0.0}).alias("slot"))
+
+
+@query("prj_05_slot_labels", f"SELECT repo_no, CASE WHEN repo_no < 6 THEN CAST(repo_no % 3 AS INT) ELSE -100 END AS label FROM (SELECT DISTINCT repo_no FROM frames)")
+def prj_05(s, d):
+    from reelbase.functions.names import slot_label
+
+    r = frames_of(s, d).select("repo_no").distinct()
+    word = F.when(F.col("repo_no") < 6, F.element_at(F.array(F.lit("left"), F.lit("middle"), F.lit("right")), (F.col("repo_no") % 3).cast("int") + 1))
+    return r.select("repo_no", slot_label(word).alias("label"))
+
+
+@query("udf_01_row_functions", f"SELECT event_id, 'go ' || {SLOT} AS task, pan * 2 AS pan FROM frames")
+def udf_01(s, d):
+    # what a user injects per row are functions from columns to columns, so that they run inside the plan
+    injected = {"task": lambda r: F.concat(F.lit("go "), r["position"]), "pan": lambda r: r["pan"] * 2}
+    f = named(s, d)
+    return f.select("event_id", *[g(f).alias(k) for k, g in injected.items()])
+
+
+@query("udf_02_grouped_function", f"SELECT repo_no, episode_index, frame_index, max(pan) OVER {W} AS highest FROM frames")
+def udf_02(s, d):
+    import pandas as pd
+
+    def run(batches):
+        # sorted batches; only the running value of the episode at hand is carried, so an episode of any length fits
+        own = top = None
+        for b in batches:
+            out = []
+            for repo, episode, pan in zip(b["repo_no"], b["episode_index"], b["pan"], strict=True):
+                top = pan if (repo, episode) != own else max(top, pan)
+                own = (repo, episode)
+                out.append(top)
+            yield pd.DataFrame({"repo_no": b["repo_no"], "episode_index": b["episode_index"], "frame_index": b["frame_index"], "highest": out})
+
+    f = frames_of(s, d).select(*EP, "frame_index", "pan").repartition(*EP).sortWithinPartitions(*EP, "frame_index")
+    return f.mapInPandas(run, "repo_no long, episode_index long, frame_index long, highest double")
+
+
+@query("udf_04_merged_aggregate", "SELECT round(avg(gripper), 6) AS mean, round(stddev_pop(gripper), 6) AS std, count(*) AS count FROM frames")
+def udf_04(s, d):
+    from reelbase.operators import stats
+
+    parts = stats.dimension_stats(frames_of(s, d), EP, ["gripper"])
+    return r6(stats.merged_stats(parts, ["dim"]).select("mean", "std", F.col("count").cast("long").alias("count")), "mean", "std")
