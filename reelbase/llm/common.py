@@ -60,15 +60,19 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, most_hot: int = 10_000) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, most_hot: int = 10_000, frequent: DataFrame | None = None) -> DataFrame:
     """``rows.join(table, key)`` where a key may hold a large part of all rows. ``table`` is a written one with one row per key and ``weight``, how many
     rows have that key. Keys with at least a ``most_hot``-th of the whole weight, of which there are ``most_hot`` at most, are broadcast, so their rows
-    stay where they are; the others are shuffled, none of them being large. The weight is left out of the result."""
+    stay where they are; the others are shuffled, none of them being large. ``frequent`` lists keys (of a checked number, to
+    be broadcast) that many rows have but the table may lack: those rows are left out before anything moves. The weight is left out of the result."""
     total = table.agg(F.sum(weight)).first()[0] or 0
     least = max(1000.0, total / most_hot)
+    if frequent is not None:  # of the table's keys, the frequent ones are hot, whatever the table's own weights say
+        table = table.join(F.broadcast(frequent.select(key).withColumn("_hot", F.lit(True))), key, "left").withColumn(weight, F.when(F.col("_hot"), float("inf")).otherwise(F.col(weight))).drop("_hot")
     hot = F.broadcast(table.where(F.col(weight) >= least).drop(weight))
     cold = table.where(F.col(weight) < least).drop(weight)
-    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    away = hot.select(key) if frequent is None else hot.select(key).union(frequent.select(key))
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(away), key, "left_anti").join(cold, key))
 
 
 def parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

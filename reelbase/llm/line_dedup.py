@@ -22,20 +22,21 @@ def line_table(docs: DataFrame, row: str, id_col: str, text_col: str, site_col:
     return line.select("id", "row", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("h"), "site")
 
 
-def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """h, ``first`` (smallest id that holds it) and n (how many rows do) of the lines on at least ``min_sites`` distinct sites."""
-    several = cut(
-        lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "first", "n"),
-        "several",
-    )
-    held = lookup(lines.select("h", "site"), several.select("h", "n"), "h", "n")
+def spread_lines(lines: DataFrame, min_sites: int, most_frequent: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """h, ``first`` (smallest id that holds it) and n (how many rows do) of the lines on at least ``min_sites`` distinct sites; and the at most
+    ``most_frequent`` lines, on however many sites, that hold a large part of all rows."""
+    counted = lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    least = max(1000, -(-lines.count() // most_frequent))
+    kept = cut(counted.where((F.col("a") != F.col("b")) | (F.col("n") >= least)).select("h", "first", "n", (F.col("a") != F.col("b")).alias("several")), "several")
+    several, frequent = kept.where("several").drop("several"), kept.where(F.col("n") >= least).select("h")
+    held = lookup(lines.select("h", "site"), several.select("h", "n"), "h", "n", frequent=frequent)
     sketches = held.groupBy("h", F.pmod(F.xxhash64("site", "h"), F.lit(8)).alias("part")).agg(F.hll_sketch_agg("site", LG_K).alias("s")).groupBy("h").agg(F.hll_union_agg("s").alias("s"))
     margin = max(1.0, min_sites * 3 * 1.04 / 2 ** (LG_K / 2))
     judged = cut(sketches.select("h", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= min_sites - margin), "judged")
     sure = judged.where(F.col("sites") > min_sites + margin).select("h")
     near = judged.where(F.col("sites") <= min_sites + margin).join(several, "h").select("h", "n")
-    exact = lookup(lines.select("h", "site"), cut(near, "near"), "h", "n").distinct().groupBy("h").count().where(F.col("count") >= min_sites).select("h")
-    return several.join(sure.union(exact), "h", "left_semi")
+    exact = lookup(lines.select("h", "site"), cut(near, "near"), "h", "n", frequent=frequent).distinct().groupBy("h").count().where(F.col("count") >= min_sites).select("h")
+    return several.join(sure.union(exact), "h", "left_semi"), frequent
 
 
 def line_dedup(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -51,8 +52,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text
     row, parts, gone_at, gone_id, gone_row = (free_name(docs, c) for c in ("_row", "_lines", "_gone", "_id", "_of_row"))
     keyed = docs.withColumn(row, F.xxhash64(text_col))
     lines = cut(line_table(keyed, row, id_col, text_col, site_col), "lines")
-    spread = cut(spread_lines(lines, min_sites), "spread")
-    held = lookup(lines.select("id", "row", "pos", "h"), spread, "h", "n").where("id <> first OR first IS NULL OR id IS NULL")
+    spread, frequent = spread_lines(lines, min_sites)
+    held = lookup(lines.select("id", "row", "pos", "h"), cut(spread, "spread"), "h", "n", frequent=frequent).where("id <> first OR first IS NULL OR id IS NULL")
     gone = held.groupBy(F.col("id").alias(gone_id), F.col("row").alias(gone_row)).agg(F.collect_set("pos").alias(gone_at))
     both = keyed.join(gone, keyed[id_col].eqNullSafe(F.col(gone_id)) & (keyed[row] == F.col(gone_row)), "left").withColumn(parts, F.split(text_col, "\n"))
     left = f"transform(filter(transform({parts}, (x, i) -> struct(x AS l, i AS i)), y -> NOT array_contains({gone_at}, y.i)), y -> y.l)"
