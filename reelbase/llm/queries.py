@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelbase.llm import decontam, fingerprints, line_dedup, pii, sentencepiece_codec, setjoin, token_alignment, token_counts, toxicity, url_filter, warc, whitening
+from reelbase.llm import decontam, fingerprints, language_id, line_dedup, pii, sentencepiece_codec, setjoin, token_alignment, token_counts, toxicity, url_filter, warc, whitening
 from reelbase.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(docs, pii.train(docs))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.train(docs))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_pii": op10_pii,
+    "op11_language_id": op11_language_id,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_token_alignment": op13_token_alignment,
 }
