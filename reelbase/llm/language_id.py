@@ -200,9 +200,11 @@ def train(docs: DataFrame, rows_per_language: int = 300, languages: int = 200, s
     text = F.col(text_col)
     good = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (remainder(id_col, folds) != out_fold) & (F.octet_length(text) <= sample_bytes) & text.rlike(LETTER))
     drawn = good.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
-    top = drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # cut to so many of each language where the rows are read
-    some = drawn.withColumn("place", place).where(F.col("place") <= rows_per_language).join(F.broadcast(top), "lang").select("lang", "h").distinct()
+    top = drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    # of a large language only hashes in a share of their range that holds some four times the wanted rows are looked at, so none gathers in a task
+    share = F.shiftrightunsigned("h", 11) / float(1 << 53) < 4.0 * rows_per_language / F.col("count")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    some = drawn.join(F.broadcast(top), "lang").where(share).select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= rows_per_language).select("lang", "h")
     rows = good.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text")).join(F.broadcast(some), ["lang", "h"])
     got = rows.dropDuplicates(["lang", "h", "text"]).toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return fit(got.column("text").to_pylist(), got.column("lang").to_pylist(), landmarks)
