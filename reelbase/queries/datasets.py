@@ -59,17 +59,6 @@ def src_05(s, d):
     return stats.select("repo_id", "statistic", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
 
 
-@query("src_09_discover", f"SELECT DISTINCT {REPO} AS repo_id FROM frames WHERE {SLOT} = 'left'")
-def src_09(s, d):
-    return D.discovered(s, written(s, d, frames=False), "_left_[0-9]+$")
-
-
-@query("src_12_inventory", "SELECT split_part(split_part(url, '://', 2), '/', 1) AS dir, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1")
-def src_12(s, d):
-    p = read(s, d, "pages").select(F.expr("split_part(split_part(url, '://', 2), '/', 1)").alias("dir"), F.char_length("html").cast("long").alias("length"))
-    return D.inventory(p, "dir")
-
-
 @query("snk_04_report_csv", f"SELECT {REPO} AS repo_id, count(*) AS frames FROM frames GROUP BY 1")
 def snk_04(s, d):
     root = D.fresh_folder(s, "report")

@@ -300,27 +300,6 @@ def top_03(s, d):
     return read(s, d, "nation").select("n_name", "n_nationkey").orderBy("n_nationkey").limit(5)  # a report of the first five
 
 
-@query("src_06_rectangular_pool", "WITH k AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#5')) SELECT p_brand, p_partkey FROM k WHERE r <= (SELECT min(n) FROM k)")
-def src_06(s, d):
-    known = s.createDataFrame([(b,) for b in ("Brand#1", "Brand#2", "Brand#5", "Brand#99")], "p_brand string")
-    p = read(s, d, "part").select("p_brand", "p_partkey").join(F.broadcast(known), "p_brand", "left_semi")
-    least = p.groupBy("p_brand").count().agg(F.min("count").alias("least"))
-    return p.withColumn("r", F.expr("row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)")).crossJoin(F.broadcast(least)).where("r <= least").select("p_brand", "p_partkey")  # one row
-
-
-@query("src_07_preferred_photos", "WITH k AS (SELECT p_brand, p_partkey, p_size >= 40 AS good, count(*) FILTER (WHERE p_size >= 40) OVER (PARTITION BY p_brand) AS g, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, p_partkey FROM k WHERE n >= 3 AND (good OR g = 0)")
-def src_07(s, d):
-    p = read(s, d, "part").groupBy("p_brand").agg(F.collect_list("p_partkey").alias("listing"), F.collect_list(F.when(F.col("p_size") >= 40, F.col("p_partkey"))).alias("quality"))
-    chosen = F.when(F.size("quality") > 0, F.col("quality")).otherwise(F.col("listing"))
-    return p.where(F.size("listing") >= 3).select("p_brand", F.explode(chosen).alias("p_partkey"))
-
-
-@query("src_10_checkpoints", "SELECT l_orderkey AS step FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 500 = 0)")
-def src_10(s, d):
-    names = read(s, d, "lineitem").where("l_orderkey % 500 = 0").select(F.col("l_orderkey").cast("string").alias("name")).distinct()
-    return names.unionByName(s.createDataFrame([("last",), ("tmp-1",)], "name string")).where(F.col("name").rlike("^[0-9]+$")).select(F.col("name").cast("long").alias("step"))
-
-
 @query("src_13_overrides", "SELECT n_nationkey, CASE n_name WHEN 'NATION_2' THEN 'Second' ELSE n_name END AS name FROM nation")
 def src_13(s, d):
     o = s.createDataFrame([("NATION_2", "Second")], "n_name string, corrected string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelbase.queries import core, datasets, evaluation, gathers, quality, summaries, texts  # noqa: F401
+from reelbase.queries import core, datasets, evaluation, folders, gathers, quality, summaries, texts  # noqa: F401
 from reelbase.queries.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from reelbase.operators.stats import dimension_stats
 from reelbase.operators.timeseries import renumbered
 from reelbase.sources.adapters import FPS, JOINTS, repo_names
+from reelbase.sources.files import listing
 
 FRAME_TYPES = {
     "action": "array<float>",
@@ -136,8 +137,10 @@ def checked(spark: SparkSession, root: str) -> DataFrame:
 
 
 def discovered(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """The repos under a root whose name matches, sorted."""
-    return scan_info(spark, root).where(F.col("repo_id").rlike(pattern)).select("repo_id").orderBy("repo_id")
+    """The repos under a root whose name matches, sorted, by listing its folders; no file is opened."""
+    folders = listing(spark, f"{root}/data", depth=0, recursive=False).where("is_dir")
+    name = F.regexp_extract("name", "^repo_id=(.*)$", 1)
+    return folders.select(name.alias("repo_id")).where((F.col("repo_id") != "") & F.col("repo_id").rlike(pattern)).orderBy("repo_id")
 
 
 def write_report(rows: DataFrame, root: str, name: str, parameters: dict[str, str]) -> None:

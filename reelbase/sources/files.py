@@ -48,13 +48,14 @@ class Folders(InputPartition):
 
 
 class FolderReader(DataSourceReader):
-    """Options: ``path``; ``depth`` (folders at this depth are dealt to tasks, 1 unless given); ``shares`` (tasks for each group of folders, 1 unless
+    """Options: ``path``; ``depth`` (folders at this depth are dealt to tasks, 1 unless given); ``recursive`` (whether what lies deeper is listed too, true unless given); ``shares`` (tasks for each group of folders, 1 unless
     given); ``tasks`` (at most so many groups of folders, 1000 unless given)."""
 
     def __init__(self, schema: StructType, options):
         self.path = options.get("path") or ""
         if not self.path:
             raise ValueError("the option path is missing")
+        self.below = options.get("recursive", "true").lower() == "true"
         self.depth, self.shares, self.tasks = (int(options.get(k, v)) for k, v in (("depth", "1"), ("shares", "1"), ("tasks", "1000")))
 
     def partitions(self):
@@ -63,7 +64,7 @@ class FolderReader(DataSourceReader):
         for _ in range(self.depth):
             folders += [(f, False) for f in level]
             level = [f.path for folder in level for f in listed(fs, folder) if f.type == pafs.FileType.Directory]
-        folders += [(f, True) for f in level]
+        folders += [(f, self.below) for f in level]
         groups = min(len(folders), self.tasks)
         return [Folders(folders[g::groups], s, self.shares) for g in range(groups) for s in range(self.shares)]
 

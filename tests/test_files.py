@@ -77,6 +77,7 @@ def test_listing_is_planned_by_folder_and_a_missing_one_is_empty(spark, folder):
     assert files.listing(spark, folder).rdd.getNumPartitions() == 4  # the root's own files, a, bad, w
     assert files.listing(spark, folder, shares=5).rdd.getNumPartitions() == 20
     assert files.listing(spark, f"{folder}/nothing").count() == 0
+    assert sorted(r.path for r in files.listing(spark, folder, depth=0, recursive=False).collect()) == ["a", "bad", "four.gif", "w"]
     with pytest.raises(Exception, match="path is missing"):
         spark.read.format("reel_files").load().collect()
 
