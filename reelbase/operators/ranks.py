@@ -7,9 +7,11 @@ same rows give the same ranges however they are dealt. Only groups that a bound
 from __future__ import annotations
 
 import math
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, TimestampNTZType, TimestampType
 
 RANGES, DRAWN = 128, 32
 
@@ -22,19 +24,32 @@ def spread_bounds(rows: DataFrame, keys: list[str], ranges: int = RANGES) -> lis
     return list(dict.fromkeys(picked))
 
 
+def literal(value, kind: DataType) -> str:
+    """A value as SQL that folds to a constant of that type."""
+    name = kind.simpleString()
+    if value is None:
+        return f"CAST(NULL AS {name})"
+    if isinstance(kind, BinaryType):
+        return f"X'{bytes(value).hex()}'"
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        micros = (value.replace(tzinfo=None) - datetime(1970, 1, 1)) // timedelta(microseconds=1) if isinstance(kind, TimestampNTZType) else round(value.timestamp() * 1e6)
+        return f"CAST(timestamp_micros({micros}L) AS {name})" if isinstance(kind, TimestampType) else f"CAST('{datetime(1970, 1, 1) + timedelta(microseconds=micros)}' AS {name})"
+    return f"CAST(decode(X'{str(value).encode().hex()}', 'UTF-8') AS {name})"
+
+
 def range_of(rows: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
     """Which range a row is in, rising with the keys in Spark's order (nulls first), found by halving: a row equal to a bound is in the range after it."""
+    if not bounds:
+        return F.lit(0)
     kinds = {k: rows.schema[k].dataType for k in keys}
-    own = F.struct(*keys)
+    own = "struct(" + ", ".join(f"`{k.replace('`', '``')}`" for k in keys) + ")"
+    cuts = ["struct(" + ", ".join(literal(v, kinds[k]) for k, v in zip(keys, bound, strict=True)) + ")" for bound in bounds]
 
-    def place(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
+    def place(lo: int, hi: int) -> str:
         mid = (lo + hi) // 2
-        bound = F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(keys, bounds[mid], strict=True)])
-        return F.when(own < bound, place(lo, mid)).otherwise(place(mid + 1, hi))
+        return str(lo) if lo == hi else f"if({own} < {cuts[mid]}, {place(lo, mid)}, {place(mid + 1, hi)})"
 
-    return place(0, len(bounds))
+    return F.expr(place(0, len(bounds)))  # as text, for it is a hundred comparisons: they compile, and a row meets seven of them
 
 
 def before_ranges(counts: DataFrame, group: list[str], value: str = "_n", name: str = "_before") -> DataFrame:

@@ -79,3 +79,11 @@ def test_runs_over_ranges(spark, ranges):
     df = spark.createDataFrame([rows[i] for i in order], "g string, k long, v int")
     got = ranks.runs_of(df, ["g"], ["k"], "v", ranges=ranges)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_keys_of_many_types(spark):
+    kinds = ["cast(null as int)", "id", "cast(id as string)", "concat('o''x\\\\', id)", "id / 7", "cast(id / 7 as decimal(12,4))", "timestamp_micros(id * 777777777)", "cast(timestamp_micros(id * 777777777) as timestamp_ntz)", "date_add(date'2020-01-01', cast(id as int))", "cast(cast(id as string) as binary)", "id % 2 = 0", "cast(id as float) / 3", "if(id % 3 = 0, double('NaN'), id / 3)", "if(id % 5 = 0, null, id)"]
+    for kind in kinds:
+        df = spark.range(300).selectExpr(f"{kind} AS k", "id")
+        want = df.withColumn("rank", (F.row_number().over(Window.orderBy("k", "id")) - 1).cast("long"))
+        assert sorted(map(str, ranks.ranked(df, [], ["k", "id"], ranges=16).collect())) == sorted(map(str, want.collect())), kind
