@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelbase.operators.timeseries import EPISODE, ordered, whole, with_length
+from reelbase.operators.ranks import met, ranked, runs_of
+from reelbase.operators.timeseries import EPISODE, ordered, renumbered, whole, with_length
+from reelbase.sources.storage import written_once
 
 
 def by_row_range(frames: DataFrame, episodes: DataFrame, repo: str = "repo_id") -> DataFrame:
@@ -75,8 +77,8 @@ def first_frame_after(frames: DataFrame, column: str, pregrasp: str = "pregrasp"
 def compared_rows(frames: DataFrame, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
     """Repos of one slot (repo_no % 3) compared row by row, by their position in the repo: repo_a < repo_b, rows, equal rows, close rows, max and mean
     absolute difference, mean L2 difference. Every repo meets the two or few others of its slot, so rows grow linearly."""
-    w = Window.partitionBy("repo_no").orderBy("episode_index", "frame_index")
-    placed = frames.select("repo_no", (F.col("repo_no") % 3).alias("slot"), F.row_number().over(w).alias("row"), *columns)
+    numbered, _ = renumbered(frames.select("repo_no", "episode_index", "frame_index", *columns), ["repo_no", "episode_index"], "frame_index", within=["repo_no"])
+    placed = written_once(numbered.select("repo_no", (F.col("repo_no") % 3).alias("slot"), F.col("index").alias("row"), *columns), "placed-rows")
     a = placed.select("slot", "row", F.col("repo_no").alias("repo_a"), F.array(*columns).alias("x"))
     b = placed.select("slot", "row", F.col("repo_no").alias("repo_b"), F.array(*columns).alias("y"))
     both = a.join(b, ["slot", "row"]).where("repo_a < repo_b").withColumn("d", F.zip_with("x", "y", lambda p, q: F.abs(p - q)))
@@ -93,6 +95,22 @@ def compared_rows(frames: DataFrame, columns: list[str], tolerance: float = 1e-6
     )
 
 
+def pairs(a: DataFrame, b: DataFrame, on: list[str], salts: int = 32) -> DataFrame:
+    """Every row of ``a`` with every row of ``b`` of equal keys, where few keys hold all rows and the pairs are what is wanted: a key's pairs are made by ``salts`` tasks, each with
+    a share of ``a`` and all of ``b``."""
+    names = [c for c in b.columns if c not in on]
+    left = a.withColumn("_s", F.pmod(F.xxhash64(*a.columns), F.lit(salts)).cast("int"))
+    right = b.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_s"]).select(*a.columns, *names)
+
+
+def window_from(lengths: DataFrame, size: int, share: float = 0.25, keys=EPISODE, length: str = "n") -> DataFrame:
+    """Consecutive frames of each episode, from ``share`` of it on: ``size`` of them, two at least, as far as it goes."""
+    start = F.floor(F.col(length) * share)
+    last = F.least(F.col(length), start + max(2, size)) - 1
+    return lengths.where(F.col(length) > 0).select(*keys, F.explode(F.sequence(start, last)).alias("frame_index"))
+
+
 def fractional_picks(lengths: DataFrame, k: int, length: str = "n") -> DataFrame:
     """Frames at fractions of the episode, floor((n - 1) * f), each once: one at .88, two at .5 and .88, else evenly from .25 to .9. Phase final from .75."""
     shares = [0.88] if k == 1 else [0.5, 0.88] if k == 2 else [0.25 + 0.65 * i / (k - 1) for i in range(k)]
@@ -103,8 +121,9 @@ def fractional_picks(lengths: DataFrame, k: int, length: str = "n") -> DataFrame
 
 def even_positions(rows: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:
     """At most k rows of each group, evenly spaced over the order: positions round(i * (n - 1) / (k - 1)), half to even, each once."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    placed = rows.withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*group))})
+    stored = written_once(rows, "even-positions")
+    counts = stored.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    placed = met(ranked(stored, group, order, "_r"), counts, group)
     # row r is taken when some i gives it; only i near r * (k - 1) / (n - 1) can
     near = F.floor(F.col("_r") * (k - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     hits = [(near + d >= 0) & (near + d <= k - 1) & (F.bround((near + d) * (F.col("_n") - 1) / F.lit(float(max(k - 1, 1)))) == F.col("_r")) for d in (-1, 0, 1, 2)]
@@ -119,10 +138,7 @@ def strided_frames(lengths: DataFrame, k: int, length: str = "n") -> DataFrame:
 
 def episode_end(frames: DataFrame, repo: str = "repo_no", order: tuple[str, ...] = ("episode_index", "frame_index")) -> DataFrame:
     """Adds ``run_end``: the position after the last frame of the run of equal episodes that a frame lies in. Runs are found from changes."""
-    w = Window.partitionBy(repo).orderBy(*order)
-    change = F.coalesce(F.lag("episode_index").over(w) != F.col("episode_index"), F.lit(True)).cast("int")
-    placed = frames.withColumns({"_change": change, "_at": F.row_number().over(w)}).withColumn("_run", F.sum("_change").over(w))
-    return placed.withColumn("run_end", F.max("_at").over(Window.partitionBy(repo, "_run"))).drop("_change", "_at", "_run")
+    return runs_of(written_once(frames, "runs"), [repo], list(order), "episode_index")
 
 
 def seam_distance(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
@@ -131,7 +147,7 @@ def seam_distance(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     last = a.groupBy("slot", "episode_index").agg(F.max_by(F.array(*columns), "frame_index").alias("x")).withColumnRenamed("episode_index", "a_ep")
     first = b.groupBy("slot", "episode_index").agg(F.min_by(F.array(*columns), "frame_index").alias("y")).withColumnRenamed("episode_index", "b_ep")
     gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: p - q), F.lit(0.0), lambda s, v: s + v * v))
-    return last.join(first, "slot").select("slot", "a_ep", "b_ep", gap.alias("distance"))
+    return pairs(last, first, ["slot"]).select("slot", "a_ep", "b_ep", gap.alias("distance"))
 
 
 def bridge(ends: DataFrame, n: int, hold: bool = False) -> DataFrame:

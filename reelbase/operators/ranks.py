@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, TimestampNTZType, TimestampType
 
+from reelbase.sources.storage import written_once
+
 RANGES, DRAWN = 128, 32
 
 
@@ -52,12 +54,12 @@ def range_of(rows: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
     return F.expr(place(0, len(bounds)))  # as text, for it is a hundred comparisons: they compile, and a row meets seven of them
 
 
-def before_ranges(counts: DataFrame, group: list[str], value: str = "_n", name: str = "_before") -> DataFrame:
-    """Of ``counts``, one row for each group and range ``_p``: what the group's earlier ranges hold together. Groups of one range are left out, so there are no
+def before_ranges(counts: DataFrame, group: list[str], values: dict[str, str] | None = None) -> DataFrame:
+    """Of ``counts``, one row for each group and range ``_p``: what the group's earlier ranges hold together, of each column of ``values`` under its new name. Groups of one range are left out, so there are no
     more rows than ranges, and windows meet them only."""
     some = met(counts, counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_ranges")).where("_ranges > 1").select(*group), group, "left_semi") if group else counts
     w = Window.partitionBy(*group).orderBy("_p")
-    return some.withColumn(name, F.sum(value).over(w) - F.col(value)).select(*group, "_p", name)
+    return some.select(*group, "_p", *[(F.sum(v).over(w) - F.col(v)).alias(name) for v, name in (values or {"_n": "_before"}).items()])
 
 
 def met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", small: bool = False) -> DataFrame:
@@ -111,11 +113,12 @@ def runs_of(rows: DataFrame, group: list[str], order: list[str], value: str, nam
     return joined.select(*rows.columns, end.cast("long").alias(name))
 
 
-def selected_quantiles(rows: DataFrame, group: list[str], column: str, shares: tuple[float, ...], ranges: int = RANGES) -> DataFrame:
+def selected_quantiles(rows: DataFrame, group: list[str], column: str, shares: tuple[float, ...], ranges: int = RANGES, weight: str | None = None) -> DataFrame:
     """Linear quantiles of groups of any size, as columns q0, q1 ...: a histogram over ranges of (group, value) tells which range holds each wanted place, and only rows of
-    those ranges are sorted. Null values are skipped; a group without values has no row. No task holds a group, and none its distinct values."""
-    some = rows.where(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_v"))
-    counted = some.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))  # equal values, counted where they are read
+    those ranges are sorted. Null values are skipped; a group without values has no row. No task holds a group, and none its distinct values. ``weight``: how many times
+    a row counts, 1 unless given. Equal values are counted once, where they are read, and the counts written."""
+    some = rows.where(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
+    counted = written_once(some.groupBy(*group, "_v").agg(F.sum("_w").alias("_n")), "counted-values")
     keys = [*group, "_v"]
     dealt = counted.withColumn("_p", range_of(counted, keys, spread_bounds(counted, keys, ranges)))
     totals = dealt.groupBy(*group, "_p").agg(F.sum("_n").alias("_n"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelbase.operators.ranks import met, selected_quantiles
+
 QUANTILES = (0.01, 0.1, 0.5, 0.9, 0.99)
 
 
 def dimension_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """min, max, mean, population std, count and linear quantiles of each dimension in each group, one row per dimension. All dimensions are aggregated in one
     pass, and only the results become rows. Null values are skipped. The quantiles are exact; a group's distinct values are held by one task, so groups are
-    episodes or other bounded ones; for whole repos see :func:`exact_quantiles`."""
+    episodes or other bounded ones; for whole repos see :func:`large_stats`."""
     q = F.array(*map(F.lit, QUANTILES))
     one = lambda c: F.struct(
         F.lit(c).alias("dim"),
@@ -27,17 +29,19 @@ def dimension_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataF
     return rows.select(*keys, "x.dim", "x.min", "x.max", "x.mean", "x.std", "x.count", *quantiles)
 
 
+def large_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """As :func:`dimension_stats` for groups of any size: moments in one pass, and quantiles by ranges of (group, dimension, value), of which equal ones are counted where they are
+    read. No task holds a group's values."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*keys, "x.dim", "x.v")
+    by = [*keys, "dim"]
+    moments = long.groupBy(*by).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("v").alias("count"))
+    q = selected_quantiles(long, by, "v", QUANTILES).withColumnsRenamed({f"q{i}": f"q{int(p * 100):02d}" for i, p in enumerate(QUANTILES)})
+    return met(moments, q, by, "left")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], column: str, shares: tuple[float, ...]) -> DataFrame:
-    """Linear quantiles of large groups, as columns q0, q1 ...: equal values are counted map-side, and a running sum over the sorted distinct values of a group
-    finds the two neighbours of each quantile. Nothing is held in memory. Null values are skipped."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*keys)
-    placed = counted.withColumn("_upto", F.sum("_n").over(whole.orderBy("_v"))).withColumn("_all", F.sum("_n").over(whole))
-    at = [F.lit(p) * (F.col("_all") - 1) for p in shares]
-    ends = [F.struct(*[F.min(F.when(F.col("_upto") > f(x), F.col("_v"))).alias(k) for k, f in (("lo", F.floor), ("hi", F.ceil))]).alias(f"_e{i}") for i, x in enumerate(at)]
-    found = placed.groupBy(*keys).agg(F.first("_all").alias("_all"), *ends)
-    between = [(F.col(f"_e{i}.lo") + (F.col(f"_e{i}.hi") - F.col(f"_e{i}.lo")) * (x - F.floor(x))).alias(f"q{i}") for i, x in enumerate(at)]
-    return found.select(*keys, *between)
+    """Linear quantiles of groups of any size, as columns q0, q1 ..., see :func:`reelbase.operators.ranks.selected_quantiles`."""
+    return selected_quantiles(df, keys, column, shares)
 
 
 def merged_stats(stats: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelbase.operators.ranks import before_ranges, met, range_of, spread_bounds
+from reelbase.sources.storage import written_once
+
 EPISODE = ("repo_no", "episode_index")
 
 
@@ -122,51 +125,25 @@ def action_chunks(df: DataFrame, column: str, size: int, keys=EPISODE) -> DataFr
     return df.withColumn("_a", ahead).withColumn("n_valid", F.size("_a")).withColumn("chunk", F.concat("_a", F.array_repeat(F.element_at("_a", -1), F.lit(size) - F.col("n_valid")))).drop("_a")
 
 
-def range_number(rows: DataFrame, keys: list[str], ranges: int = 64) -> Column:
-    """Which of at most ``ranges`` + 1 ranges of the keys a row falls in, rising with the keys. The bounds are rows drawn by hash, and a row finds its range by
-    halving, in expressions that compile."""
-    kinds = {k: rows.schema[k].dataType for k in keys}
-    bounds = sorted({tuple(r) for r in rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(ranges).collect()})
-
-    def before(bound: tuple) -> Column:
-        out = F.lit(False)
-        for k, v in reversed(list(zip(keys, bound, strict=True))):
-            value = F.lit(v).cast(kinds[k])
-            out = (F.col(k) < value) | ((F.col(k) == value) & out)
-        return out
-
-    def place(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(before(bounds[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    return place(0, len(bounds))
-
-
 def renumbered(df: DataFrame, episode_keys: list[str], order: str, within: list[str] | None = None, fps: int = 30) -> tuple[DataFrame, DataFrame]:
     """(frames with new episode_no, frame_no, index, timestamp; episodes with episode_no, length, from_index, to_index, from_time, to_time), numbered in the
     order of the keys, the first key first, whatever their types; with ``within`` each group of those keys starts at 0.
 
-    The running index is two-level: episodes are dealt by ranges of their keys, numbered inside a range, and a prefix sum over the few ranges gives what
-    comes before. No task sees all episodes. Keys are not null."""
+    Lengths are counted once and written. The running index is two-level: episodes are dealt by ranges of their keys, numbered inside a range, and a prefix sum over the ranges
+    of a group gives what comes before. No task sees all episodes, nor all of a group. Keys are not null."""
     within = within or []
-    lengths = df.groupBy(*episode_keys).agg(F.count(F.lit(1)).alias("length"))
-    if within:  # each group is numbered by itself; its episodes, not its frames, come together
-        numbered, part = lengths.withColumns({"_f0": F.lit(0), "_e0": F.lit(0)}), within
-    else:
-        dealt = lengths.withColumn("_p", range_number(lengths, episode_keys))
-        before = "OVER (ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        totals = dealt.groupBy("_p").agg(F.sum("length").alias("_f"), F.count(F.lit(1)).alias("_e"))
-        # one row per range
-        totals = totals.selectExpr("_p", f"coalesce(sum(_f) {before}, 0) AS _f0", f"coalesce(sum(_e) {before}, 0) AS _e0")
-        numbered, part = dealt.join(F.broadcast(totals), "_p"), ["_p"]
-    w = Window.partitionBy(*part).orderBy(*episode_keys)
+    lengths = written_once(df.groupBy(*episode_keys).agg(F.count(F.lit(1)).alias("length")), "lengths")
+    keys = [*within, *[k for k in episode_keys if k not in within]]
+    dealt = lengths.withColumn("_p", range_of(lengths, keys, spread_bounds(lengths, keys)))
+    totals = dealt.groupBy(*within, "_p").agg(F.sum("length").alias("_f"), F.count(F.lit(1)).alias("_e"))
+    numbered = met(dealt, before_ranges(totals, within, {"_f": "_f0", "_e": "_e0"}), [*within, "_p"], "left", small=True)
+    w = Window.partitionBy(*within, "_p").orderBy(*episode_keys)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     episodes = numbered.select(
         *episode_keys,
         "length",
-        (F.col("_e0") + F.row_number().over(w) - 1).alias("episode_no"),
-        (F.col("_f0") + F.sum("length").over(w) - F.col("length")).alias("from_index"),
+        (zero("_e0") + F.row_number().over(w) - 1).alias("episode_no"),
+        (zero("_f0") + F.sum("length").over(w) - F.col("length")).alias("from_index"),
     )
     episodes = episodes.withColumn("to_index", F.col("from_index") + F.col("length"))
     episodes = episodes.withColumns({"from_time": F.col("from_index") / fps, "to_time": F.col("to_index") / fps})

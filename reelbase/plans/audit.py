@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelbase.operators.stats import exact_quantiles
 from reelbase.operators.timeseries import ordered, signed_peak, with_length
+from reelbase.sources.storage import written_once
 
 POSITIONS = ("left", "middle", "right")
 
@@ -35,7 +36,7 @@ def boundaries(centroids: DataFrame, least_gap: float = 5.0) -> DataFrame:
 
 def placement_share(frames: DataFrame, pass_at: float = 0.8) -> DataFrame:
     """Per dataset: episodes, those whose peak is nearest the centroid of their own position (ties: left, right, middle), share and verdict."""
-    p = peaks(frames)
+    p = written_once(peaks(frames), "peaks")  # a row per episode
     c = calibration(p).select(F.col("position").alias("near"), "centroid")
     tie = F.when(F.col("near") == "left", 0).when(F.col("near") == "right", 1).otherwise(2)
     judged = p.crossJoin(F.broadcast(c)).groupBy("repo_no", "episode_index", "position").agg(F.min_by("near", F.struct(F.abs(F.col("peak") - F.col("centroid")), tie)).alias("nearest"))  # three centroids

@@ -10,6 +10,7 @@ from reelbase.operators import timeseries as T
 from reelbase.plans import audit
 from reelbase.queries.base import EP, LEN, query, r6
 from reelbase.sources.adapters import FPS, JOINTS, frames_of, read, repo_names
+from reelbase.sources.storage import written_once
 from reelbase.streaming import guards
 
 @query("ts_01_edge_windows", f"""WITH {LEN} SELECT f.repo_no, f.episode_index, round(avg(pan) FILTER (WHERE frame_index < 10), 6) AS start_mean,
@@ -113,13 +114,13 @@ def agg_01(s, d):
  SELECT repo_no, min(g) AS min, max(g) AS max, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS std, count(*) AS count, round(quantile_cont(g, 0.5), 6) AS q50 FROM k GROUP BY 1""")
 def agg_02(s, d):
     kept = T.truncated(frames_of(s, d), "last", 5, 40).withColumn("gripper", T.repaired_gripper(F.col("gripper")))
-    return r6(stats.dimension_stats(kept, ["repo_no"], ["gripper"]), "mean", "std", "q50").select("repo_no", "min", "max", "mean", "std", "count", "q50")
+    return r6(stats.large_stats(written_once(kept.select("repo_no", "gripper"), "repaired"), ["repo_no"], ["gripper"]), "mean", "std", "q50").select("repo_no", "min", "max", "mean", "std", "count", "q50")
 
 
 @query("agg_03_merged_stats", """WITH p AS (SELECT repo_no, min(pan) AS lo, max(pan) AS hi, avg(pan) AS m, stddev_pop(pan) AS sd, count(*) AS n, quantile_cont(pan, 0.5) AS q50 FROM frames GROUP BY 1)
  SELECT 'pan' AS dim, min(lo) AS min, max(hi) AS max, round(sum(m * n) / sum(n), 6) AS mean, round(sqrt(greatest(sum((sd * sd + m * m) * n) / sum(n) - (sum(m * n) / sum(n)) ** 2, 0)), 6) AS std, CAST(sum(n) AS BIGINT) AS count, round(sum(q50 * n) / sum(n), 6) AS q50_wavg FROM p""")
 def agg_03(s, d):
-    parts = stats.dimension_stats(frames_of(s, d), ["repo_no"], ["pan"])
+    parts = stats.large_stats(written_once(frames_of(s, d).select("repo_no", "pan"), "frames"), ["repo_no"], ["pan"])
     return r6(stats.merged_stats(parts, ["dim"]), "mean", "std", "q50_wavg").select("dim", "min", "max", "mean", "std", "count", "q50_wavg")
 
 
@@ -222,7 +223,7 @@ def smp_09(s, d):
 @query("mth_05_normalise", "SELECT p_partkey, round(CASE WHEN q.b > q.a THEN greatest(-1, least(1, 2 * (p_retailprice - q.a) / (q.b - q.a) - 1)) ELSE 0 END, 6) AS y FROM part, (SELECT quantile_cont(p_retailprice, 0.01) AS a, quantile_cont(p_retailprice, 0.99) AS b FROM part) q")
 def mth_05(s, d):
     p = read(s, d, "part")
-    q = p.agg(F.percentile("p_retailprice", F.lit(0.01)).alias("a"), F.percentile("p_retailprice", F.lit(0.99)).alias("b"))
+    q = stats.exact_quantiles(p, [], "p_retailprice", (0.01, 0.99)).withColumnsRenamed({"q0": "a", "q1": "b"})
     return p.crossJoin(F.broadcast(q)).select("p_partkey", F.round(N.normalised(F.col("p_retailprice"), F.col("a"), F.col("b")), 6).alias("y"))  # one row
 
 

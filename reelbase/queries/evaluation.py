@@ -8,9 +8,11 @@ from reelbase.functions import names as N
 from reelbase.functions import text as X
 from reelbase.operators import augment as A
 from reelbase.operators import timeseries as T
+from reelbase.operators.ranks import met, selected_quantiles
 from reelbase.plans import scoring as S
 from reelbase.queries.base import LEN, query, r6
 from reelbase.sources.adapters import frames_of, read
+from reelbase.sources.storage import written_once
 
 HASH = "CAST(('0x' || substr(md5({t}), 7, 2) || substr(md5({t}), 5, 2) || substr(md5({t}), 3, 2) || substr(md5({t}), 1, 2)) AS BIGINT)"
 PRED = f"""p0 AS (SELECT f.*, repo_no % 3 AS position, repo_no // 3 AS identity, c.checkpoint, q.prompt, {HASH.format(t="c.checkpoint || ':' || q.prompt || ':' || event_id")} AS h
@@ -132,7 +134,13 @@ TRIALS = f"{NEAR}, t AS (SELECT identity, position, checkpoint, correct, event_i
 @query("agg_22_success_matrix", f"WITH {TRIALS} SELECT identity, position, count(*) FILTER (WHERE correct) AS hits, count(*) AS trials, quantile_cont(score, 0.5) AS median_score FROM t GROUP BY CUBE (identity, position)")
 def agg_22(s, d):
     t = S.nearest_prompt(preds(s, d)).withColumn("score", F.col("event_id") % 10)
-    return t.cube("identity", "position").agg(F.count_if("correct").alias("hits"), F.count(F.lit(1)).alias("trials"), F.percentile("score", F.lit(0.5)).alias("median_score"))
+    # each trial counts in the four sets of the cube; the groups may be large, so their medians are selected over ranges
+    sets = F.array(*[F.struct(F.when(F.lit(a), F.col("identity")).alias("identity"), F.when(F.lit(b), F.col("position")).alias("position")) for a in (True, False) for b in (True, False)])
+    long = t.select("correct", "score", F.explode(sets).alias("g")).select("g.identity", "g.position", "correct", "score")
+    long = written_once(long.groupBy("identity", "position", "score").agg(F.count_if("correct").alias("hits"), F.count(F.lit(1)).alias("trials")), "cube")
+    n = long.groupBy("identity", "position").agg(F.sum("hits").alias("hits"), F.sum("trials").alias("trials"))
+    median = selected_quantiles(long, ["identity", "position"], "score", (0.5,), weight="trials")
+    return met(n, median, ["identity", "position"]).select("identity", "position", "hits", "trials", F.col("q0").alias("median_score"))
 
 
 @query("ev_13_scoreboard", f"WITH {TRIALS} SELECT checkpoint, identity, round(avg(CAST(correct AS INT)), 6) AS rate FROM t GROUP BY 1, 2 HAVING count(*) FILTER (WHERE correct) >= 2 AND max(score) < 10")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from reelbase.operators import gathers as G
 from reelbase.operators import timeseries as T
+from reelbase.operators.ranks import ranked
 from reelbase.queries.base import EP, IDENTITY, LEN, SLOT, query, r6
 from reelbase.sources import datasets as D
 from reelbase.sources.adapters import frames_of, read, repo_names
+from reelbase.sources.storage import written_once
 
 W = "(PARTITION BY repo_no, episode_index ORDER BY frame_index)"
 INDEX = f"""{LEN}, e AS (SELECT repo_no, episode_index, n, CAST(sum(n) OVER (PARTITION BY repo_no ORDER BY episode_index) - n AS BIGINT) AS f0 FROM length_)"""
@@ -49,8 +51,10 @@ def jn_04(s, d):
     e = lengths(s, d).withColumn("slot", F.col("repo_no") % 3)
     a = e.where("repo_no < 3").selectExpr("slot", "episode_index AS a_ep", "n AS a_n")
     p = e.where("repo_no BETWEEN 3 AND 5").selectExpr("slot", "episode_index AS p_ep", "n AS p_n")
-    # the pairs of approaches and placements of a slot are the plan itself; p_ep runs fastest
-    return a.join(p, "slot").selectExpr("slot", "a_ep", "p_ep", "row_number() OVER (PARTITION BY slot ORDER BY a_ep, p_ep) - 1 AS pair", "a_n + p_n AS length")
+    # the pairs of approaches and placements of a slot are the plan itself; p_ep runs fastest, so a pair's number follows from the places of its two
+    a, p = ranked(written_once(a, "approaches"), ["slot"], ["a_ep"], "a_at"), ranked(written_once(p, "placements"), ["slot"], ["p_ep"], "p_at")
+    sizes = p.groupBy("slot").agg(F.count(F.lit(1)).alias("of"))
+    return G.pairs(a.join(sizes, "slot"), p, ["slot"]).selectExpr("slot", "a_ep", "p_ep", "a_at * of + p_at AS pair", "a_n + p_n AS length")
 
 
 @query("jn_05_grid", f"""WITH o AS (SELECT DISTINCT {IDENTITY} AS identity, {SLOT} AS position FROM frames WHERE repo_no <> 4),
@@ -129,11 +133,12 @@ def jn_15(s, d):
 @query("jn_16_round_robin", f"""WITH {LEN}, e AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS i, count(*) OVER () AS n FROM length_ WHERE repo_no = 1),
  c AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) SELECT p_partkey, episode_index FROM c JOIN e ON c.i % e.n = e.i""")
 def jn_16(s, d):
-    # configs are numbered by their own key, so shards agree; the episodes of one repo are a short table
-    sources = lengths(s, d).where("repo_no = 1").selectExpr("episode_index", "row_number() OVER (ORDER BY episode_index) - 1 AS slot", "count(*) OVER () AS n")
-    configs = T.renumbered(read(s, d, "part").select("p_partkey"), ["p_partkey"], "p_partkey")[0].select("p_partkey", F.col("index"))
-    n = F.broadcast(sources.select("n").limit(1))
-    return configs.crossJoin(n).withColumn("slot", F.col("index") % F.col("n")).join(F.broadcast(sources.drop("n")), "slot").select("p_partkey", "episode_index")  # one row
+    # configs are numbered by their own key, so shards agree
+    sources = written_once(lengths(s, d).where("repo_no = 1").select("episode_index"), "sources")
+    slots = ranked(sources, [], ["episode_index"], "slot")
+    n = F.broadcast(sources.agg(F.count(F.lit(1)).alias("n")))  # one row
+    configs = ranked(read(s, d, "part").select("p_partkey"), [], ["p_partkey"], "index")
+    return configs.crossJoin(n).withColumn("slot", F.col("index") % F.col("n")).join(slots, "slot").select("p_partkey", "episode_index")
 
 
 @query("jn_17_copy_check", "SELECT count(*) AS compared, count(*) FILTER (WHERE event_id % 7 = 0 AND event_id % 2 = 0) AS differing FROM events WHERE event_id % 7 = 0")
@@ -156,10 +161,12 @@ def jn_18(s, d):
 
 @query("jn_19_attached", f"WITH {LEN} SELECT repo_no, episode_index, n, n % 2 = 0 AS pass, row_number() OVER (PARTITION BY repo_no ORDER BY n % 2, episode_index) AS place FROM length_")
 def jn_19(s, d):
-    e = lengths(s, d)
-    stored = e.groupBy("repo_no").agg(F.collect_list(F.struct("episode_index", (F.col("n") % 2 == 0).alias("pass"))).alias("per_episode"))
-    rows = stored.select("repo_no", F.explode("per_episode").alias("r")).select("repo_no", "r.episode_index", "r.pass")
-    return e.join(rows, EP, "left").selectExpr("repo_no", "episode_index", "n", "pass", "row_number() OVER (PARTITION BY repo_no ORDER BY pass DESC, episode_index) AS place")
+    # the stored report has a record for each episode; the recomputed lengths meet it by episode
+    e, root = written_once(lengths(s, d), "lengths"), D.fresh_folder(s, "stored")
+    e.selectExpr(*EP, "n % 2 = 0 AS pass").write.json(root)
+    stored = s.read.schema("repo_no long, episode_index long, pass boolean").json(root)
+    both = e.join(stored, EP, "left").withColumn("failed", ~F.col("pass"))
+    return ranked(written_once(both, "attached"), ["repo_no"], ["failed", "episode_index"], "place").selectExpr(*EP, "n", "pass", "place + 1 AS place")
 
 
 @query("ts_08_overrides", f"SELECT event_id, greatest(gripper, 55) AS gripper FROM frames WHERE gripper >= 20 AND gripper < 55 - 1e-6")
@@ -202,7 +209,7 @@ def ts_17(s, d):
     f = frames_of(s, d).withColumn("slot", F.col("repo_no") % 3)
     last = f.where("repo_no < 3").groupBy("slot", "episode_index").agg(F.array(F.max_by("pan", "frame_index")).alias("x")).withColumnRenamed("episode_index", "a_ep")
     first = f.where("repo_no BETWEEN 3 AND 5").groupBy("slot", "episode_index").agg(F.array(F.min_by("pan", "frame_index")).alias("y")).withColumnRenamed("episode_index", "b_ep")
-    return G.bridge(last.join(first, "slot"), 5).select("slot", "a_ep", "b_ep", F.col("step").cast("long").alias("step"), F.round(F.element_at("vector", 1), 6).alias("pan"))
+    return G.bridge(G.pairs(last, first, ["slot"]), 5).select("slot", "a_ep", "b_ep", F.col("step").cast("long").alias("step"), F.round(F.element_at("vector", 1), 6).alias("pan"))
 
 
 @query("ts_19_seams", f"""WITH {ENDS} SELECT a.repo_no % 3 AS slot, a.episode_index AS a_ep, p.episode_index AS b_ep, round(sqrt((a.p1 - p.p0) ** 2 + (a.l1 - p.l0) ** 2), 6) AS distance
@@ -281,10 +288,14 @@ def smp_03(s, d):
     return G.even_positions(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber"], 50).select("l_returnflag", "l_orderkey", "l_linenumber")
 
 
-@query("smp_04_final_phase", f"""WITH {LEN}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_no ORDER BY episode_index) AS k FROM length_) SELECT repo_no, episode_index, CAST(floor(0.95 * (n - 1)) AS BIGINT) AS frame_index FROM r WHERE k <= 3""")
+@query("smp_04_final_phase", f"""WITH {LEN}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_no ORDER BY episode_index) AS k FROM length_)
+ SELECT 'final' AS pick, repo_no, episode_index, CAST(floor(0.95 * (n - 1)) AS BIGINT) AS frame_index FROM r WHERE k <= 3
+ UNION ALL SELECT 'sequence', repo_no, episode_index, CAST(i AS BIGINT) FROM r, range(0, 1000) x(i) WHERE k = 1 AND i >= floor(0.25 * n) AND i < least(n, floor(0.25 * n) + 12)""")
 def smp_04(s, d):
-    e = lengths(s, d).withColumn("k", F.expr("row_number() OVER (PARTITION BY repo_no ORDER BY episode_index)"))
-    return e.where("k <= 3").select(*EP, F.floor(0.95 * (F.col("n") - 1)).cast("long").alias("frame_index"))
+    """Per repo: the frame at 95 % of its first three episodes, and twelve frames in a row from a quarter of the first one."""
+    e = lengths(s, d).withColumn("k", F.expr("row_number() OVER (PARTITION BY repo_no ORDER BY episode_index)")).where("k <= 3")
+    final = e.select(F.lit("final").alias("pick"), *EP, F.floor(0.95 * (F.col("n") - 1)).cast("long").alias("frame_index"))
+    return final.unionByName(G.window_from(e.where("k = 1"), 12).select(F.lit("sequence").alias("pick"), *EP, F.col("frame_index").cast("long").alias("frame_index")))
 
 
 @query("smp_05_strides", f"WITH {LEN} SELECT DISTINCT repo_no, episode_index, CAST(floor(i * (n - 1) / 7) AS BIGINT) AS frame_index FROM length_, range(0, 8) r(i) WHERE episode_index % 4 = 0")
@@ -295,7 +306,7 @@ def smp_05(s, d):
 @query("smp_08_balanced", "SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('5:pos:' || c_custkey), c_custkey) - 1) % 3 AS INT) AS position FROM customer")
 def smp_08(s, d):
     c = read(s, d, "customer").withColumn("o", F.md5(F.concat(F.lit("5:pos:"), F.col("c_custkey").cast("string"))))
-    return c.selectExpr("c_custkey", "cast((row_number() OVER (PARTITION BY c_nationkey ORDER BY o, c_custkey) - 1) % 3 as int) AS position")
+    return ranked(c, ["c_nationkey"], ["o", "c_custkey"]).selectExpr("c_custkey", "cast(rank % 3 as int) AS position")
 
 
 @query("smp_10_prompts", f"""WITH p AS (SELECT n.n_nationkey AS own, o.n_nationkey AS other, row_number() OVER (PARTITION BY n.n_nationkey ORDER BY md5('3:' || n.n_nationkey || ':' || o.n_nationkey), o.n_nationkey) AS r FROM nation n JOIN nation o ON n.n_regionkey = o.n_regionkey AND n.n_nationkey <> o.n_nationkey)

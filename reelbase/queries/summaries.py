@@ -18,7 +18,7 @@ from reelbase.streaming import guards
 def agg_04(s, d):
     r = frames_of(s, d).where("repo_no IN (0, 1, 7)").withColumn("source", F.when(F.col("repo_no") <= 1, "old").otherwise("new"))
     padded = r.withColumn("pad", F.lit(0.0))
-    long = stats.dimension_stats(padded, ["source"], ["pan", "lift", "pad"])
+    long = stats.large_stats(padded, ["source"], ["pan", "lift", "pad"])
     dim = F.when(F.col("dim") == "pan", 0).when(F.col("dim") == "lift", 1).otherwise(6)
     return r6(long.select("source", dim.alias("dim"), (dim < 6).alias("used"), "count", "mean", "std"), "mean", "std")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelbase.functions import names as N
 from reelbase.functions import text as X
+from reelbase.operators import stats
 from reelbase.queries.base import IDENTITY, LEN, REPO, SLOT, query, r6
 from reelbase.queries.gathers import named
 from reelbase.sources.adapters import frames_of, read
@@ -276,7 +277,10 @@ def flt_06(s, d):
 def agg_08(s, d):
     e, h, w = F.greatest("w", "h"), F.col("h"), F.col("w")
     counts = [F.count_if(h > w).alias("portrait"), F.count_if(h < w).alias("landscape"), F.count_if(h == w).alias("square")]
-    return photos(s, d).groupBy("p_brand").agg(*counts, F.round(F.avg(F.when(h > w, 1.0).otherwise(0.0)), 3).alias("portrait_frac"), F.min(e).alias("edge_min"), F.floor(F.percentile(e, F.lit(0.5))).cast("long").alias("edge_median"), F.max(e).alias("edge_max"))
+    p = photos(s, d)
+    g = p.groupBy("p_brand").agg(*counts, F.round(F.avg(F.when(h > w, 1.0).otherwise(0.0)), 3).alias("portrait_frac"), F.min(e).alias("edge_min"), F.max(e).alias("edge_max"))
+    median = stats.exact_quantiles(p.withColumn("edge", e), ["p_brand"], "edge", (0.5,))
+    return g.join(median, "p_brand").select(*g.columns, F.floor("q0").cast("long").alias("edge_median"))
 
 
 @query("agg_09_pool_totals", "SELECT p_type, count(DISTINCT p_brand) AS identities, count(*) AS images, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY GROUPING SETS ((p_type), ())")

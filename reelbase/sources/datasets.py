@@ -9,16 +9,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelbase.operators.stats import dimension_stats
+from reelbase.operators.stats import dimension_stats, large_stats
 from reelbase.operators.timeseries import renumbered
 from reelbase.sources.adapters import FPS, JOINTS, repo_names
 from reelbase.sources.files import listing
+from reelbase.sources.storage import fresh_folder
+
+__all__ = ["fresh_folder"]
 
 FRAME_TYPES = {
     "action": "array<float>",
@@ -34,16 +34,6 @@ STATS = "repo_id string, stats map<string,map<string,array<double>>>"
 STATISTICS = ("min", "max", "mean", "std", "count", "q01", "q10", "q50", "q90", "q99")
 
 
-def fresh_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a local session without that setting takes a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
 def as_dataset(frames: DataFrame, task: str = "concat('place the cube for ', split_part(repo_id, '_', 4), ' on the ', split_part(repo_id, '_', 5))") -> DataFrame:
     """The frames view in the shape of a dataset: repo_id, vectors, running index per repo, task."""
     named = repo_names(frames).withColumn("task", F.expr(task))
@@ -93,7 +83,7 @@ def write_meta(data: DataFrame, root: str, mode: str = "errorifexists", robot: s
         "repo_id", f"'{version}' AS codebase_version", f"{FPS} AS fps", f"'{robot}' AS robot_type", "total_episodes", "total_frames", "total_tasks", "map('train', concat('0:', total_episodes)) AS splits"
     )
     info.write.mode(mode).json(f"{root}/meta/info")
-    stats = nested(dimension_stats(with_joints(data), ["repo_id"], list(JOINTS)), ["repo_id"])
+    stats = nested(large_stats(with_joints(data), ["repo_id"], list(JOINTS)), ["repo_id"])
     stats.select("repo_id", F.create_map(F.lit("action"), "stats").alias("stats")).write.mode(mode).json(f"{root}/meta/stats")
 
 
