@@ -7,21 +7,27 @@ same rows give the same ranges however they are dealt. Only groups that a bound
 from __future__ import annotations
 
 import math
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DataType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BinaryType, DataType, DoubleType, IntegerType, LongType, StringType, TimestampNTZType, TimestampType
 
 from reelbase.sources.storage import written_once
 
 RANGES, DRAWN = 128, 32
+SMALL = 4096  # rows that one task may sort without more ado
+FEW = 500_000  # distinct values, counted before, of which the same holds
 
 
 def spread_bounds(rows: DataFrame, keys: list[str], ranges: int = RANGES) -> list[tuple]:
-    """At most ``ranges`` - 1 key tuples that cut the rows into ranges of about equal size. At most 32 tuples a range come to the driver."""
+    """At most ``ranges`` - 1 key tuples that cut the rows into ranges of about equal size; of a small table, all of whose rows are drawn, so few that a range has ``SMALL``
+    rows. At most 32 tuples a range come to the driver."""
     sample = rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(ranges * DRAWN)
     drawn = [tuple(r) for r in sample.orderBy(*keys).collect()]
+    if len(drawn) < ranges * DRAWN:
+        ranges = min(ranges, -(-len(drawn) // SMALL))
     picked = [drawn[len(drawn) * k // ranges] for k in range(1, ranges)] if drawn else []
     return list(dict.fromkeys(picked))
 
@@ -31,6 +37,12 @@ def literal(value, kind: DataType) -> str:
     name = kind.simpleString()
     if value is None:
         return f"CAST(NULL AS {name})"
+    if isinstance(kind, (LongType, IntegerType)):
+        return f"{value}L" if isinstance(kind, LongType) and value > -(1 << 63) else f"CAST('{value}' AS {name})" if value == -(1 << 31) or isinstance(kind, LongType) else str(value)
+    if isinstance(kind, DoubleType) and math.isfinite(value):
+        return f"{value!r}D"
+    if isinstance(kind, StringType) and name == "string" and re.fullmatch(r"[\w .:/#-]*", value, re.ASCII):
+        return f"'{value}'"
     if isinstance(kind, BinaryType):
         return f"X'{bytes(value).hex()}'"
     if isinstance(kind, (TimestampType, TimestampNTZType)):
@@ -76,7 +88,10 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str = "ran
     """Adds ``name``, the place of a row in its group, from 0: row_number() - 1 over (partition by group order by order), without a task that sees a group whole. ``group`` may be
     empty. Nulls come first; rows of one group with equal order keys get places in no fixed order, and only those cannot be split. ``rows`` is read three times: write it first if it is dear."""
     keys = [*group, *order]
-    dealt = rows.withColumn("_p", range_of(rows, keys, spread_bounds(rows, keys, ranges)))
+    bounds = spread_bounds(rows, keys, ranges)
+    if not bounds:
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
+    dealt = rows.withColumn("_p", range_of(rows, keys, bounds))
     counts = dealt.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
     inside = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*order)) - 1)
     place = (F.col("_r") + F.coalesce(F.col("_before"), F.lit(0))).cast("long").alias(name)
@@ -113,24 +128,26 @@ def runs_of(rows: DataFrame, group: list[str], order: list[str], value: str, nam
     return joined.select(*rows.columns, end.cast("long").alias(name))
 
 
-def selected_quantiles(rows: DataFrame, group: list[str], column: str, shares: tuple[float, ...], ranges: int = RANGES, weight: str | None = None) -> DataFrame:
+def selected_quantiles(rows: DataFrame, group: list[str], column: str, shares: tuple[float, ...], ranges: int = RANGES // 2, weight: str | None = None) -> DataFrame:
     """Linear quantiles of groups of any size, as columns q0, q1 ...: a histogram over ranges of (group, value) tells which range holds each wanted place, and only rows of
     those ranges are sorted. Null values are skipped; a group without values has no row. No task holds a group, and none its distinct values. ``weight``: how many times
     a row counts, 1 unless given. Equal values are counted once, where they are read, and the counts written."""
     some = rows.where(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
     counted = written_once(some.groupBy(*group, "_v").agg(F.sum("_w").alias("_n")), "counted-values")
     keys = [*group, "_v"]
-    dealt = counted.withColumn("_p", range_of(counted, keys, spread_bounds(counted, keys, ranges)))
-    totals = dealt.groupBy(*group, "_p").agg(F.sum("_n").alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_p")  # groups times the ranges that each has
-    span = totals.withColumns({"_upto": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy(*group))}).withColumn("_from", F.col("_upto") - F.col("_n"))
-    wanted = sorted({(i, end) for i in range(len(shares)) for end in ("lo", "hi")})
-    at = {(i, end): (F.floor if end == "lo" else F.ceil)(F.lit(shares[i]) * (F.col("_all") - 1)) for i, end in wanted}
-    holds = F.lit(False)
-    for x in at.values():
-        holds = holds | ((x >= F.col("_from")) & (x < F.col("_upto")))
-    chosen = span.where(holds).select(*group, "_p", "_from", "_all")
-    near = met(dealt, chosen, [*group, "_p"])
+    few = counted.count() <= FEW
+    dealt = counted.withColumn("_p", F.lit(0) if few else range_of(counted, keys, spread_bounds(counted, keys, ranges)))
+    at = {(i, end): (F.floor if end == "lo" else F.ceil)(F.lit(p) * (F.col("_all") - 1)) for i, p in enumerate(shares) for end in ("lo", "hi")}
+    if few:  # a group's values are no more than one task may sort
+        near = dealt.withColumns({"_from": F.lit(0), "_all": F.sum("_n").over(Window.partitionBy(*group))})
+    else:
+        totals = dealt.groupBy(*group, "_p").agg(F.sum("_n").alias("_n"))
+        w = Window.partitionBy(*group).orderBy("_p")  # groups times the ranges that each has
+        span = totals.withColumns({"_upto": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy(*group))}).withColumn("_from", F.col("_upto") - F.col("_n"))
+        holds = F.lit(False)
+        for x in at.values():
+            holds = holds | ((x >= F.col("_from")) & (x < F.col("_upto")))
+        near = met(dealt, span.where(holds).select(*group, "_p", "_from", "_all"), [*group, "_p"])
     upto = F.col("_from") + F.sum("_n").over(Window.partitionBy(*group, "_p").orderBy("_v"))
     placed = near.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
     found = placed.groupBy(*group).agg(F.first("_all").alias("_all"), *[F.max(F.when((x >= F.col("_from")) & (x < F.col("_upto")), F.col("_v"))).alias(f"_{end}{i}") for (i, end), x in at.items()])

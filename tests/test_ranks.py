@@ -35,7 +35,9 @@ def test_ranges_do_not_depend_on_the_layout(skewed):
     assert ranks.spread_bounds(skewed, ["g", "k"]) == ranks.spread_bounds(skewed.repartition(9, "x"), ["g", "k"])
 
 
-def test_quantiles_equal_numpy(skewed):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_quantiles_equal_numpy(skewed, few, monkeypatch):
+    monkeypatch.setattr(ranks, "FEW", few)
     shares = (0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0)
     rows = skewed.withColumn("x", F.when(F.col("id") % 11 != 0, F.col("x")))
     got = {r.g: r for r in ranks.selected_quantiles(rows, ["g"], "x", shares).collect()}
@@ -59,7 +61,8 @@ def test_small_and_empty(spark):
 
 
 @pytest.mark.parametrize("ranges", [2, 7, 128])
-def test_runs_over_ranges(spark, ranges):
+def test_runs_over_ranges(spark, ranges, monkeypatch):
+    monkeypatch.setattr(ranks, "SMALL", 1)
     rng = np.random.default_rng(ranges)
     rows = []
     for g, sizes in (("hot", [900, 1, 1, 300, 50, 2, 700]), ("a", [3, 3]), ("b", [1]), (None, [40, 1, 40])):
@@ -81,7 +84,8 @@ def test_runs_over_ranges(spark, ranges):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
-def test_keys_of_many_types(spark):
+def test_keys_of_many_types(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SMALL", 1)
     kinds = ["cast(null as int)", "id", "cast(id as string)", "concat('o''x\\\\', id)", "id / 7", "cast(id / 7 as decimal(12,4))", "timestamp_micros(id * 777777777)", "cast(timestamp_micros(id * 777777777) as timestamp_ntz)", "date_add(date'2020-01-01', cast(id as int))", "cast(cast(id as string) as binary)", "id % 2 = 0", "cast(id as float) / 3", "if(id % 3 = 0, double('NaN'), id / 3)", "if(id % 5 = 0, null, id)"]
     for kind in kinds:
         df = spark.range(300).selectExpr(f"{kind} AS k", "id")
