@@ -314,17 +314,20 @@ def planted_texts(carriers: list[str], rows: int, seed: int) -> list[tuple[str,
 
 
 def sampled(docs: DataFrame, text: str, id_col: str, rows: int, most_bytes: int) -> DataFrame:
-    """At most ``rows`` documents of at most ``most_bytes`` bytes, those whose id's hash is below a bound that fits their number: no sort, and only they go on."""
+    """At most ``rows`` documents of at most ``most_bytes`` bytes, the first by a hash of id and text among those below a bound that fits their number, so that few go on to be sorted. The
+    same rows give the same sample, in the same order, however they are dealt."""
     short = docs.where(F.octet_length(text) <= most_bytes)
     share = 0.9 * rows / max(short.count(), 1)
-    return short.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30))).select(id_col, text).limit(rows)
+    drawn = F.xxhash64(id_col, text)
+    return short.where(F.pmod(drawn, F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30))).select(id_col, text).orderBy(drawn, id_col, text).limit(rows)
 
 
 def examples(texts: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Features of at most ``most`` candidates, whether each lies on a base span, and the rows."""
+    """Features of at most ``most`` candidates, whether each lies on a base span, and the rows: the first by a hash of text and place, in that order."""
     columns = [c for c in texts.columns if c != text]
-    found = candidates(base_spans(texts, text), text).select(*columns, F.explode("cand").alias("c")).select(*columns, "c.*")
-    rows = found.select(*columns, "kind", "s", "e", "base", "part", *FEATURES).limit(most).collect()
+    found = candidates(base_spans(texts, text), text).select(*columns, F.xxhash64(*columns, text).alias("_own"), F.explode("cand").alias("c")).select(*columns, "_own", "c.*")
+    shown = [*columns, "kind", "s", "e", "base", "part", *FEATURES]
+    rows = found.orderBy(F.xxhash64("_own", "kind", "s", "e"), "_own", *shown).select(*shown).limit(most).collect()
     return np.array([[r[f] or 0.0 for f in FEATURES] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([bool(r["base"]) for r in rows]), rows
 
 
@@ -337,7 +340,7 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_ro
     some = sampled(docs, text, id_col, sample_rows, sample_bytes).select(F.col(id_col).alias("own"), F.col(text).alias("t"))
     x, y, rows = examples(some, "t", sample_candidates)
     keep = np.array([not r["part"] for r in rows], bool)
-    carriers = [r[0] for r in some.select(F.substring("t", 1, 60)).where("substring(t, 1, 60) <> ''").collect()]
+    carriers = [r["c"] for r in some.select(F.xxhash64("own", "t").alias("h"), F.substring("t", 1, 60).alias("c")).where("c <> ''").orderBy("h", "c").collect()]
     px, py = planted_examples(spark, carriers, planted_rows, seed)
     return fit(np.vstack([x[keep], px]), np.concatenate([y[keep], py]))
 
