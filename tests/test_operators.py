@@ -67,19 +67,6 @@ def test_guard_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, guards.action_guard(ticks).collect()))
 
 
-def test_watch_processes_each_checkpoint_once(spark, tmp_path):
-    from reelbase.streaming import watch
-
-    folder, metrics, state = (str(tmp_path / x) for x in ("in", "metrics", "state"))
-    judge = lambda rows: rows.select("step", (1 - F.col("loss")).alias("score"))
-    for step in (100, 200):
-        spark.createDataFrame([(step, step / 1000)], watch.CHECKPOINT).coalesce(1).write.mode("append").json(folder)
-        assert not watch.finished(spark, metrics, 200)
-        watch.watch_checkpoints(spark, folder, metrics, state, judge, final_step=500).awaitTermination(120)
-    got = sorted((r.step, round(r.score, 3)) for r in spark.read.json(metrics).collect())
-    assert got == [(100, 0.9), (200, 0.8)] and watch.finished(spark, metrics, 200)
-
-
 def test_merged_boxes_and_softmax(spark):
     from reelbase.functions import text as X
 
