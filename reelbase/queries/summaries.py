@@ -10,7 +10,7 @@ from reelbase.queries.base import EP, IDENTITY, LEN, REPO, query, r6
 from reelbase.queries.gathers import named
 from reelbase.sources import datasets as D
 from reelbase.sources.adapters import JOINTS, frames_of, read
-from reelbase.streaming import guards
+from reelbase.streaming import guards, playback
 
 
 @query("agg_04_recipe_stats", """WITH r AS (SELECT CASE WHEN repo_no IN (0, 1) THEN 'old' ELSE 'new' END AS source, * FROM frames WHERE repo_no IN (0, 1, 7)),
@@ -164,17 +164,21 @@ def st_05(s, d):
     return guards.action_guard(t)
 
 
-@query("st_06_chunk_playback", f"WITH {TICKS} SELECT a.rollout, a.step, b.v + 0.5 * (a.step % 8) AS sent FROM t a JOIN t b ON b.rollout = a.rollout AND b.step = a.step - a.step % 8")
+def answered(s, d, limit_ms=10**9):
+    t = ticks(s, d).withColumn("t_ms", (F.col("step") * 1000 / 30).cast("long"))
+    return t, playback.played(t, playback.Player(8, limit_ms))
+
+
+@query("st_06_chunk_playback", f"WITH {TICKS} SELECT a.rollout, a.step, b.v + 0.5 * (a.step % 8) AS sent, a.step % 8 = 0 AS ran FROM t a JOIN t b ON b.rollout = a.rollout AND b.step = a.step - a.step % 8")
 def st_06(s, d):
-    # a chunk of eight is predicted at its first step and played until it is exhausted
-    t = ticks(s, d)
-    chunks = t.where("step % 8 = 0").select("rollout", F.expr("step div 8").alias("chunk"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("value") + 0.5 * i)).alias("i", "sent"))
-    return t.select("rollout", "step", F.expr("step div 8").alias("chunk"), (F.col("step") % 8).cast("int").alias("i")).join(chunks, ["rollout", "chunk", "i"]).select("rollout", "step", "sent")
+    """A chunk of eight is predicted when none is left and played until it is exhausted; a rollout's state is carried over its ticks."""
+    return answered(s, d)[1].select("rollout", "step", "sent", "ran")
 
 
 @query("st_07_first_value", f"WITH {TICKS} SELECT event_id, first_value(v) OVER (PARTITION BY rollout ORDER BY step) AS latched FROM t")
 def st_07(s, d):
-    return ticks(s, d).select("event_id", F.expr("first_value(value) OVER (PARTITION BY rollout ORDER BY step)").alias("latched"))
+    t, a = answered(s, d)
+    return t.join(a, ["rollout", "step"]).select("event_id", "latched")
 
 
 @query("st_08_loop_timing", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS ticks, count(*) FILTER (WHERE value > 20) AS overruns FROM events GROUP BY 1")
@@ -189,9 +193,9 @@ def st_09(s, d):
     return log.withColumn("s", state).select("event_id", F.col("s")["pan"].alias("pan"), F.col("s")["gripper"].alias("gripper"))
 
 
-@query("st_10_duration_cut", f"WITH {TICKS} SELECT rollout, count(*) AS kept FROM t WHERE step / 30.0 < 1.5 GROUP BY 1")
+@query("st_10_duration_cut", f"WITH {TICKS} SELECT rollout, count(*) AS kept, max(step) AS last FROM t WHERE step * 1000 // 30 < 1500 GROUP BY 1")
 def st_10(s, d):
-    return ticks(s, d).where(F.col("step") / 30 < 1.5).groupBy("rollout").agg(F.count(F.lit(1)).alias("kept"))
+    return answered(s, d, 1500)[1].groupBy("rollout").agg(F.count(F.lit(1)).alias("kept"), F.max("step").alias("last"))
 
 
 @query("st_11_curriculum", "SELECT event_id, round(1 + 9 * 0.5 * (1 + cos(greatest(0, least(1, (event_id // 100) / 80.0)) * pi())), 6) AS sigma FROM events")

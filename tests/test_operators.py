@@ -7,6 +7,7 @@ from reelbase.functions import names as N
 from reelbase.operators import mix, stats
 from reelbase.operators import timeseries as T
 from reelbase.streaming import guards
+from tests.test_playback import stop_after
 
 
 def made(spark, episodes):
@@ -61,8 +62,8 @@ def test_guard_stream_equals_batch(spark, tmp_path):
     ticks = spark.createDataFrame([(r, i, float((i * 7 + r) % 23)) for r in (1, 2) for i in range(20)], "rollout long, step long, value double")
     ticks.write.parquet(str(tmp_path / "ticks"))
     stream = guards.action_guard_stream(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "ticks")))
-    q = stream.writeStream.format("memory").queryName("guarded").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stream.writeStream.format("memory").queryName("guarded").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    stop_after(q, ticks.count())
     got = sorted(map(tuple, spark.sql("SELECT * FROM guarded").collect()))
     assert got == sorted(map(tuple, guards.action_guard(ticks).collect()))
 
