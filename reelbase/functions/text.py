@@ -7,6 +7,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from reelbase.functions.names import color_factor
 from pyspark.sql.types import StringType
 
 from reelbase.functions.names import slug
@@ -161,9 +163,13 @@ def cache_key(*parameters: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parameters]), 256), 1, 16)
 
 
+def box_area(box: Column) -> Column:
+    return (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
+
+
 def merged_boxes(boxes: Column) -> Column:
-    """Boxes (x0, y0, x1, y1) in their order; one that overlaps a kept box by more than half of the smaller area is merged with it: the larger stays."""
-    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    """Boxes (x0, y0, x1, y1) in their order. A box that overlaps a kept one by more than half of the smaller area is merged with the first such: the larger of the two stays in its
+    place, the kept one of equals. Others are kept too, after it. What comes out depends on the order, and kept boxes may overlap each other."""
 
     def shared(a, b):
         w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
@@ -171,8 +177,35 @@ def merged_boxes(boxes: Column) -> Column:
         return w * h
 
     def add(kept, b):
-        meets = lambda k: shared(k, b) / F.greatest(F.least(area(k), area(b)), F.lit(1e-9)) > 0.5
-        replaced = F.transform(kept, lambda k: F.when(meets(k) & (area(b) > area(k)), b).otherwise(k))
-        return F.when(F.exists(kept, meets), F.array_distinct(replaced)).otherwise(F.concat(kept, F.array(b)))
+        meets = F.transform(kept, lambda k: F.coalesce(shared(k, b) / F.nullif(F.least(box_area(k), box_area(b)), F.lit(0.0)) > 0.5, F.lit(False)))
+        first = F.array_position(meets, True)
+        swapped = F.transform(kept, lambda k, i: F.when((i + 1 == first) & (box_area(b) > box_area(k)), b).otherwise(k))
+        return F.when(first == 0, F.concat(kept, F.array(b))).otherwise(swapped)
 
     return F.aggregate(boxes, F.expr("cast(array() as array<struct<x0: double, y0: double, x1: double, y1: double>>)"), add)
+
+
+def largest_box(boxes: Column) -> Column:
+    """The first box of the largest area; null without boxes."""
+    areas = F.transform(boxes, box_area)
+    return F.get(boxes, F.array_position(areas, F.array_max(areas)).cast("int") - 1)
+
+
+def dominance(boxes: Column) -> Column:
+    """The area of the largest box over that of all, at least 1 being taken for all."""
+    areas = F.transform(boxes, box_area)
+    return F.array_max(areas) / F.greatest(F.aggregate(areas, F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+
+
+def centred(box: Column, width: Column) -> Column:
+    """Whether the middle of a box is no further than 30 % of the picture's width from the middle of that."""
+    return F.abs((box["x0"] + box["x1"]) / 2 - width / 2.0) <= 0.30 * width
+
+
+def photo_score(boxes: Column, width: Column, height: Column, saturation: Column) -> Column:
+    """Share of the largest box (100 at most), long edge from 300 to 700 (100 at most), 10 if the picture is no wider than high, 10 if the box is centred; times the
+    colour factor."""
+    box = largest_box(boxes)
+    share = F.least(box_area(box) / (width * height), F.lit(1.0)) * 100
+    edge = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.greatest(width, height) - 300) / 400.0)) * 100
+    return (share + edge + F.when(height / width >= 1, 10).otherwise(0) + F.when(centred(box, width), 10).otherwise(0)) * color_factor(saturation)

@@ -67,9 +67,10 @@ def repaired_gripper(c: Column, open_at: float = 20.0, target: float = 55.0) ->
 
 
 def smoothed(df: DataFrame, columns: list[str], window: int, keys=EPISODE) -> DataFrame:
-    """Centered moving average of an odd window, clipped to the episode; beyond an end the end value repeats. Adds <column>_s."""
+    """Centered moving average, clipped to the episode; beyond an end the end value repeats. An even window counts as the next odd one, one below 2 changes nothing.
+    Adds <column>_s."""
     out = with_length(df, keys)
-    h = (window - 1) // 2
+    h = max(window, 1) // 2
     half = F.least(F.lit(h), F.expr("cast((n - 1) div 2 as int)"))
     w = ordered(keys)
     for c in columns:

@@ -164,28 +164,51 @@ def photos(s, d):
     return p.select("p_partkey", "p_brand", (200 + (k * 31) % 700).alias("w"), (200 + (k * 47) % 700).alias("h"), ((k * 13) % 120).alias("sat"), ((k % 40) / 40.0).alias("area"), (k % 5).alias("faces"))
 
 
-def photo_score():
-    edge = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.greatest("w", "h") - 300) / 400.0))
-    return (F.col("area") * 100 + edge * 100 + F.when(F.col("h") > F.col("w"), 10).otherwise(0) + F.when(F.col("faces") == 1, 10).otherwise(0)) * N.color_factor(F.col("sat"))
+#: Seven boxes of each photo, in an order that differs from photo to photo, and their merging, one box a step.
+CORNERS = "(p_partkey * 7 + j * 13) % 30 AS x0, (p_partkey * 3 + j * j * 5) % 20 AS y0, 10 + (p_partkey + j * 7) % 25 AS bw, 10 + (p_partkey * 2 + j * 3) % 25 AS bh"
+BOX = "{'x0': x0::DOUBLE, 'y0': y0::DOUBLE, 'x1': (x0 + bw)::DOUBLE, 'y1': (y0 + bh)::DOUBLE}"
+AREA = "(({k}).x1 - ({k}).x0) * (({k}).y1 - ({k}).y0)"
+SHARED = "greatest(0, least(k.x1, b.x1) - greatest(k.x0, b.x0)) * greatest(0, least(k.y1, b.y1) - greatest(k.y0, b.y0))"
+MERGED = f"""RECURSIVE c AS (SELECT p_partkey, i, {CORNERS} FROM (SELECT p_partkey, i, (i * 3 + p_partkey) % 7 AS j FROM part, range(0, 7) r(i))), bx AS (SELECT p_partkey, i, {BOX} AS b FROM c),
+ m AS (SELECT p_partkey, 0 AS i, CAST([] AS STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) AS kept FROM part
+ UNION ALL SELECT m.p_partkey, m.i + 1, CASE WHEN hit IS NULL THEN list_append(kept, b) WHEN {AREA.format(k="b")} > {AREA.format(k="kept[hit]")} THEN list_concat(list_append(kept[1:hit - 1], b), kept[hit + 1:]) ELSE kept END
+ FROM (SELECT m.*, b, list_position(list_transform(kept, lambda k: {SHARED} / least({AREA.format(k="k")}, {AREA.format(k="b")}) > 0.5), true) AS hit FROM m JOIN bx USING (p_partkey, i)) m),
+ g AS (SELECT p_partkey, kept, list_transform(kept, lambda k: {AREA.format(k="k")}) AS areas FROM m WHERE i = 7),
+ l AS (SELECT *, list_max(areas) AS top, kept[list_position(areas, list_max(areas))] AS box, list_sum(areas) AS total FROM g)"""
+
+
+def boxes():
+    """The same boxes in Spark."""
+    k = F.col("p_partkey")
+
+    def box(i):
+        j = (i * 3 + k) % 7
+        x0, y0 = (k * 7 + j * 13) % 30, (k * 3 + j * j * 5) % 20
+        d = lambda x: x.cast("double")
+        return F.struct(d(x0).alias("x0"), d(y0).alias("y0"), d(x0 + 10 + (k + j * 7) % 25).alias("x1"), d(y0 + 10 + (k * 2 + j * 3) % 25).alias("y1"))
 
+    return X.merged_boxes(F.array(*[box(i) for i in range(7)]))
 
-@query("mth_02_photo_score", f"SELECT p_partkey, round((area * 100 + greatest(0, least(1, (greatest(w, h) - 300) / 400.0)) * 100 + CASE WHEN h > w THEN 10 ELSE 0 END + CASE WHEN faces = 1 THEN 10 ELSE 0 END) * CASE WHEN sat <= 30 THEN 0.5 WHEN sat >= 60 THEN 1 ELSE 0.5 + 0.5 * (sat - 30) / 30.0 END, 2) AS score FROM ({PHOTO})")
+
+@query("mth_02_photo_score", f"""WITH {MERGED}, p AS ({PHOTO}) SELECT p_partkey, round((least(top / (w * h), 1) * 100 + greatest(0, least(1, (greatest(w, h) - 300) / 400.0)) * 100 + CASE WHEN h >= w THEN 10 ELSE 0 END
+ + CASE WHEN abs((box.x0 + box.x1) / 2 - w / 2.0) <= 0.3 * w THEN 10 ELSE 0 END) * CASE WHEN sat <= 30 THEN 0.5 WHEN sat >= 60 THEN 1 ELSE 0.5 + 0.5 * (sat - 30) / 30.0 END, 6) AS score
+ FROM l JOIN p USING (p_partkey)""")
 def mth_02(s, d):
-    return photos(s, d).select("p_partkey", F.round(photo_score(), 2).alias("score"))
+    p = photos(s, d).withColumn("boxes", boxes())
+    return p.select("p_partkey", F.round(X.photo_score(F.col("boxes"), F.col("w"), F.col("h"), F.col("sat")), 6).alias("score"))
 
 
-@query("mth_03_largest_box", "SELECT p_partkey, greatest(p_size, 20) AS largest, round(greatest(p_size, 20) / (p_size + 20.0), 6) AS dominance FROM part")
+@query("mth_03_largest_box", f"WITH {MERGED} SELECT p_partkey, box.x0 AS x0, box.y1 AS y1, top AS area, round(top / total, 6) AS dominance, abs((box.x0 + box.x1) / 2 - 22.0) <= 0.3 * 44 AS centred FROM l")
 def mth_03(s, d):
-    areas = F.array(F.col("p_size"), F.lit(20))
-    total = F.aggregate(areas, F.lit(0), lambda a, x: a + x)
-    return read(s, d, "part").select("p_partkey", F.array_max(areas).alias("largest"), F.round(F.array_max(areas) / total, 6).alias("dominance"))
+    """Boxes in pictures 44 wide."""
+    p = read(s, d, "part").select("p_partkey", boxes().alias("b")).withColumn("l", X.largest_box(F.col("b")))
+    return p.select("p_partkey", "l.x0", "l.y1", X.box_area(F.col("l")).alias("area"), F.round(X.dominance(F.col("b")), 6).alias("dominance"), X.centred(F.col("l"), F.lit(44)).alias("centred"))
 
 
-@query("mth_04_merged_boxes", "SELECT p_partkey, CAST(CASE WHEN (10 - p_size % 10) / 10.0 > 0.5 THEN 1 ELSE 2 END AS BIGINT) AS boxes FROM part")
+@query("mth_04_merged_boxes", f"WITH {MERGED} SELECT p_partkey, CAST(len(kept) AS INT) AS boxes, list_aggregate(list_transform(kept, lambda k: CAST(k.x0 AS INT) || '-' || CAST(k.y1 AS INT)), 'string_agg', ',') AS kept FROM l")
 def mth_04(s, d):
-    box = lambda x: F.struct(x.cast("double").alias("x0"), F.lit(0.0).alias("y0"), (x + 10).cast("double").alias("x1"), F.lit(10.0).alias("y1"))
-    p = read(s, d, "part")
-    return p.select("p_partkey", F.size(X.merged_boxes(F.array(box(F.lit(0)), box(F.col("p_size") % 10)))).cast("long").alias("boxes"))
+    text = F.array_join(F.transform("b", lambda k: F.concat_ws("-", k["x0"].cast("int").cast("string"), k["y1"].cast("int").cast("string"))), ",")
+    return read(s, d, "part").select("p_partkey", boxes().alias("b")).select("p_partkey", F.size("b").alias("boxes"), text.alias("kept"))
 
 
 @query("mth_06_denormalised", "SELECT event_id, round((pan / 90.0 + 1) / 2 * 30 + 5, 6) AS x FROM frames")
