@@ -135,12 +135,21 @@ def set_02(s, d):
     return merged.groupBy("episode_no").agg(F.max("repo_no").alias("repo_no"), F.min("index").alias("from_index"), (F.max("index") + 1).alias("to_index"), F.round(F.avg("pan"), 6).alias("pan_mean"))
 
 
-@query("set_03_merge_shards", """WITH s AS (SELECT repo_no // 3 AS target, repo_no, count(*) AS n, count(*) >= 2 AND max(pan) <= 90 AND repo_no <> 4 AS ok FROM frames GROUP BY 2)
- SELECT target, CAST(sum(n) AS BIGINT) AS frames, count(*) AS shards FROM s GROUP BY 1 HAVING bool_and(ok)""")
+@query("set_03_merge_shards", f"""WITH {LEN}, e AS (SELECT 't' || (repo_no % 3) AS target, repo_no // 3 AS shard, repo_no, episode_index, n FROM length_), k AS (SELECT * FROM e WHERE target <> 't1' OR shard = 0),
+ p AS (SELECT *, row_number() OVER w - 1 AS no, sum(n) OVER w - n AS f0 FROM k WINDOW w AS (PARTITION BY target ORDER BY shard, episode_index))
+ SELECT target, target <> 't1' AS merged, CASE WHEN target = 't1' THEN '2/3 shards failed' END AS reason, CAST(no AS BIGINT) AS episode_index, CAST(f0 AS BIGINT) AS from_index, count(*) AS frames, sum(pan) AS pan_sum
+ FROM p JOIN frames f USING (repo_no, episode_index) GROUP BY ALL""")
 def set_03(s, d):
-    shards = frames_of(s, d).groupBy("repo_no").agg(F.count(F.lit(1)).alias("n"), F.max("pan").alias("top"))
-    shards = shards.withColumns({"target": F.expr("repo_no div 3"), "ok": F.expr("n >= 2 AND top <= 90 AND repo_no <> 4")})
-    return shards.groupBy("target").agg(F.sum("n").alias("frames"), F.count(F.lit(1)).alias("shards"), F.bool_and("ok").alias("ok")).where("ok").drop("ok")
+    """Three targets of three shards each. An earlier run published the first shards; in the second one shard of target t1 reports an error and another is not there, so t1 stays as it was."""
+    root = D.fresh_folder(s, "shards")
+    f = frames_of(s, d).selectExpr("concat('t', repo_no % 3) AS target", "repo_no div 3 AS shard", "episode_index", "frame_index", "pan")
+    f.where("shard = 0").write.partitionBy("target", "shard").parquet(f"{root}/first")
+    report = lambda *rows: s.createDataFrame(list(rows), "target string, shard int, error string")
+    D.merge_shards(s, f"{root}/first", report(*[(f"t{t}", 0, None) for t in range(3)]), f"{root}/out")
+    f.where("NOT (target = 't1' AND shard = 2)").write.partitionBy("target", "shard").parquet(f"{root}/second")
+    told = D.merge_shards(s, f"{root}/second", report(*[(f"t{t}", k, "worker died" if (t, k) == (1, 1) else None) for t in range(3) for k in range(3)]), f"{root}/out")
+    e = s.read.parquet(f"{root}/out").groupBy("target", "episode_index").agg(F.min("index").cast("long").alias("from_index"), F.count(F.lit(1)).alias("frames"), F.sum("pan").alias("pan_sum"))
+    return told.join(e, "target").select("target", "merged", "reason", F.col("episode_index").cast("long").alias("episode_index"), "from_index", "frames", "pan_sum")
 
 
 @query("set_04_ordered_distinct", f"SELECT {REPO} AS repo_id, row_number() OVER (ORDER BY min(event_id)) AS pos FROM frames GROUP BY 1")

@@ -16,7 +16,7 @@ from reelbase.operators.stats import dimension_stats, large_stats
 from reelbase.operators.timeseries import renumbered
 from reelbase.sources.adapters import FPS, JOINTS, repo_names
 from reelbase.sources.files import listing
-from reelbase.sources.storage import fresh_folder
+from reelbase.sources.storage import fresh_folder, written_once
 
 __all__ = ["fresh_folder"]
 
@@ -149,3 +149,26 @@ def append_records(records: DataFrame, root: str, name: str, run: str) -> None:
 def inventory(files: DataFrame, group: str) -> DataFrame:
     """Number and total bytes of files in each group; files have ``length``, as the binaryFile source gives it without reading any content."""
     return files.groupBy(group).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+def merge_shards(spark: SparkSession, shards: str, reports: DataFrame, out: str) -> DataFrame:
+    """Merge the shards of each target into one dataset. ``shards`` has the frames below target=<target>/shard=<number>/; ``reports`` has a row for each planned shard: target, shard,
+    ``error`` (null if it went well). A target with a failed shard, or one whose folder is missing, is skipped, and what was published of it before stays as it is; the others
+    are numbered anew, in the order of shard, episode and frame, and replace theirs. The replacing is by partition, at the end of one job: if that fails, all targets stay.
+
+    Returns target, merged, shards, failed (numbers of the failed shards) and reason."""
+    data = spark.read.parquet(shards)
+    there = data.select("target", "shard").distinct().withColumn("_there", F.lit(True))  # folders
+    kinds = {c: data.schema[c].dataType for c in ("target", "shard")}
+    planned = reports.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds], "error").join(there, ["target", "shard"], "left")
+    wrong = F.coalesce("error", F.when(F.col("_there").isNull(), F.lit("missing")))
+    state = planned.groupBy("target").agg(F.count(F.lit(1)).alias("shards"), F.array_sort(F.collect_list(F.when(wrong.isNotNull(), F.col("shard")))).alias("failed"))
+    summary = written_once(
+        state.select("target", (F.size("failed") == 0).alias("merged"), "shards", "failed", F.when(F.size("failed") > 0, F.concat(F.size("failed").cast("string"), F.lit("/"), F.col("shards").cast("string"), F.lit(" shards failed"))).alias("reason")), "merged-shards"
+    )
+    good = summary.where("merged").select("target")
+    whole = data.join(good, "target", "left_semi").join(planned.select("target", "shard"), ["target", "shard"], "left_semi")
+    numbered, _ = renumbered(whole, ["target", "shard", "episode_index"], "frame_index", within=["target"])
+    merged = numbered.drop("shard", "episode_index", "frame_index").withColumnsRenamed({"episode_no": "episode_index", "frame_no": "frame_index"}).drop("from_index")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target").parquet(out)
+    return summary
