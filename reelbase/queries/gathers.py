@@ -120,16 +120,6 @@ def jn_14(s, d):
     return r6(G.compared_rows(frames_of(s, d), ["pan", "lift"]), "mean_diff", "mean_l2")
 
 
-@query("jn_15_source_rows", f"""WITH {LEN} SELECT repo_no, count(*) AS rows_compared, CAST(0 AS DOUBLE) AS max_diff FROM frames WHERE repo_no IN (0, 3) GROUP BY 1""")
-def jn_15(s, d):
-    # frames of a merged corpus against the rows they came from, by their provenance
-    f = frames_of(s, d)
-    merged, _ = T.renumbered(f.where("repo_no IN (0, 3)"), EP, "frame_index")
-    made = merged.select(F.col("repo_no"), F.col("episode_index").alias("source_ep"), F.col("frame_no").alias("source_frame"), F.col("pan").alias("made"))
-    source = f.select("repo_no", F.col("episode_index").alias("source_ep"), F.col("frame_index").alias("source_frame"), "pan")
-    return made.join(source, ["repo_no", "source_ep", "source_frame"]).groupBy("repo_no").agg(F.count(F.lit(1)).alias("rows_compared"), F.max(F.abs(F.col("made") - F.col("pan"))).alias("max_diff"))
-
-
 @query("jn_16_round_robin", f"""WITH {LEN}, e AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS i, count(*) OVER () AS n FROM length_ WHERE repo_no = 1),
  c AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) SELECT p_partkey, episode_index FROM c JOIN e ON c.i % e.n = e.i""")
 def jn_16(s, d):

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from reelbase.functions.names import stable_hash
 from reelbase.operators import gathers as G
 from reelbase.operators import timeseries as T
-from reelbase.plans import audit, plans
+from reelbase.plans import audit, correctness, plans
 from reelbase.queries.base import EP, IDENTITY, LEN, REPO, SLOT, query, r6
 from reelbase.queries.gathers import named
 from reelbase.queries.texts import PHOTO, REASON, photos, reason
 from reelbase.sources import datasets as D
 from reelbase.sources.adapters import JOINTS, frames_of, read
+from reelbase.sources.storage import written_once
 
 W = "(PARTITION BY repo_no, episode_index ORDER BY frame_index)"
 HASH = "CAST(('0x' || substr(md5({t}), 7, 2) || substr(md5({t}), 5, 2) || substr(md5({t}), 3, 2) || substr(md5({t}), 1, 2)) AS BIGINT)"
@@ -103,9 +104,54 @@ def dq_10(s, d):
     return c.select("repo_a", "repo_b", F.round(share, 6).alias("equal_share"), (share > 0.99).alias("leaks"))
 
 
-@query("dq_12_synthetic_correctness", f"WITH {LEN}, p AS (SELECT a.repo_no % 3 AS slot, a.n + 5 + p.n AS length FROM length_ a JOIN length_ p ON a.repo_no % 3 = p.repo_no % 3 WHERE a.repo_no < 3 AND p.repo_no BETWEEN 3 AND 5) SELECT slot, count(*) AS episodes, CAST(sum(length) AS BIGINT) AS frames, true AS numbered, CAST(0 AS DOUBLE) AS source_error, CAST(5 AS BIGINT) AS bridge_rows FROM p GROUP BY 1")
+PLANNED = f"""{LEN}, a AS (SELECT repo_no % 3 AS slot, episode_index AS a_ep, n AS a_n, row_number() OVER (PARTITION BY repo_no % 3 ORDER BY episode_index) - 1 AS i FROM length_ WHERE repo_no < 3),
+ b AS (SELECT repo_no % 3 AS slot, episode_index AS p_ep, n AS p_n, row_number() OVER (PARTITION BY repo_no % 3 ORDER BY episode_index) - 1 AS j, count(*) OVER (PARTITION BY repo_no % 3) AS m FROM length_ WHERE repo_no BETWEEN 3 AND 5),
+ pl AS (SELECT slot, i * m + j AS e, a_ep, p_ep, a_n, p_n, count(*) OVER (PARTITION BY slot) AS total FROM a JOIN b USING (slot))"""
+
+
+def synthetic(s, d):
+    """The corpus of all pairs with five bridge rows, its tables, and its sources. Slot 0 is as it should be. In slot 1 some approach, bridge and placement rows are shifted and some texts
+    differ; in slot 2 some bridges are infinite and the last row of some episodes is missing."""
+    f = frames_of(s, d).select((F.col("repo_no") % 3).alias("slot"), "repo_no", F.col("episode_index").alias("ep"), F.col("frame_index").alias("frame"), F.array("pan", "lift").alias("x"))
+    f = written_once(f.where("repo_no < 6"), "sources")
+    approach, placement = f.where("repo_no < 3").drop("repo_no"), f.where("repo_no >= 3").drop("repo_no")
+    planned = written_once(correctness.provenance(approach, placement), "plan")
+    rows = planned.withColumn("frame_index", F.explode(F.expr("sequence(0L, a_n + 5 + p_n - 1)")))
+    e = planned.select("slot", "episode_index", (F.col("a_n") + 5 + F.col("p_n")).alias("length"))
+    tables = T.renumbered(rows.select("slot", "episode_index", "frame_index"), ["slot", "episode_index"], "frame_index", within=["slot"])[1]
+    episodes = written_once(tables.select("slot", "episode_index", "length", "from_index", "to_index"), "episodes")
+    bare = rows.select("slot", "episode_index", "frame_index").withColumn("action", F.array(F.lit(0.0), F.lit(0.0)))
+    made = correctness.sources_of(bare, planned, approach, placement, 5)
+    made = made.join(planned.select("slot", "episode_index", "a_n", "p_n"), ["slot", "episode_index"]).join(episodes.select("slot", "episode_index", "from_index"), ["slot", "episode_index"])
+    k, at, slot = F.col("episode_index"), F.col("frame_index"), F.col("slot")
+    faults = [((slot == 1) & (k % 5 == 0) & (at == 3), (1.0, 0.0)), ((slot == 1) & (k % 4 == 1) & (at == F.col("a_n") + 1), (0.0, -0.5)), ((slot == 1) & (k % 7 == 2) & (at == F.col("a_n") + 5 + F.col("p_n") - 1), (0.25, 0.0)), ((slot == 2) & (k % 8 == 3) & (at == F.col("a_n")), (float("inf"), 0.0))]
+    action = F.col("source")
+    for where, (u, v) in faults:
+        action = F.when(where, F.zip_with(action, F.array(F.lit(u), F.lit(v)), lambda x, y: x + y)).otherwise(action)
+    lost = (slot == 2) & (k % 10 == 4) & (at == F.col("a_n") + 5 + F.col("p_n") - 1)
+    corpus = made.where(~lost).select("slot", "episode_index", "frame_index", (F.col("from_index") + at).alias("index"), F.lit(0).alias("task_index"), F.when((slot == 1) & (k % 6 == 0) & (at == 0), "put it down").otherwise("place the cube").alias("task"), action.alias("action"))
+    info = e.groupBy("slot").agg(F.sum("length").alias("total_frames"), F.count(F.lit(1)).alias("total_episodes")).withColumn("expected_frames", F.col("total_frames"))
+    return corpus, episodes, info, approach, placement
+
+
+@query("jn_15_source_rows", f"""WITH {PLANNED}, x AS (SELECT slot, e, unnest([0, 1, 2]) AS seg, unnest([a_n, 5, p_n - CASE WHEN slot = 2 AND e % 10 = 4 THEN 1 ELSE 0 END]) AS n,
+ unnest([CASE WHEN slot = 1 AND e % 5 = 0 AND a_n > 3 THEN 1 ELSE 0 END, CASE WHEN slot = 2 AND e % 8 = 3 THEN 1000 WHEN slot = 1 AND e % 4 = 1 THEN 0.5 ELSE 0 END, CASE WHEN slot = 1 AND e % 7 = 2 THEN 0.25 ELSE 0 END]) AS d FROM pl)
+ SELECT slot, CAST(seg AS INT) AS seg, CAST(sum(n) AS BIGINT) AS rows_compared, CAST(max(d) AS DOUBLE) AS max_diff, count(*) FILTER (WHERE d > 0) AS rows_differing FROM x GROUP BY 1, 2""")
+def jn_15(s, d):
+    """Every row of a synthetic corpus against the approach, bridge or placement row that its place in the plan says it comes from."""
+    corpus, _, _, approach, placement = synthetic(s, d)
+    rows = correctness.sources_of(corpus, written_once(correctness.provenance(approach, placement), "plan"), approach, placement, 5)
+    e = F.when(F.col("difference") > 1e-9, F.least("difference", F.lit(1000.0))).otherwise(0.0)
+    return rows.groupBy("slot", "seg").agg(F.count(F.lit(1)).alias("rows_compared"), F.round(F.max(e), 6).alias("max_diff"), F.count_if(e > 0).alias("rows_differing"))
+
+
+@query("dq_12_synthetic_correctness", f"""WITH {PLANNED}, v AS (SELECT slot, count(*) FILTER (WHERE slot = 1 AND e % 5 = 0 AND a_n > 3) AS P1, count(*) FILTER (WHERE slot = 1 AND e % 7 = 2) AS P2, count(*) FILTER (WHERE slot = 1 AND e % 4 = 1 OR slot = 2 AND e % 8 = 3) AS P3,
+ count(*) FILTER (WHERE slot = 2 AND e % 10 = 4) AS P4, count(*) FILTER (WHERE slot = 1 AND e % 6 = 0) AS S6, count(*) FILTER (WHERE slot = 2 AND e % 8 = 3) AS S7, count(*) FILTER (WHERE slot = 2 AND e % 10 = 4 AND e <> total - 1) AS S5 FROM pl GROUP BY 1),
+ w AS (SELECT *, P4 AS S1, P4 AS S8, CASE WHEN P4 > 0 THEN 2 ELSE 0 END AS S2, 0 AS S3, 0 AS S4, 0 AS C1 FROM v)
+ SELECT slot, rule, CAST(violations AS BIGINT) AS violations FROM (SELECT slot, unnest(['{"', '".join(correctness.RULES)}']) AS rule, unnest([{", ".join(correctness.RULES)}]) AS violations FROM w)""")
 def dq_12(s, d):
-    return plans.pair_corpus_check(plans.pair_corpus(frames_of(s, d), 5), frames_of(s, d), 5)
+    corpus, episodes, info, approach, placement = synthetic(s, d)
+    return correctness.violations(corpus, episodes, info, approach, placement, 5, "place the cube", 2)
 
 
 @query("dq_13_merged_sanity", "SELECT repo_no, min(pan) >= -180 AND max(pan) <= 180 AND min(gripper) >= 0 AND max(gripper) <= 100 AS in_range, CAST(6 AS BIGINT) AS dims FROM frames WHERE repo_no IN (1, 4, 7) GROUP BY 1")
