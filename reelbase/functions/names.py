@@ -18,6 +18,20 @@ def parsed_repo(name: Column, identities: tuple[str, ...]) -> dict[str, Column]:
     return {"corpus": part(1), "identity": part(2), "position": part(3)}
 
 
+def repo_form(name: Column, identities: tuple[str, ...], board: str = "charuco", cut: str = "_v6_truncated") -> dict[str, Column]:
+    """form, identity and position of a dataset's name in one of three forms; all null where it has none of them. Fixed values:
+
+    v2 or v2_truncated   dataset_v2_<identity>_<position>_1, with or without ``cut``
+    v3                   dataset_v3_<board>_<position>_1, no identity
+    v1                   <identity>_1, no position
+    """
+    who, where = "|".join(identities), "|".join(SLOTS)
+    v2, v3, v1 = rf"^dataset_v2_({who})_({where})_1({cut})?$", rf"^dataset_v3_{board}_({where})_1$", rf"^({who})_1$"
+    part = lambda pattern, i: F.nullif(F.regexp_extract(name, pattern, i), F.lit(""))
+    form = F.when(name.rlike(v2), F.when(name.endswith(cut), "v2_truncated").otherwise("v2")).when(name.rlike(v3), "v3").when(name.rlike(v1), "v1")
+    return {"form": form, "identity": F.coalesce(part(v2, 1), part(v1, 1)), "position": F.coalesce(part(v2, 2), part(v3, 1))}
+
+
 def slot_of(name: Column, strict: bool = False) -> Column:
     """The slot that stands in a name as a whole word between underscores; null (or an error when strict) without."""
     slot = F.nullif(F.regexp_extract(name, rf"(?:^|_)({'|'.join(SLOTS)})(?:_|$)", 1), F.lit(""))
