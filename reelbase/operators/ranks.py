@@ -21,13 +21,13 @@ SMALL = 4096  # rows that one task may sort without more ado
 FEW = 500_000  # distinct values, counted before, of which the same holds
 
 
-def spread_bounds(rows: DataFrame, keys: list[str], ranges: int = RANGES) -> list[tuple]:
-    """At most ``ranges`` - 1 key tuples that cut the rows into ranges of about equal size; of a small table, all of whose rows are drawn, so few that a range has ``SMALL``
+def spread_bounds(rows: DataFrame, keys: list[str], ranges: int = RANGES, small: int = SMALL) -> list[tuple]:
+    """At most ``ranges`` - 1 key tuples that cut the rows into ranges of about equal size; of a small table, all of whose rows are drawn, so few that a range has ``small``
     rows. At most 32 tuples a range come to the driver."""
     sample = rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(ranges * DRAWN)
     drawn = [tuple(r) for r in sample.orderBy(*keys).collect()]
     if len(drawn) < ranges * DRAWN:
-        ranges = min(ranges, -(-len(drawn) // SMALL))
+        ranges = min(ranges, -(-len(drawn) // small))
     picked = [drawn[len(drawn) * k // ranges] for k in range(1, ranges)] if drawn else []
     return list(dict.fromkeys(picked))
 
