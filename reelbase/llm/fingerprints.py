@@ -8,49 +8,65 @@ minimum is the sample: two texts get the same one with a probability equal to th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLES = 32
-
-
-MOST_SENT = 500_000  # of the ranges' first rows that are broadcast (8 MB); beyond it they are joined by a shuffle
-CUTS = 64
-
+from reelbase.llm.common import cut
+from reelbase.operators.ranks import range_of, spread_bounds
 
-def quantile_number(cuts: list[int], lo: int = 0) -> str:
-    """A balanced CASE that finds which of the sorted cuts an id is behind."""
-    if not cuts:
-        return str(lo)
-    k = len(cuts) // 2
-    return f"CASE WHEN doc_id <= {cuts[k]}L THEN {quantile_number(cuts[:k], lo)} ELSE {quantile_number(cuts[k + 1 :], lo + k + 1)} END"
-
-
-def slot_of(ids: DataFrame, slots: int) -> Column:
-    """Number of the range an id falls in, rising with the id: ranges between quantiles, each divided evenly."""
-    ends = ids.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    if slots < 2 or ends["a"] is None:
-        return F.lit(0)
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / CUTS for k in range(1, CUTS)], 1 / (4 * CUTS))} - {ends["b"]})
-    each = -(-slots // (len(cuts) + 1))
-    low = [ends["a"] - 1, *cuts]
-    high = [*cuts, ends["b"]]
-    lows, highs = (f"element_at(array({', '.join(f'{x}L' for x in y)}), {quantile_number(cuts)} + 1)" for y in (low, high))
-    return F.expr(f"coalesce(cast({quantile_number(cuts)} * {each} + floor((doc_id - {lows} - 1) * {each}D / ({highs} - {lows})) as int), 0)")
-
-
-def with_next(docs: DataFrame, slots: int, partitions: int) -> DataFrame:
+SAMPLES = 32
+DRAWN = 16  # rows drawn for each range
+COARSE = 128  # ranges whose bounds are literals; each is cut further by bounds that are sent as a table
+MOST_SLOTS = 1 << 19  # ranges at most, so the bounds (16 bytes each) and the ranges' first rows are a bounded number; beyond it ranges grow with the input
+
+
+def spread_slots(ids: DataFrame, slots: int) -> Callable[[DataFrame], DataFrame]:
+    """What adds ``slot``, the number of the range that (doc_id, h) falls in, rising with it. ``ids`` has doc_id, h (a hash of the text) and bytes, and is a written table.
+
+    Bounds are drawn from the rows themselves by hash, half by number and half by bytes, so ids may lie as they like, and rows of one id are
+    divided by their texts. Only repeated rows of one id and text stay together. Coarse bounds are literals, fine ones a sorted array for each coarse range."""
+    if slots < 2:
+        return lambda rows: rows.withColumn("slot", F.lit(0))
+    bounds = spread_bounds(ids, ["doc_id", "h"], min(COARSE, slots), small=1)
+    fine = -(-slots // (len(bounds) + 1))
+    coarse = lambda rows: rows.withColumn("_p", range_of(rows, ["doc_id", "h"], bounds))
+    if fine < 2:
+        return lambda rows: coarse(rows).withColumnRenamed("_p", "slot")
+    n, size = ids.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    share = DRAWN * slots * (0.5 / n + F.col("bytes") * (0.5 / max(size, 1)))
+    drawn = coarse(ids.where(F.shiftrightunsigned(F.xxhash64("doc_id", "h", F.lit("bound")), 11) / float(1 << 53) < share))
+    # a coarse range has some DRAWN * slots / COARSE drawn rows, 65,536 at most slots
+    place = "(row_number() OVER (PARTITION BY _p ORDER BY doc_id, h) - 1)"
+    step = f"floor({place} * {fine}L / count(*) OVER (PARTITION BY _p))"
+    ends = drawn.selectExpr("_p", "doc_id", "h", f"{step} AS step").groupBy("_p", "step").agg(F.min(F.struct("doc_id", "h")).alias("b")).where("step > 0")
+    arrays = ends.groupBy("_p").agg(F.array_sort(F.collect_set("b")).alias("_bounds"))  # COARSE rows of fine - 1 bounds at most
+    halvings = fine.bit_length()
+    # how many bounds are no larger than the row's own place, by halving
+    mid = "cast((z.lo + z.hi) div 2 as int)"
+    found = f"""aggregate(sequence(1, {halvings}), named_struct('lo', 0, 'hi', size(_bounds)),
+      (z, i) -> if(z.lo >= z.hi, z, if(_bounds[{mid}] <= _key, named_struct('lo', {mid} + 1, 'hi', z.hi), named_struct('lo', z.lo, 'hi', {mid}))), z -> z.lo)"""
+
+    def add(rows: DataFrame) -> DataFrame:
+        met = coarse(rows).join(F.broadcast(arrays), "_p", "left").withColumn("_key", F.struct("doc_id", "h"))
+        return met.withColumn("slot", F.col("_p") * fine + F.coalesce(F.expr(found), F.lit(0))).drop("_p", "_bounds", "_key")
+
+    return add
+
+
+def with_next(docs: DataFrame, ids: DataFrame, slots: int, partitions: int) -> DataFrame:
     """slot, rn, ghost, doc_id, text, next_text: the document that follows in descending doc_id; the last is followed by the first.
 
     The documents are dealt once, by ranges of ids (slots), and ordered inside their range. The last of a range needs the first of
     the range below: that one row per range is dealt to both, as a ghost."""
-    ids = docs.select("doc_id")
-    slot = slot_of(ids, slots)
-    tops = ids.withColumn("slot", slot).groupBy("slot").agg(F.max("doc_id").alias("doc_id"))  # one row for each range
-    above = tops.selectExpr("doc_id", "coalesce(lead(slot) OVER (ORDER BY slot), min(slot) OVER (), 0) AS slot")
-    ghosts = docs.join(F.broadcast(above) if slots <= MOST_SENT else above, "doc_id").groupBy("slot", "doc_id").agg(F.min("text").alias("text"))
-    both = docs.select(slot.alias("slot"), "doc_id", "text", F.lit(0).alias("ghost")).unionByName(ghosts.withColumn("ghost", F.lit(1))).repartition(partitions, "slot")
-    over = "OVER (PARTITION BY slot ORDER BY ghost, doc_id DESC, text)"
+    add = spread_slots(ids, slots)
+    tops = add(ids.select("doc_id", "h")).groupBy("slot").agg(F.max(F.struct("doc_id", "h")).alias("top"))  # one row for each range
+    # MOST_SLOTS rows at most in this window, and as many that are broadcast (12 MB)
+    above = tops.selectExpr("top.doc_id AS doc_id", "top.h AS h", "coalesce(lead(slot) OVER (ORDER BY slot), min(slot) OVER (), 0) AS slot")
+    ghosts = docs.join(F.broadcast(above), ["doc_id", "h"]).groupBy("slot", "doc_id", "h").agg(F.min("text").alias("text"))
+    both = add(docs).select("slot", "doc_id", "h", "text", F.lit(0).alias("ghost")).unionByName(ghosts.withColumn("ghost", F.lit(1))).repartition(partitions, "slot")
+    over = "OVER (PARTITION BY slot ORDER BY ghost, doc_id DESC, h DESC, text)"
     return both.selectExpr("slot", f"row_number() {over} AS rn", "ghost", "doc_id", "text", f"lead(text) {over} AS next_text")
 
 
@@ -80,19 +96,20 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
     return F.expr(f"CASE WHEN {a} = {b} THEN 1D WHEN {a} = '' OR {b} = '' THEN 0D ELSE ({same}) / {samples}D END")
 
 
-def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, slot_bytes: int = 2 << 20, partition_bytes: int = 8 << 20) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, slot_bytes: int = 2 << 20, partition_bytes: int = 8 << 20, most_slots: int = MOST_SLOTS) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document, by descending
-    doc_id (after the last: the first; a single document is its own next; of rows with one id, by their text). Null texts are empty; a text
+    doc_id (after the last: the first; a single document is its own next; of rows with one id, by a hash of their text). Null texts are empty; a text
     without words has the empty fingerprint. Equal texts have equal fingerprints. doc_id is an integer; a null one comes after all others. Repeated rows
     are each reported. Other columns are left out. Texts move once, dealt by ranges of doc_id; their words are counted and drawn where they are.
     """
     least = docs.agg(F.min(F.col("doc_id").cast("long"))).first()[0]
     lowest = max((least or 0) - 1, -(1 << 63) + 1)  # stands for a null id on the way
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = own.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    base = with_next(own, size // slot_bytes + 1, size // partition_bytes + 1)
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = cut(own.select("doc_id", "h", F.octet_length("text").alias("bytes")), "fingerprint-ids")
+    size = ids.agg(F.sum("bytes")).first()[0] or 0
+    base = with_next(own, ids, min(size // slot_bytes + 1, most_slots), size // partition_bytes + 1)
     half = "cast(char_length(text) div 2 as int)"
     texts = base.selectExpr("slot", "rn", "ghost", "doc_id", "text", f"concat(substring(text, 1, char_length(text) - {half}), substring(next_text, 1, {half})) AS edited")
     kinds = texts.selectExpr("slot", "rn", "explode(if(ghost = 1, array(struct(0 AS kind, text AS t)), array(struct(0 AS kind, text AS t), struct(1 AS kind, edited AS t)))) AS x").selectExpr("slot", "rn", "x.kind AS kind", "x.t AS t")
