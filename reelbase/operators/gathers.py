@@ -166,6 +166,23 @@ def contiguity(episodes: DataFrame, frames: DataFrame) -> DataFrame:
     return e.join(runs, "repo_no")
 
 
+def contiguous(frames: DataFrame, episodes: DataFrame, repo: str = "repo_no", fps: int = 30) -> DataFrame:
+    """Per repo the number of episodes that break a rule: ``gaps`` (does not begin where the one before ends, the first at 0), ``lengths`` (to - from differs from the length or from the frames that are there), ``numbers`` (frame numbers do
+    not run from 0), ``indexes`` (a frame's index is not its episode's begin plus its number) and ``times`` (a timestamp is not number / fps, within 1e-4; missing ones are passed over). ``frames``: repo, episode_index, frame_index, index,
+    timestamp; ``episodes``: repo, episode_index, length, from_index, to_index. The one before is found by its place among all of the repo's, so no task sees a repo whole."""
+    keys = [repo, "episode_index"]
+    placed = written_once(ranked(episodes, [repo], ["episode_index"], "_k"), "placed-episodes")
+    before = placed.select(repo, (F.col("_k") + 1).alias("_k"), F.col("to_index").alias("_end"))
+    begins = placed.join(before, [repo, "_k"], "left")
+    # an episode's numbers run from 0 to n - 1 if there are n different ones and the ends fit
+    f = frames.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.countDistinct("frame_index").alias("_d"), F.min("frame_index").alias("_lo"), F.max("frame_index").alias("_hi"), F.min(F.col("index") - F.col("frame_index")).alias("_ilo"), F.max(F.col("index") - F.col("frame_index")).alias("_ihi"),
+        F.max(F.abs(F.col("timestamp") - F.col("frame_index") / fps)).alias("_t"),
+    )
+    rules = {"gaps": "from_index = coalesce(_end, 0)", "lengths": "to_index - from_index = length AND length = _n", "numbers": "_d = _n AND _lo = 0 AND _hi = _n - 1", "indexes": "_ilo = from_index AND _ihi = from_index", "times": "_t <= 1e-4"}
+    return begins.join(f, keys, "left").groupBy(repo).agg(*[F.count_if(F.expr(f"NOT coalesce({rule}, false)")).alias(name) for name, rule in rules.items()])
+
+
 def flips_once(frames: DataFrame, flag: str, at: str, keys=EPISODE) -> DataFrame:
     """Per episode: how often the flag changes, and whether it does exactly once, at ``at`` + 1 (never, if that lies beyond the end)."""
     before = F.lag(flag).over(ordered(keys))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelbase.queries import core, datasets, evaluation, folders, gathers, labels, quality, summaries, texts, watching  # noqa: F401
+from reelbase.queries import core, damaged, datasets, evaluation, folders, gathers, labels, quality, summaries, texts, watching  # noqa: F401
 from reelbase.queries.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
