@@ -8,8 +8,9 @@ from reelbase.functions import tables
 from reelbase.operators import gathers as G
 from reelbase.operators import timeseries as T
 from reelbase.operators.ranks import ranked
-from reelbase.queries.base import EP, LEN, query
+from reelbase.queries.base import EP, LEN, REPO, SLOT, query
 from reelbase.queries.texts import PHOTO, REASON, photos, reason
+from reelbase.sources import datasets as D
 from reelbase.sources.adapters import frames_of
 from reelbase.sources.storage import written_once
 
@@ -57,3 +58,26 @@ def udf_03_bridge(s, d):
     ends = T.with_length(frames_of(s, d)).where("frame_index IN (0, n - 1)").select(*EP, "frame_index", F.array("pan", "lift").alias("vector"))
     rows = s.sql("SELECT * FROM bridge_rows(TABLE({ends}) PARTITION BY (repo_no, episode_index) ORDER BY (frame_index), 5)", ends=ends)
     return rows.select(*EP, "step", F.round(F.col("vector")[0], 6).alias("pan"), F.round(F.col("vector")[1], 6).alias("lift"))
+
+
+@query("dq_15_damaged", f"""WITH c AS (SELECT repo_no, count(*) AS n, count(*) FILTER (WHERE NOT (repo_no % 3 = 1 AND episode_index % 2 = 0)) AS k FROM frames GROUP BY 1)
+ SELECT {REPO} AS repo_id, CASE WHEN repo_no <> 2 THEN CAST(n AS DOUBLE) END AS stored, k AS frames, repo_no <> 2 AND n = k AS equal FROM c""")
+def dq_15_damaged(s, d):
+    """Stored statistics against a corpus that has lost episodes since, and one repo whose statistics are missing."""
+    data, root = written_once(D.as_dataset(frames_of(s, d)), "corpus"), D.fresh_folder(s, "stats")
+    D.write_meta(data, root)
+    stored = D.scan_stats(s, root).where("statistic = 'count' AND dim = 0 AND repo_id <> 'dataset_v2_person_a_right_1'").select("repo_id", F.col("value").alias("stored"))
+    counts = data.where("NOT (repo_no % 3 = 1 AND episode_index % 2 = 0)").groupBy("repo_id").agg(F.count(F.lit(1)).alias("frames"))
+    both = D.scan_info(s, root).select("repo_id").join(stored, "repo_id", "left").join(counts, "repo_id", "left").withColumn("frames", F.coalesce("frames", F.lit(0).cast("long")))
+    return both.withColumn("equal", F.coalesce(F.col("stored") == F.col("frames"), F.lit(False)))
+
+
+@query("dq_14_task_histogram", f"""WITH t AS (SELECT repo_no, episode_index, 'place it on the ' || {SLOT} || CASE WHEN episode_index % 4 = 0 THEN ' slowly' ELSE '' END AS task, count(*) AS n FROM frames GROUP BY 1, 2)
+ SELECT {REPO} AS repo_id, task, count(*) AS episodes, CAST(sum(n) AS BIGINT) AS frames, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY repo_no) AS DOUBLE), 6) AS share, CAST(min(episode_index) AS BIGINT) AS first_episode FROM t GROUP BY repo_no, task""")
+def dq_14_histogram(s, d):
+    """Per repo and text: episodes, frames, its share of the repo's episodes and the first episode with it."""
+    data = D.as_dataset(frames_of(s, d), "concat('place it on the ', split_part(repo_id, '_', 5), if(episode_index % 4 = 0, ' slowly', ''))")
+    h = data.groupBy("repo_id", "task").agg(F.countDistinct("episode_index").alias("episodes"), F.count(F.lit(1)).alias("frames"), F.min("episode_index").alias("first_episode"))
+    h = written_once(h, "histogram")  # a row per repo and text
+    total = h.groupBy("repo_id").agg(F.sum("episodes").alias("_all"))
+    return h.join(total, "repo_id").select("repo_id", "task", "episodes", "frames", F.round(F.col("episodes") / F.col("_all"), 6).alias("share"), "first_episode")
