@@ -155,7 +155,8 @@ def seam_distance(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     tables are episode ends, a row per episode; pairs are wanted in full, they are the plan."""
     last = a.groupBy("slot", "episode_index").agg(F.max_by(F.array(*columns), "frame_index").alias("x")).withColumnRenamed("episode_index", "a_ep")
     first = b.groupBy("slot", "episode_index").agg(F.min_by(F.array(*columns), "frame_index").alias("y")).withColumnRenamed("episode_index", "b_ep")
-    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: p - q), F.lit(0.0), lambda s, v: s + v * v))
+    away = [F.col("x")[i] - F.col("y")[i] for i in range(len(columns))]  # written out, so that it compiles
+    gap = F.sqrt(sum((v * v for v in away), F.lit(0.0)))
     return pairs(last, first, ["slot"]).select("slot", "a_ep", "b_ep", gap.alias("distance"))
 
 

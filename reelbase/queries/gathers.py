@@ -208,7 +208,8 @@ def ts_17(s, d):
  FROM b a JOIN b p ON a.repo_no % 3 = p.repo_no % 3 WHERE a.repo_no < 3 AND p.repo_no BETWEEN 3 AND 5""")
 def ts_19(s, d):
     f = frames_of(s, d).withColumn("slot", F.col("repo_no") % 3)
-    return r6(G.seam_distance(f.where("repo_no < 3"), f.where("repo_no BETWEEN 3 AND 5"), ["pan", "lift"]), "distance")
+    seams = G.seam_distance(f.where("repo_no < 3"), f.where("repo_no BETWEEN 3 AND 5"), ["pan", "lift"])
+    return seams.withColumn("distance", compiled_round(F.col("distance"), 6))
 
 
 @query("ts_18_segments", f"""WITH {LEN}, p AS (SELECT a.repo_no % 3 AS slot, a.episode_index AS a_ep, p.episode_index AS p_ep, a.n + 5 + p.n AS length FROM length_ a JOIN length_ p ON a.repo_no % 3 = p.repo_no % 3 WHERE a.repo_no < 3 AND p.repo_no BETWEEN 3 AND 5)
