@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelbase.functions.names import stable_hash
+from reelbase.operators.ranks import ranked
+from reelbase.sources.storage import written_once
 
 
 def parsed_filter(spark: SparkSession, text: str) -> DataFrame:
@@ -46,16 +48,11 @@ def interior_frames(lengths: DataFrame, k: int, length: str = "length") -> DataF
 
 
 def even_shards(df: DataFrame, order: str, shards: int) -> DataFrame:
-    """Adds ``shard``: an even split in the order given, the first shards one larger. Rows are counted by ranges of ``order`` between bounds drawn
-    by hash; a prefix sum over the ranges, then a row's place inside its own give the same as an ntile over the whole table."""
-    from pyspark.sql import Window
-
-    bounds = [r[0] for r in df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(256).collect()]
-    low = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    ranged = df.withColumn("_b", low)
-    before = "coalesce(sum(_n) OVER (ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    totals = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).selectExpr("_b", f"{before} AS _n0", "sum(_n) OVER () AS _all")
-    placed = ranged.join(F.broadcast(totals), "_b").withColumn("_r", F.col("_n0") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1)
+    """Adds ``shard``: an even split in the order given, the first shards one larger, as an ntile over the whole table gives it. Rows get their places by ranges (:func:`ranked`), whose
+    bounds a row meets by halving, so a row costs a few comparisons and no task sees all rows."""
+    stored = written_once(df, "even-shards")
+    total = stored.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    placed = ranked(stored, [], [order], "_r").crossJoin(F.broadcast(total))
     size, more = F.expr(f"_all div {shards}"), F.expr(f"_all % {shards}")
     wide = more * (size + 1)
     shard = F.when(F.col("_r") < wide, F.floor(F.col("_r") / (size + 1))).otherwise(more + F.floor((F.col("_r") - wide) / F.greatest(size, F.lit(1))))
