@@ -29,7 +29,7 @@ def src_10(s, d):
     inside = F.when(k % 4 == 1, F.lit("optimizer/state")).otherwise(F.lit("pretrained_model/weights"))
     step = steps.select(F.concat_ws("/", folder, inside).alias("path"), text.cast("binary").alias("content"))
     other = steps.where(k % 100 == 0).select(F.concat(F.lit("tmp-"), text, F.lit("/pretrained_model/weights")).alias("path"), text.cast("binary").alias("content"))
-    files.write_files(step.unionByName(other), root)
+    files.write_files(files.dealt(step.unionByName(other), "path"), root)
     return files.checkpoints(s, root)
 
 
@@ -53,7 +53,7 @@ def src_11(s, d):
     root, k = D.fresh_folder(s, "images"), F.col("p_partkey")
     content = image_bytes(k % 3, 200 + (k * 31) % 700, 200 + (k * 47) % 700, k)
     ending = F.element_at(F.array(F.lit("png"), F.lit("gif"), F.lit("JPG")), (k % 3 + 1).cast("int"))
-    rows = read(s, d, "part").select(F.concat(F.col("p_brand"), F.lit("/"), k.cast("string"), F.lit("."), ending).alias("path"), F.when(k % 11 == 0, F.substring(content, 1, 8)).otherwise(content).alias("content"))
+    rows = files.dealt(read(s, d, "part").select("p_brand", "p_partkey"), "p_partkey").select(F.concat(F.col("p_brand"), F.lit("/"), k.cast("string"), F.lit("."), ending).alias("path"), F.when(k % 11 == 0, F.substring(content, 1, 8)).otherwise(content).alias("content"))
     files.write_files(rows, root)
     found = files.image_headers(s, root, shares=4)
     return found.select(F.col("dir").alias("p_brand"), F.split_part("name", F.lit("."), F.lit(1)).cast("long").alias("p_partkey"), "format", "width", "height")
@@ -63,7 +63,7 @@ def src_11(s, d):
 def src_12(s, d):
     root = D.fresh_folder(s, "pages")
     host = F.coalesce(F.expr("nullif(split_part(split_part(url, '://', 2), '/', 1), '')"), F.lit("none"))
-    files.write_files(read(s, d, "pages").select(F.concat_ws("/", host, F.concat(F.col("page_id").cast("string"), F.lit(".html"))).alias("path"), F.col("html").cast("binary").alias("content")), root)
+    files.write_files(files.dealt(read(s, d, "pages").select("page_id", "url", "html"), "page_id").select(F.concat_ws("/", host, F.concat(F.col("page_id").cast("string"), F.lit(".html"))).alias("path"), F.col("html").cast("binary").alias("content")), root)
     return D.inventory(files.listing(s, root).where("not is_dir").withColumnRenamed("bytes", "length"), "dir")
 
 
@@ -71,7 +71,7 @@ def photo_files(s, d, folder):
     """A photo of each part in the folder that ``folder`` names, and the folder's listing."""
     root = D.fresh_folder(s, "photos")
     name = F.concat(F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(".jpg"))
-    files.write_files(read(s, d, "part").select(F.concat_ws("/", folder, name).alias("path"), F.lit(None).cast("binary").alias("content")), root)
+    files.write_files(files.dealt(read(s, d, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.concat_ws("/", folder, name).alias("path"), F.lit(None).cast("binary").alias("content")), root)
     return root, files.listing(s, root)
 
 

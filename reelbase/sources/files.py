@@ -228,9 +228,17 @@ def jpeg_size(start: Start) -> tuple[str, int, int] | None:
 
 # ---- writing
 
+FILES = 5_000  # files that one task writes: making a file costs more than reading its row, so the bytes of a table say little of the tasks that its files need
+
+
+def dealt(rows: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
+    """The rows in as many tasks as their number asks for, by a hash of ``keys``, which are all but unique. Rows of few bytes come in one task however many they are. They are counted first, so they are read
+    twice; deal them before a large content is made, then only what it is made of moves."""
+    return rows.repartition(max(1, -(-rows.count() // (each or FILES))), *keys)
+
 
 def write_files(rows: DataFrame, root: str) -> int:
-    """(path, content) -> one file for each row below ``root``, in the task that has the row; how many were written. A null content is an empty file, a null path none. A file appears
+    """(path, content) -> one file for each row below ``root``, in the task that has the row (see :func:`dealt`); how many were written. A null content is an empty file, a null path none. A file appears
     whole, under its own name once it is written, so a task that runs again, after a lost executor, only puts the same file there once more. A path
     that leads out of ``root`` is an error."""
 
@@ -251,7 +259,7 @@ def write_files(rows: DataFrame, root: str) -> int:
                     made.add(folder)
                 hidden = f"{folder}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(hidden) as out:
-                    out.write(content.as_py() or b"")
+                    out.write(content.as_buffer() or b"")
                 fs.move(hidden, f"{base}/{path}")
                 written += 1
             yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])

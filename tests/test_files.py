@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 
+from reelbase.registry import QUERIES
 from reelbase.sources import files
 
 
@@ -110,3 +111,17 @@ def test_crc_shares_use_the_path(spark, folder):
     parts = files.FolderReader(None, {"path": folder, "shares": "3"}).partitions()
     seen = [f.path for p in parts for _, _, f in files.FolderReader(None, {"path": folder}).entries(p)]
     assert len(seen) == len(set(seen)) and all(zlib.crc32(f.encode()) >= 0 for f in seen)
+
+
+@pytest.mark.parametrize("name", ["src_06_rectangular_pool", "src_07_preferred_photos", "src_10_checkpoints", "src_11_image_headers", "src_12_inventory"])
+def test_files_are_written_by_as_many_tasks_as_their_number_asks_for(spark, monkeypatch, name):
+    plain, tasks = files.write_files, []
+
+    def counted(rows, root):
+        tasks.append(rows.rdd.getNumPartitions())
+        return plain(rows, root)
+
+    monkeypatch.setattr(files, "FILES", 7, raising=False)
+    monkeypatch.setattr(files, "write_files", counted)
+    QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert tasks[0] >= 8
