@@ -126,12 +126,13 @@ def action_chunks(df: DataFrame, column: str, size: int, keys=EPISODE) -> DataFr
     return df.withColumn("_a", ahead).withColumn("n_valid", F.size("_a")).withColumn("chunk", F.concat("_a", F.array_repeat(F.element_at("_a", -1), F.lit(size) - F.col("n_valid")))).drop("_a")
 
 
-def renumbered(df: DataFrame, episode_keys: list[str], order: str, within: list[str] | None = None, fps: int = 30) -> tuple[DataFrame, DataFrame]:
+def renumbered(df: DataFrame, episode_keys: list[str], order: str, within: list[str] | None = None, fps: int = 30, rows_a_task: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(frames with new episode_no, frame_no, index, timestamp; episodes with episode_no, length, from_index, to_index, from_time, to_time), numbered in the
     order of the keys, the first key first, whatever their types; with ``within`` each group of those keys starts at 0.
 
     Lengths are counted once and written. The running index is two-level: episodes are dealt by ranges of their keys, numbered inside a range, and a prefix sum over the ranges
-    of a group gives what comes before. No task sees all episodes, nor all of a group. Keys are not null."""
+    of a group gives what comes before. No task sees all episodes, nor all of a group. Keys are not null. Frames meet their episodes where the frames of each are; neither is sent to
+    all tasks, however few bytes a compressed table says that it has. ``rows_a_task``: frames are dealt by episode to tasks of about so many, else as Spark deals them by bytes."""
     within = within or []
     lengths = written_once(df.groupBy(*episode_keys).agg(F.count(F.lit(1)).alias("length")), "lengths")
     keys = [*within, *[k for k in episode_keys if k not in within]]
@@ -149,5 +150,8 @@ def renumbered(df: DataFrame, episode_keys: list[str], order: str, within: list[
     episodes = episodes.withColumn("to_index", F.col("from_index") + F.col("length"))
     episodes = episodes.withColumns({"from_time": F.col("from_index") / fps, "to_time": F.col("to_index") / fps})
     frame = (F.row_number().over(Window.partitionBy(*episode_keys).orderBy(order)) - 1).cast("long")
-    frames = df.withColumn("frame_no", frame).join(episodes.select(*episode_keys, "episode_no", "from_index"), episode_keys)
+    if rows_a_task:
+        total = lengths.agg(F.sum("length")).first()[0] or 0
+        df = df.repartition(max(1, -(-total // rows_a_task)), *episode_keys)
+    frames = df.withColumn("frame_no", frame).join(episodes.select(*episode_keys, "episode_no", "from_index").hint("shuffle_hash"), episode_keys)
     return frames.withColumns({"index": F.col("from_index") + F.col("frame_no"), "timestamp": F.col("frame_no") / fps}), episodes

@@ -31,6 +31,7 @@ FRAME_TYPES = {
 }
 INFO = "repo_id string, codebase_version string, fps int, robot_type string, total_episodes long, total_frames long, total_tasks long, splits map<string,string>"
 STATS = "repo_id string, stats map<string,map<string,array<double>>>"
+FRAMES_A_TASK = 250_000  # that a merge sorts
 STATISTICS = ("min", "max", "mean", "std", "count", "q01", "q10", "q50", "q90", "q99")
 
 
@@ -167,8 +168,9 @@ def merge_shards(spark: SparkSession, shards: str, reports: DataFrame, out: str)
         state.select("target", (F.size("failed") == 0).alias("merged"), "shards", "failed", F.when(F.size("failed") > 0, F.concat(F.size("failed").cast("string"), F.lit("/"), F.col("shards").cast("string"), F.lit(" shards failed"))).alias("reason")), "merged-shards"
     )
     good = summary.where("merged").select("target")
-    whole = data.join(good, "target", "left_semi").join(planned.select("target", "shard"), ["target", "shard"], "left_semi")
-    numbered, _ = renumbered(whole, ["target", "shard", "episode_index"], "frame_index", within=["target"])
+    # a row for each target and planned shard: both are sent to the frames, which else would be dealt by shard, a shard to a task
+    whole = data.join(F.broadcast(good), "target", "left_semi").join(F.broadcast(planned.select("target", "shard")), ["target", "shard"], "left_semi")
+    numbered, _ = renumbered(whole, ["target", "shard", "episode_index"], "frame_index", within=["target"], rows_a_task=FRAMES_A_TASK)
     merged = numbered.drop("shard", "episode_index", "frame_index").withColumnsRenamed({"episode_no": "episode_index", "frame_no": "frame_index"}).drop("from_index")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target").parquet(out)
     return summary

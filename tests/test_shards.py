@@ -52,3 +52,13 @@ def test_a_job_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="lost"):
         D.merge_shards(spark, shards(spark, str(tmp_path / "two"), 1000.0), good, out)
     assert contents(spark, out) == old
+
+
+def test_frames_are_merged_by_as_many_tasks_as_their_number_asks_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "FRAMES_A_TASK", 3, raising=False)
+    out, root = str(tmp_path / "out"), shards(spark, str(tmp_path / "one"), 0.0)
+    D.merge_shards(spark, root, spark.createDataFrame([(t, k, None) for t in "ab" for k in range(2)], REPORT), out)
+    assert len(contents(spark, out)) == 24 and spark.read.parquet(out).select(F.input_file_name()).distinct().count() > 3
+    frames, _ = D.renumbered(spark.read.parquet(root), ["target", "shard", "episode_index"], "frame_index", within=["target"])
+    joins = [x for x in frames._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "Inner" in x]
+    assert len(joins) == 1 and "BroadcastHashJoin" not in joins[0]  # few bytes of files can be very many frames
