@@ -67,12 +67,12 @@ def src_12(s, d):
     return D.inventory(files.listing(s, root).where("not is_dir").withColumnRenamed("bytes", "length"), "dir")
 
 
-def photo_files(s, d, folder):
-    """A photo of each part in the folder that ``folder`` names, and the folder's listing."""
+def photo_files(s, d, folder, depth=1):
+    """A photo of each part in the folder that ``folder`` names, ``depth`` below the root, and the root's listing, planned by those folders."""
     root = D.fresh_folder(s, "photos")
     name = F.concat(F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(".jpg"))
     files.write_files(files.dealt(read(s, d, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.concat_ws("/", folder, name).alias("path"), F.lit(None).cast("binary").alias("content")), root)
-    return root, files.listing(s, root)
+    return root, files.listing(s, root, depth=depth)
 
 
 def pool_file(entries, root, name, **more):
@@ -88,7 +88,7 @@ def pool_file(entries, root, name, **more):
 def src_06(s, d):
     """Two pool files: the first lists the folder of even parts of each brand, the second that of odd ones, of all brands but one, and says other things of them."""
     side = F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b")
-    root, listing = photo_files(s, d, F.concat_ws("/", side, F.col("p_brand")))
+    root, listing = photo_files(s, d, F.concat_ws("/", side, F.col("p_brand")), depth=2)
     brands = read(s, d, "part").select(F.col("p_brand").alias("slug")).distinct()
     first = brands.select("slug", F.concat(F.lit("a/"), "slug").alias("dir"), F.upper("slug").alias("name"))
     second = brands.where("slug <> 'Brand#5'").select("slug", F.lit(False).alias("held_out"), F.concat(F.lit("b/"), "slug").alias("dir"), F.array(F.lit(1)).alias("aspects"))

@@ -257,10 +257,12 @@ def write_files(rows: DataFrame, root: str) -> int:
                 if folder not in made:
                     fs.create_dir(folder, recursive=True)
                     made.add(folder)
-                hidden = f"{folder}/.{uuid.uuid4().hex}"
-                with fs.open_output_stream(hidden) as out:
-                    out.write(content.as_buffer() or b"")
-                fs.move(hidden, f"{base}/{path}")
+                content = content.as_buffer() or b""
+                first = f"{folder}/.{uuid.uuid4().hex}" if content else f"{base}/{path}"  # an empty file is whole once it is there
+                with fs.open_output_stream(first) as out:
+                    out.write(content)
+                if content:
+                    fs.move(first, f"{base}/{path}")
                 written += 1
             yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
 

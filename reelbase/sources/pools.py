@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelbase.operators.ranks import ranked
+from reelbase.sources.storage import written_once
 
 #: What is read of an entry; a file may lack any of it, or have more.
 ENTRY = "name string, slug string, dir string, n_images int, held_out boolean, rank int, category string, quality_photos array<string>"
@@ -29,13 +30,14 @@ def _schema(key: str) -> str:
 def photos(pool: DataFrame, listing: DataFrame, prefer_quality: bool = True, pattern: str = r"\.jpg$") -> DataFrame:
     """One row for each photo: ``slug``, ``name``, ``rank`` (from 0) and ``path``. An entry has its ``quality_photos``, best first, if it has any and they are asked for, else the
     files of ``listing`` in its folder by name. Entries of one slug follow each other in the order of the pool; an entry without photos adds none. A
-    folder, and so a slug, may hold most of all files."""
+    folder, and so a slug, may hold most of all files. Folders are listed once: what is found is written, and ranks and what is made of them read that."""
     quality = F.coalesce(F.col("quality_photos"), F.expr("cast(array() as array<string>)")) if prefer_quality else F.expr("cast(array() as array<string>)")
     entries = pool.withColumn("_quality", quality)
     own = entries.where(F.size("_quality") > 0).select("file", "entry", "slug", "name", F.posexplode("_quality").alias("_at", "path"))
     files = listing.where(~F.col("is_dir") & F.col("name").rlike(pattern)).select("dir", "path")
     listed = entries.where(F.size("_quality") == 0).select("file", "entry", "slug", "name", "dir").join(files, "dir").select("file", "entry", "slug", "name", F.lit(0).alias("_at"), "path")
-    return ranked(own.unionByName(listed), ["slug"], ["file", "entry", "_at", "path"]).select("slug", "name", "rank", "path")
+    found = written_once(own.unionByName(listed), "listed-photos")
+    return ranked(found, ["slug"], ["file", "entry", "_at", "path"]).select("slug", "name", "rank", "path")
 
 
 def with_error(rows: DataFrame, bad: Column, message: Column) -> DataFrame:
@@ -46,16 +48,18 @@ def with_error(rows: DataFrame, bad: Column, message: Column) -> DataFrame:
 
 def rectangular(pool_photos: DataFrame, known: list[str]) -> DataFrame:
     """The first n photos of each known slug, n being the smallest number that one of them has, so that a grid over them is full. A known slug without photos is an error; other
-    slugs are left out."""
+    slugs are left out. The ranks are computed once."""
     spark = pool_photos.sparkSession
     wanted = spark.createDataFrame([(k,) for k in sorted(set(known))], "slug string")
-    counts = wanted.join(pool_photos.groupBy("slug").agg(F.count(F.lit(1)).alias("n")), "slug", "left")
+    chosen = written_once(pool_photos.join(F.broadcast(wanted), "slug", "left_semi"), "known-photos")
+    counts = wanted.join(chosen.groupBy("slug").agg(F.count(F.lit(1)).alias("n")), "slug", "left")
     counts = with_error(counts, F.col("n").isNull(), F.concat(F.lit("no photos found for "), F.col("slug")))
     least = counts.agg(F.min("n").alias("_least"))  # one row
-    return pool_photos.join(F.broadcast(wanted), "slug", "left_semi").crossJoin(F.broadcast(least)).where(F.col("rank") < F.col("_least")).drop("_least")
+    return chosen.crossJoin(F.broadcast(least)).where(F.col("rank") < F.col("_least")).drop("_least")
 
 
 def usable(pool_photos: DataFrame, least: int = 3) -> DataFrame:
-    """The photos, or an error if fewer than ``least`` slugs have any."""
+    """The photos, or an error if fewer than ``least`` slugs have any. The ranks are computed once."""
+    pool_photos = written_once(pool_photos, "ranked-photos")
     slugs = pool_photos.select("slug").distinct().agg(F.count(F.lit(1)).alias("_slugs"))  # one row
     return with_error(pool_photos.crossJoin(F.broadcast(slugs)), F.col("_slugs") < least, F.concat(F.lit("too few usable identities: "), F.col("_slugs").cast("string"))).drop("_slugs")

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from reelbase.registry import QUERIES
 from reelbase.sources import files, pools
 
 
@@ -39,3 +40,24 @@ def test_rectangular_and_usable(spark, pool):
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST|parse"):
         files.write_files(spark.createDataFrame([("p/bad.json", bytearray(b"{ no"))], "path string, content binary"), pool)
         pools.scan_pools(spark, [f"{pool}/p/bad.json"]).collect()
+
+
+def test_folders_are_listed_once_and_ranks_computed_once(spark, pool):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    listing = files.listing(spark, pool)
+    assert "reel_files" in plan(listing)
+    found = pools.photos(pools.scan_pools(spark, [f"{pool}/p/1.json", f"{pool}/p/2.json"]), listing)
+    assert "reel_files" not in plan(found)
+    assert "Window" not in plan(pools.rectangular(found, ["three", "one"])) and "Window" not in plan(pools.usable(found, 3))
+
+
+def test_folders_of_both_sides_are_listed_by_a_task_each(spark, monkeypatch):
+    plain, tasks = files.listing, []
+
+    def counted(*args, **options):
+        tasks.append((found := plain(*args, **options)).rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(files, "listing", counted)
+    got = QUERIES["src_06_rectangular_pool"](spark, "/root/testdata/sf0.01").count()
+    assert got > 0 and tasks[0] > 50  # 25 brands on each side, and the folders above them
